@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import bpe, decontam, lines, secrets, topk, toxicity, urls, warc
+from lodeframe.llm import bpe, decontam, jaccard, lines, secrets, topk, toxicity, urls, warc
 from lodeframe.llm.shared import table
 
 
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda no: F.size(F.filter("spans", lambda s: s["kind_no"] == no)).cast("long")
@@ -70,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
     "op7_lines": op7_lines,
