@@ -202,6 +202,16 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     return _mapped(df, vocabulary, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", one)
 
 
+def encode_checked(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes each text, and says what the ids decode to: (id, n_tokens, ids array<int>, decoded_sha256)."""
+
+    def one(e: Encoder, text: str | None) -> list:
+        ids = e.encode(text)
+        return [len(ids), ids.view("<i4"), hashlib.sha256(e.decode(ids.tolist()).encode()).hexdigest()]
+
+    return _mapped(df, vocabulary, id_col, text_col, "n_tokens long, ids array<int>, decoded_sha256 string", one)
+
+
 def _mapped(df: DataFrame, vocabulary: str, id_col: str, in_col: str, outputs: str, one) -> DataFrame:
     with open(vocabulary, "rb") as f:
         content = f.read()

@@ -11,7 +11,7 @@ from lodeframe.llm import bpe, decontam, jaccard, lines, secrets, topk, toxicity
 from lodeframe.llm.shared import table
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -24,7 +24,7 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,10 @@ from lodeframe.llm.words import alnum_words
 
 #: Labelled rows that the model is fitted on, at the most: those with the least hash of their id.
 FIT_ROWS = 20_000
-#: Terms of the lexicon at the most, and the deviations by which a term must stand out.
-TERMS, DEVIATIONS = 4_000, 2.6
+#: Terms of the lexicon at the most, and the log-likelihood ratio (G-squared) that a term needs.
+TERMS, EVIDENCE = 160, 20.0
+#: Letters of a stem, which stands for all words that begin so.
+STEMS = (5, 4)
 #: Words to each side of a hit that make its context.
 WINDOW = 12
 # Words of reporting and of address, in the languages at hand.
@@ -36,9 +38,14 @@ _QUOTES = re.compile("[\"“”„«»‹›]")
 _FEATURES = 7
 
 
+def stems(word: str) -> list[str]:
+    """The beginnings of a longer word that may be terms of their own: letters and a *."""
+    return [word[:k] + "*" for k in STEMS if len(word) > k]
+
+
 def tolerance(term: str) -> int:
-    """Edits that a term forgives: none below five letters, two from twelve."""
-    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
+    """Edits that a term forgives: none below five letters or for a stem, two from twelve."""
+    return 0 if len(term) < 5 or term[-1] == "*" else 1 if len(term) < 12 else 2
 
 
 class Trie:
@@ -68,9 +75,15 @@ class Trie:
                         kept.setdefault((e, a + shift, b + shift), set()).add(t[a:b])
 
     def near(self, word: str) -> tuple[int, int] | None:
-        """(edits, term number) of the nearest term within its tolerance, the first of equals."""
+        """(edits, term number) of the nearest term within its tolerance, the first of equals.
+
+        A term itself comes first, then the longest stem.
+        """
         if (i := self.exact.get(word)) is not None:
             return 0, i
+        for stem in stems(word):
+            if (i := self.exact.get(stem)) is not None:
+                return 0, i
         if not (kept := self.pieces.get(len(word))):
             return None
         possible = {e for (e, a, b), found in kept.items() if word[a:b] in found}
@@ -222,18 +235,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, list[int]] = {}
+            seen: dict[str, list[int]] = {}
             for text, y in rows_of(batch, "text", "y"):
-                for w in set(words_of(text)):
+                words = {w.decode("utf-8", "replace") for w in set(words_of(text))} - {"\x01"}
+                for w in words | {s for w in words for s in stems(w)}:
                     seen.setdefault(w, [0, 0])[y != 0] += 1
-            seen.pop(b"\x01", None)
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["word", "t", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["word", "t", "c"])
 
     counts = train.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    stands_out = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), stands_out.alias("z")).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "word").limit(TERMS).collect()
-    terms, strengths = tuple(r["word"] for r in best), tuple(r["odds"] * min(1.0, r["z"] / 8) for r in best)
+    share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
+    part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+    evidence = part(F.col("t"), n * share) + part(F.col("c"), n * (1 - share)) + part(toxic - F.col("t"), (toxic + clean - n) * share) + part(clean - F.col("c"), (toxic + clean - n) * (1 - share))
+    telling = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") > 0) & (F.col("g") >= EVIDENCE))
+    best = telling.orderBy(F.desc("g"), "word").limit(TERMS).collect()
+    terms, strengths = tuple(r["word"] for r in best), tuple(min(6.0, r["odds"]) * min(1.0, math.sqrt(r["g"]) / 10) for r in best)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(Trie(list(terms)))
