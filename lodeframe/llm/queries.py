@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import bpe, decontam, jaccard, lines, secrets, topk, toxicity, urls, warc
+from lodeframe.llm import bpe, decontam, jaccard, lines, lm, secrets, topk, toxicity, urls, warc
 from lodeframe.llm.shared import table
 
 
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 #: The rules that the query is to judge by.
 RULES = [
     urls.Rule("block", "com", "/en/"),
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
+    "op5_lm": op5_lm,
     "op6_urls": op6_urls,
     "op7_lines": op7_lines,
     "op8_topk": op8_topk,
