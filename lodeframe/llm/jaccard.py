@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.components import components
 from lodeframe.llm.shared import rows_of, slices, written
-from lodeframe.llm.words import WordHashes, gram_hashes, space_words
+from lodeframe.llm.words import gram_hashes, space_hashes
 
 #: Frequent grams whose order is known (16 bytes each). They only order the prefixes; no order loses a link.
 FREQUENT = 1 << 17
@@ -31,6 +31,10 @@ FREQUENT = 1 << 17
 SHARD, SPREAD, BLOCK = 400_000, 200_000, 1_000
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes that meet a leader in one place.
+MEET = 200
+#: A leader is tried if it shares this part of a class's prefix; others are left to the exact join.
+TRIED = 0.2
 #: Rounds in which classes are compared with leaders before the exact join.
 ROUNDS = 2
 #: Children of a tree's node.
@@ -38,10 +42,10 @@ FAN = 8
 _SLICE = 8 << 20
 
 
-def shingles(text: str | None, hashes: WordHashes, n: int) -> np.ndarray:
+def shingles(text: str | None, n: int) -> np.ndarray:
     """The set of a text's word n-grams as sorted hashes; all its words as one if they are fewer."""
-    words = space_words(text)
-    return np.unique(gram_hashes(hashes.of(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+    words = space_hashes(text)
+    return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -149,6 +153,15 @@ def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, bitm
                 yield int(min(classes[p], classes[q])), int(max(classes[p], classes[q]))
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 class Join:
     """The steps of one join; ``groups`` runs them."""
 
@@ -157,39 +170,43 @@ class Join:
         self.n, self.percent, self.spread, self.block, self.spark = n, percent, spread, block, docs.sparkSession
 
     def sketches(self) -> DataFrame:
-        """(id, size, class) of every document; null where there are no words."""
-        n = self.n
+        """Rows of two kinds from one pass.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in batches:
-                sets = [shingles(t, hashes, n) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "size", "class"])
-
-        return written(self.docs.mapInArrow(run, "id long, size long, class long"), "jaccard-sketches")
-
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent grams, sorted, and their counts; grams that come once a slice of documents don't count."""
+        kind 0: (id, size, class) of every document, class null where there are no words.
+        kind 1: a gram as id with, as size, the number of classes that have it in a
+        slice of documents, if that is more than one.
+        """
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
+            def out(kind: int, ids, sizes, classes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["kind", "id", "size", "class"])
+
             for part in _parts(batches):
-                sets = {class_of(s): s for _, t in part if len(s := shingles(t, hashes, n))}
-                if sets:
-                    grams, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                sets = [shingles(t, n) for _, t in part]
+                classes = [class_of(s) if len(s) else None for s in sets]
+                yield out(0, [i for i, _ in part], [len(s) for s in sets], classes)
+                if each := [s for c, s in dict(zip(classes, sets, strict=True)).items() if c is not None]:
+                    grams, counts = np.unique(np.concatenate(each), return_counts=True)
                     keep = counts > 1
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(counts[keep])], ["gram", "c"])
+                    yield out(1, grams[keep].view(np.int64), counts[keep], np.zeros(int(keep.sum()), np.int64))
 
-        found = self.docs.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+        return written(self.docs.mapInArrow(run, "kind int, id long, size long, class long"), "jaccard-sketches")
+
+    def frequent(self, sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent grams, sorted, and their counts."""
+        found = sketches.where("kind = 1").groupBy(F.col("id").alias("gram")).agg(F.sum("size").alias("c"))
         rows = found.where("c > 3").orderBy(F.desc("c"), "gram").limit(FREQUENT).toPandas()
         grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(grams)
         return grams[order], rows["c"].to_numpy(np.int64)[order]
 
-    def buckets(self, entries: int) -> DataFrame:
-        """(gram, class, size) of every prefix gram that several classes have."""
-        n, percent, most, (known, counts) = self.n, self.percent, self.spread, self.frequent()
+    def buckets(self, entries: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
+        """(gram, class, size, alike) of every prefix gram that several classes have.
+
+        Of grams that exactly the same classes have, one stays, and alike is their number.
+        """
+        n, percent, most = self.n, self.percent, self.spread
         shards = max(1, math.ceil(entries / SHARD))
         given = self.spark.sparkContext.broadcast((known, counts))
 
@@ -198,10 +215,10 @@ class Join:
             return known[many], counts[many]
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, (known, counts) = WordHashes(), given.value
+            known, counts = given.value
             wide, times = spread(known, counts)
             for part in _parts(batches):
-                sets = {class_of(s): s for _, t in part if len(s := shingles(t, hashes, n))}
+                sets = {class_of(s): s for _, t in part if len(s := shingles(t, n))}
                 if not sets:
                     continue
                 heads = [prefix(s, percent, known, counts) for s in sets.values()]
@@ -232,42 +249,66 @@ class Join:
             return pa.table({"gram": grams[keep].view(np.int64), "class": classes[keep], "size": sizes[keep].astype(np.int64)})
 
         dealt = self.docs.mapInArrow(deal, "shard int, grams binary, classes binary, sizes binary")
-        return written(dealt.groupBy("shard").applyInArrow(meet, "gram long, class long, size long"), "jaccard-buckets")
-
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(class, grams, bits) of the documents of ids."""
+        met = written(dealt.groupBy("shard").applyInArrow(meet, "gram long, class long, size long"), "jaccard-buckets")
+        total = lambda seed: F.sum(F.xxhash64("class", F.lit(seed)).cast("decimal(20,0)"))
+        kinds = met.groupBy("gram").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y")).where("n > 1")
+        kept = kinds.groupBy("n", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("alike"))
+        return written(met.join(kept.select("gram", "alike"), "gram"), "jaccard-buckets")
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """wanted (id, ...) with the texts of these ids."""
+        wanted = written(wanted, "jaccard-wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        return self.docs.join(F.broadcast(wanted) if few else wanted, "id")
+
+    def bitmaps(self, classes: DataFrame) -> DataFrame:
+        """(class, bits) of (class, id)."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                sets = [shingles(t, hashes, n) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["class", "grams", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([bitmap(shingles(t, n)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["class", "bits"])
 
-        few = ids.count() <= BROADCAST_IDS
-        there = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        # A document whose id is repeated gives as many sets; one of each class is kept.
-        found = there.mapInArrow(run, "class long, grams binary, bits binary").withColumnRenamed("class", "c")
-        return written(found.withColumnRenamed("c", "class"), "jaccard-sets")
+        # Texts that share the id, if ids repeat, are of other classes.
+        return written(self.of_class(self.texts(classes.select("id", "class"))).mapInArrow(run, "class long, bits binary").dropDuplicates(["class"]), "jaccard-bitmaps")
 
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that reach the threshold, on their whole sets."""
-        percent = self.percent
-        of = lambda c: sets.select(F.col("class").alias(c), F.col("grams").alias(f"grams_{c}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b")
+    def of_class(self, texts: DataFrame) -> DataFrame:
+        """(class, ..., text): the rows whose text is of the class that they name, where ids aren't unique."""
+        if self.unique:
+            return texts
+        n = self.n
+
+        @F.pandas_udf("long")
+        def own(text):
+            return text.map(lambda t: class_of(shingles(t, n)))
+
+        return texts.where(own("text") == F.col("class"))
+
+    def linked(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that reach the threshold, on their whole sets.
+
+        The texts of both sides meet at b, a bounded number of a's in each place, and
+        are read in order with b's own first, so a task holds one set and a row.
+        """
+        n, percent = self.n, self.percent
+        pairs = written(pairs, "jaccard-pairs")
+        places = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEET).cast("int").alias("places"))
+        sent = pairs.join(places, "b").select(F.col("a").alias("class"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), "places").cast("int").alias("place"), F.lit(1).alias("role"))
+        leads = places.select(F.col("b").alias("class"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
+        texts = self.of_class(self.texts(sent.unionByName(leads).join(reps, "class"))).select("key", "place", "role", "class", "text")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / 5_000))
+        met = texts.repartition(parts, "key", "place").sortWithinPartitions("key", "place", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, lead = None, None
             for batch in batches:
                 out = []
-                for a, b, x, y in rows_of(batch, "a", "b", "grams_a", "grams_b"):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if 100 * len(x) < percent * len(y):
-                        continue
-                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        out.append((a, b))
+                for key, place, role, c, text in rows_of(batch, "key", "place", "role", "class", "text"):
+                    grams = shingles(text, n)
+                    if role == 0:
+                        at, lead = (key, place), grams
+                    elif at == (key, place) and similar(grams, lead, percent):
+                        out.append((c, key))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
         return written(met.mapInArrow(run, "a long, b long"), "jaccard-links")
@@ -278,10 +319,11 @@ class Join:
         leaders = buckets.groupBy("gram").agg(F.min(first).alias("lead"))
         near = (100 * F.col("size") >= self.percent * F.col("lead.size")) & (100 * F.col("lead.size") >= self.percent * F.col("size"))
         met = buckets.join(leaders, "gram").where((F.col("comp") != F.col("lead.comp")) & near)
-        shared = met.groupBy("class", F.col("lead.class").alias("leader")).agg(F.count("*").alias("n"))
-        return shared.groupBy(F.col("class").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
+        shared = met.groupBy("class", "size", F.col("lead.class").alias("leader")).agg(F.sum("alike").alias("n"))
+        enough = F.col("n") >= TRIED * (100 - self.percent) / 100 * F.col("size")
+        return shared.where(enough).groupBy(F.col("class").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
 
-    def crossing(self, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    def crossing(self, buckets: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of classes of different components that a bucket's signature trees leave: (a, b)."""
         counts = buckets.groupBy("gram", "comp").agg(F.count("*").alias("n"))
         of = counts.groupBy("gram").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
@@ -304,7 +346,7 @@ class Join:
         cells = rows.withColumn("own", own).withColumn("cell", F.explode(F.when(large, majors).otherwise(minors)))
         shards = max(1, math.ceil(total / 20_000))
         dealt = cells.select(F.pmod(F.xxhash64("gram", "cell.kind", "cell.i", "cell.j"), F.lit(shards)).alias("shard"), F.xxhash64("gram", "cell.kind", "cell.i", "cell.j").alias("bucket"), "class", "comp", "size", "cell.left", "cell.both")
-        dealt = dealt.join(sets.select("class", "bits"), "class")
+        dealt = dealt.join(self.bitmaps(rows.select("class").distinct().join(reps, "class")), "class")
         percent = self.percent
 
         def run(table: pa.Table) -> pa.Table:
@@ -318,7 +360,7 @@ class Join:
             pairs = sorted(found)
             return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-        return written(dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+        return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -336,22 +378,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     No rows give no rows.
     """
     join = Join(docs, id_col, text_col, n, percent, spread, block)
-    docs = join.sketches()
+    sketches = join.sketches()
+    docs = sketches.where("kind = 0").select("id", "size", "class")
     classes = docs.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
-    entries = docs.agg(F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1)).first()[0] or 0
-    buckets = join.buckets(int(entries)).withColumn("comp", F.col("class"))
-    involved = buckets.select("class").distinct().join(classes, "class")
-    sets = join.sets(involved.select(F.col("rep").alias("id")).distinct())
-    sets = sets.join(involved, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams"), F.first("bits").alias("bits"))
+    entries, n_ids, rows = docs.agg(F.coalesce(F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1), F.lit(0)), F.countDistinct("id"), F.count("*")).first()
+    join.unique = n_ids == rows
+    reps = classes.select("class", F.col("rep").alias("id"))
+    buckets = join.buckets(int(entries), *join.frequent(sketches)).withColumn("comp", F.col("class"))
     links, known = None, None
     for turn in range(rounds + 1):
-        pairs = join.led(buckets, turn) if turn < rounds else join.crossing(buckets, sets)
-        new = join.linked(pairs, sets)
+        pairs = join.led(buckets, turn) if turn < rounds else join.crossing(buckets, reps)
+        new = join.linked(pairs, reps)
         links = new if links is None else links.union(new)
         known = written(components(links), "jaccard-components")
         if turn < rounds:
             found = known.select(F.col("node").alias("class"), F.col("component").alias("c"))
-            buckets = written(buckets.drop("comp").join(found, "class", "left").select("gram", "class", "size", F.coalesce("c", "class").alias("comp")), "jaccard-buckets")
+            buckets = written(buckets.drop("comp").join(found, "class", "left").select("gram", "class", "size", "alike", F.coalesce("c", "class").alias("comp")), "jaccard-buckets")
     least = known.join(classes, known["node"] == classes["class"]).groupBy("component").agg(F.min("rep").alias("least"))
     named = known.join(least, "component").select(F.col("node").alias("class"), "least")
     first = classes.join(named, "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))

@@ -42,6 +42,38 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
+_P = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_BREAKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the hash's multiplier and of its inverse, so many at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_P, _INVERSE)):
+            steps = np.full(2 * n, base)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def space_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each of the text's space_words, without making the words.
+
+    Differences of a running polynomial over the bytes, brought back to a word's start.
+    """
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_SPACES), np.uint8)
+    power, inverse = _powers_to(len(data) + 1)
+    gaps = np.concatenate([[True], _BREAKS[data], [True]])
+    edges = np.flatnonzero(gaps[1:] != gaps[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * power[: len(data)])])
+    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT = np.uint64(31)
