@@ -35,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 MEET = 200
 #: A leader is tried if it shares this part of a class's prefix; others are left to the exact join.
 TRIED = 0.2
+#: Links up to this number (16 bytes each) become components in one task; more in rounds of joins.
+ONE_TASK = 500_000
 #: Rounds in which classes are compared with leaders before the exact join.
 ROUNDS = 2
 #: Children of a tree's node.
@@ -134,23 +136,36 @@ def traverse(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
                 stack += [(la, i, y, n) for y, n in below(b, lb, j)]
 
 
-def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, bitmaps: list[bytes], left: np.ndarray, both: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, bitmaps: list[bytes], left: np.ndarray, both: bool, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of a bucket's classes that may reach the threshold and aren't of one component.
 
-    ``left`` says on which of the two sides a class is; ``both`` that its side is also joined with itself.
+    ``left`` says on which of the two sides a class is; ``both`` that the right side is also joined
+    with itself. Sets are compared in bitmaps of the smaller one's width: sizes that can reach
+    the threshold are at most a power of two apart, so each width meets itself and the next.
     """
-    width = min(map(len, bitmaps))
-    bits = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in bitmaps])
     order = np.lexsort((classes, comps, sizes))
-    sides = [order[left[order]], order[~left[order]]]
-    trees = [Tree(sizes[s], bits[s]) if len(s) else None for s in sides]
-    jobs = [(0, 1)] if all(trees) else []
-    jobs += [(1, 1)] if trees[1] and both[sides[1][0]] else []
-    for x, y in jobs:
-        for i, j in traverse(trees[x], trees[y], percent):
-            p, q = sides[x][i], sides[y][j]
-            if comps[p] != comps[q]:
-                yield int(min(classes[p], classes[q])), int(max(classes[p], classes[q]))
+    widths = np.array([len(b) for b in bitmaps])[order]
+    groups: dict[tuple[bool, int], np.ndarray] = {}
+    for side in (True, False):
+        for w in np.unique(widths[left[order] == side]).tolist():
+            groups[side, w] = order[(left[order] == side) & (widths == w)]
+
+    def tree(side: bool, w: int, width: int) -> Tree:
+        at = groups[side, w]
+        return Tree(sizes[at], np.stack([folded(np.frombuffer(bitmaps[i], np.uint8), width) for i in at]))
+
+    sides = [(True, False)] + [(False, False)] * both
+    for x, y in sides:
+        for w in sorted({w for _, w in groups}):
+            jobs = [(w, w), (w, 2 * w)] + ([(2 * w, w)] if x != y else [])
+            for a, b in jobs:
+                if (x, a) in groups and (y, b) in groups:
+                    first = tree(x, a, w)
+                    second = first if x == y and a == b else tree(y, b, w)
+                    for i, j in traverse(first, second, percent):
+                        p, q = groups[x, a][i], groups[y, b][j]
+                        if comps[p] != comps[q]:
+                            yield int(min(classes[p], classes[q])), int(max(classes[p], classes[q]))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -356,7 +371,7 @@ class Join:
             cuts = np.flatnonzero(np.diff(c["bucket"][order])) + 1
             for at in np.split(order, cuts):
                 if len(at) > 1:
-                    found.update(bucket_pairs(c["class"][at], c["size"][at], c["comp"][at], [bits[i] for i in at], c["left"][at].astype(bool), c["both"][at].astype(bool), percent))
+                    found.update(bucket_pairs(c["class"][at], c["size"][at], c["comp"][at], [bits[i] for i in at], c["left"][at].astype(bool), bool((c["both"][at] & ~c["left"][at].astype(bool)).any()), percent))
             pairs = sorted(found)
             return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -389,8 +404,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     for turn in range(rounds + 1):
         pairs = join.led(buckets, turn) if turn < rounds else join.crossing(buckets, reps)
         new = join.linked(pairs, reps)
+        if links is not None and new.isEmpty():
+            continue
         links = new if links is None else links.union(new)
-        known = written(components(links), "jaccard-components")
+        known = written(components(links, one_task=ONE_TASK), "jaccard-components")
         if turn < rounds:
             found = known.select(F.col("node").alias("class"), F.col("component").alias("c"))
             buckets = written(buckets.drop("comp").join(found, "class", "left").select("gram", "class", "size", "alike", F.coalesce("c", "class").alias("comp")), "jaccard-buckets")

@@ -74,3 +74,16 @@ def test_trees_leave_no_pair():
     found = set(jaccard.traverse(tree, tree, 80))
     true = {(i, j) for j in range(60) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert true and true <= found < {(i, j) for j in range(60) for i in range(j)}
+
+
+def test_components_by_joins_and_in_one_task(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 330)] + [(400, 400), (None, 3), (500, 900), (500, 901)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    from lodeframe.llm.components import components
+
+    a = sorted(map(tuple, components(df).collect()))
+    assert a == sorted(map(tuple, components(df, one_task=1000).collect()))
+    assert dict(a)[330] == 300 and dict(a)[901] == 500 and dict(a)[400] == 400
