@@ -28,7 +28,7 @@ _NONE = 1 << 62
 #: Words of more parts are merged by way of a heap.
 LONG_WORD = 64
 #: Unicode White_Space, which \s means in the tokenizer files.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:
