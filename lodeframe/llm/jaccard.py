@@ -68,8 +68,8 @@ def prefix(grams: np.ndarray, percent: int, known: np.ndarray, counts: np.ndarra
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each gram, in as many bytes as a power of two that the set's size asks for."""
-    size = max(8, 1 << (max(1, len(grams)) - 1).bit_length() >> 3)
+    """A bit for each gram, in a power of two of bytes that leaves four to eight bits a gram."""
+    size = max(8, 1 << (max(1, len(grams)) - 1).bit_length() >> 1)
     out = np.zeros(size * 8, np.uint8)
     out[(grams % np.uint64(size * 8)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little")
@@ -329,9 +329,20 @@ class Join:
         return written(met.mapInArrow(run, "a long, b long"), "jaccard-links")
 
     def led(self, buckets: DataFrame, turn: int) -> DataFrame:
-        """For each class, its most frequent leader of another component: (a, b)."""
+        """For each class, its most frequent leader of another component: (a, b).
+
+        A bucket's leader is first the class that shares most with others over all its
+        buckets, as an original does among its copies; after that, one by a hash.
+        """
         first = F.struct(F.xxhash64("class", F.lit(turn)).alias("o"), "class", "comp", "size")
-        leaders = buckets.groupBy("gram").agg(F.min(first).alias("lead"))
+        if turn == 0:
+            full = buckets.groupBy("gram").agg(F.count("*").alias("n"), F.first("alike").alias("w"))
+            central = buckets.join(full, "gram").groupBy("class").agg(F.sum(F.col("n") * F.col("w")).alias("c"))
+            ranked = written(buckets.join(central, "class"), "jaccard-central")
+            first = F.struct((-F.col("c")).alias("o"), "class", "comp", "size")
+            leaders = ranked.groupBy("gram").agg(F.min(first).alias("lead"))
+        else:
+            leaders = buckets.groupBy("gram").agg(F.min(first).alias("lead"))
         near = (100 * F.col("size") >= self.percent * F.col("lead.size")) & (100 * F.col("lead.size") >= self.percent * F.col("size"))
         met = buckets.join(leaders, "gram").where((F.col("comp") != F.col("lead.comp")) & near)
         shared = met.groupBy("class", "size", F.col("lead.class").alias("leader")).agg(F.sum("alike").alias("n"))
