@@ -34,8 +34,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that recur across documents; a document goes if only blanks are left of it."""
-    marked = lines.mark(docs)
+    """Texts without lines that recur across documents; a document goes if only blanks are left of it.
+
+    Only near duplicates of one document keep such lines: the next stage drops them as a whole.
+    """
+    marked = lines.mark(docs, tested=True)
     left = marked.where((F.col("n_dropped") == 0) | (F.trim("kept", F.lit(" \t\r\n")) != ""))
     cut = F.col("n_dropped") > 0
     return left.withColumns({"text": F.col("kept"), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm import jaccard
 from lodeframe.llm.shared import written
 
 #: Leading tokens on the way down the tree; parts of the rest that may vary.
@@ -40,7 +41,23 @@ def templates(t: Column) -> Column:
     return F.when((n < LEAST) | (fixed < FIXED), none).when((n < LONG) | (fixed < LONG), F.array(line(t))).otherwise(F.array(line(t), *opened))
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(joined: DataFrame, likely: Column, id_col: str, text_col: str, kept: Column) -> DataFrame:
+    """(__rid, __copy) of the likely copies that are near duplicates of what stays of their __owner.
+
+    The test is that of near-duplicate detection: five-word grams and a Jaccard similarity of
+    0.8. An owner that is a likely copy itself doesn't count, as it may lose lines too, and a null
+    id doesn't, as near-duplicate detection drops none. ``kept`` is the text without all recurring lines.
+    """
+    found = written(joined.where(likely).select("__rid", "__owner", F.col(f"`{id_col}`").isNotNull().alias("named")), "line-copies")
+    pairs = found.where("named").select(F.col("__rid").alias("a"), F.col("__owner").alias("b")).join(found.select(F.col("__rid").alias("b")), "b", "left_anti")
+    texts = joined.join(found.select("__rid", "named"), "__rid", "left").select("__rid", F.when(F.col("named").isNotNull(), F.col(f"`{text_col}`")).otherwise(kept).alias("__text"))
+    test = jaccard.Join(texts, "__rid", "__text", 5, 80, jaccard.SPREAD, jaccard.BLOCK)
+    test.unique = True
+    rows = pairs.select("a").union(pairs.select("b")).distinct()
+    return test.linked(pairs.select("a", "b"), rows.select(F.col("a").alias("class"), F.col("a").alias("id"))).select(F.col("a").alias("__rid"), F.lit(True).alias("__copy"))
+
+
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tested: bool = False) -> DataFrame:
     """Adds to each row: n_lines, n_dropped, and kept, the text without its recurring lines.
 
     A line goes if an earlier document, by id (null after all others), then by row, has a
@@ -48,6 +65,10 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     so does every line of a document that is a copy as a whole. Null texts have no lines
     and stay null; an empty text is one empty line. Rows that repeat an id are documents
     of their own. No rows give no rows.
+
+    By default the share of words alone makes a copy as a whole. With ``tested`` the document
+    must also be a near duplicate of what stays of the document that most of its
+    recurring words are from; all others lose every recurring line.
     """
     rid = "__rid"
     rows = df.withColumn(rid, F.monotonically_increasing_id())
@@ -58,13 +79,24 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     keyed = written(keyed.select("doc", "line", "words", F.xxhash64("template").alias("a"), F.hash("template").alias("b")), "line-templates")
     # First and last document are combined before the shuffle, however often a template recurs.
     seen = keyed.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").drop("final")
-    gone = keyed.join(seen, ["a", "b"]).where("doc <> first").groupBy("doc.rid", "line").agg(F.first("words").alias("words"))
-    gone = gone.groupBy("rid").agg(F.sum("words").alias("__words"), F.collect_list("line").alias("__gone")).withColumnRenamed("rid", rid)
+    gone = keyed.join(seen, ["a", "b"]).where("doc <> first")
+    if tested:
+        gone = gone.groupBy("doc.rid", "line").agg(F.first("words").alias("words"), F.min("first").alias("owner"))
+        gone = gone.groupBy("rid", F.col("owner.rid").alias("owner")).agg(F.sum("words").alias("words"), F.collect_list("line").alias("lines"))
+        gone = gone.groupBy("rid").agg(F.sum("words").alias("__words"), F.flatten(F.collect_list("lines")).alias("__gone"), F.max_by("owner", F.struct("words", "owner")).alias("__owner"))
+        gone = written(gone, "line-gone").withColumnRenamed("rid", rid)
+    else:
+        gone = gone.groupBy("doc.rid", "line").agg(F.first("words").alias("words"))
+        gone = gone.groupBy("rid").agg(F.sum("words").alias("__words"), F.collect_list("line").alias("__gone")).withColumnRenamed("rid", rid)
     split = F.split(F.col(f"`{text_col}`"), "\n")
     all_words = F.aggregate(split, F.lit(0), lambda n, x: n + F.size(tokens(x)))
     joined = rows.join(gone, rid, "left")
     copied = (F.size("__gone") >= COPIED) & (F.col("__words") > SHARE * all_words) & (F.size("__gone") < F.size(split))
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    if tested:
+        every = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(left)
+        joined, copied = joined.join(near_copies(joined, copied, id_col, text_col, every), rid, "left"), F.col("__copy").isNotNull()
     drops = F.when(F.col("__gone").isNull() | copied, F.array().cast("array<int>")).otherwise(F.col("__gone"))
     joined = joined.withColumn("__gone", drops)
-    kept = F.when(F.size("__gone") == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    kept = F.when(F.size("__gone") == 0, F.col(f"`{text_col}`")).otherwise(left)
     return joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_dropped": F.size("__gone").cast("long"), "kept": kept}).select(*(f"`{c}`" for c in df.columns), "n_lines", "n_dropped", "kept")

@@ -117,6 +117,19 @@ def test_lines(spark):
     assert lines.mark(docs(spark, [])).collect() == []
 
 
+def test_lines_of_copies_are_tested(spark):
+    line = lambda k, n=12: " ".join(f"{k}{chr(97 + i)}{k}" for i in range(n))
+    owners = [(i, "\n".join(line(f"o{chr(97 + i)}{chr(97 + j)}") for j in range(8))) for i in range(4)]
+    parts = [t.split("\n") for _, t in owners]
+    # Shared passages of several documents, a near copy of one, a copy of the near copy's own line, and a null id.
+    rows = [*owners, (10, "\n".join([*(p[0] for p in parts), line("own")])), (11, "\n".join([*parts[1], "ends otherwise"])), (None, "\n".join([*parts[2], "ends otherwise"])), (12, owners[3][1] + "\nmine")]
+    marked = {r.doc_id: r for r in lines.mark(docs(spark, rows), tested=True).collect()}
+    assert marked[10].n_dropped == 4 and marked[10].kept == line("own"), "shared passages are no copy of one document"
+    assert marked[11].n_dropped == marked[12].n_dropped == 0, "near-duplicate detection drops these"
+    assert marked[None].kept == "ends otherwise" and all(marked[i].n_dropped == 0 for i in range(4))
+    assert lines.mark(docs(spark, []), tested=True).collect() == []
+
+
 # --- toxicity
 def test_automata_find_what_edit_distance_finds():
     def distance(a, b):

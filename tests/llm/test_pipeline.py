@@ -47,3 +47,11 @@ def test_run_gives_a_row_a_kept_document(spark, sf_dir):
     empty = next(r for r in rows if r.doc_id == 51)
     assert empty.n_tokens == 0 and empty.ids == [] and empty.decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert all(len(r["ids"]) == r.n_tokens for r in rows) and space_words(None) == []
+
+
+def test_shared_passages_do_not_pass_line_dedup(spark, sf_dir):
+    passages = [" ".join(f"{a}{chr(97 + i)}{a}" for i in range(14)) for a in "qrst"]
+    rows = [(70 + i, f"opening words of document {chr(97 + i)} here\n{p}") for i, p in enumerate(passages)] + [(80, "\n".join([*passages, "its own line is short"]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    left = {r.doc_id: r.text for r in cp.drop_lines(spark, frame, sf_dir).collect()}
+    assert left[80] == "its own line is short" and all(left[70 + i] == rows[i][1] for i in range(4))
