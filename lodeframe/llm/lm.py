@@ -1,15 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The model is a bigram model with Dirichlet smoothing towards the unigrams. Bigram
-counts between the most frequent words are quantised to powers of two, and a pair of
-level l is put into the filter with every level up to l; a level is read back by
-probing one level after the other until one is missing. The number of words that have
-bigrams is fixed, so the filter that goes to the workers has a bound.
+The model is a bigram model with Dirichlet smoothing towards the unigrams. The counts of
+all bigrams are quantised to powers of two, and a pair of level l is put into the filter
+with every level up to l; a level is read back by probing one level after the other
+until one is missing. The filter grows with the distinct pairs, so it is held in shards
+by the pairs' hashes, and each shard is probed where it is built.
 
 Unigram counts are exact. Documents are cut into batches of some megabytes; each
-batch asks for the counts of its distinct words once, in packed arrays dealt out by
-the words' hashes, and the answers come back to the batch. A frequent word is thus a
-row a batch, not a row an occurrence.
+batch asks for the counts of its distinct words and for the levels of its distinct pairs
+once, in packed arrays dealt out by hash, and the answers come back to the batch. A
+frequent word or pair is thus a row a batch, not a row an occurrence.
 """
 
 from __future__ import annotations
@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 from lodeframe.llm.shared import slices, written
 from lodeframe.llm.words import WordHashes, mixed, space_words
 
-#: Words, by count, whose pairs are bigrams of the model. The filter holds at most the square of
-#: this many pairs: 84 MB for each level that all pairs have, whatever the corpus.
-VOCABULARY = 8192
 #: Bits an entry and probes an entry: one false level in about a hundred.
 BITS, PROBES = 10, 7
 #: Weight of the unigrams, in tokens.
 SMOOTHING = 500.0
-#: Characters of a batch, and of the texts whose words are counted in one place.
+#: Characters of a batch, and of the texts whose words, or whose pairs, are counted in one place.
 BATCH, SHARD = 6 << 20, 4 << 20
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 60
 
 
@@ -70,7 +68,7 @@ class LogFilter:
         return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
 
     def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        h = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+        h = mixed(keys * _ODD + np.uint64(level))
         step = mixed(h) | np.uint64(1)
         for i in range(PROBES):
             yield ((h + np.uint64(i) * step) % self.size).astype(np.int64)
@@ -130,82 +128,45 @@ def _packed(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (2, 3))], ["shard", "batch", "keys", "counts"])
 
 
-def unigrams(docs: DataFrame, shards: int) -> DataFrame:
-    """The counts that batches ask for, and each shard's most frequent words and totals, as rows of three kinds.
+def pairs(all_tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: a hash of the pair with the one before, and the place of that one.
+
+    A text's first token follows its end token, as if texts were a ring.
+    """
+    ends = np.cumsum(sizes)
+    before = np.arange(len(all_tokens)) - 1
+    before[ends - sizes] = ends - 1
+    return mixed(mixed(all_tokens[before]) * _ODD + all_tokens), before
+
+
+def answers(docs: DataFrame, shards: int) -> DataFrame:
+    """What batches ask for, and the totals, as rows of three kinds.
 
     ``docs`` has text and train. kind 0: (batch, shard, counts) for the batch's distinct words
-    of the shard, in order; kind 1: (words, counts) of the shard; kind 2: number of tokens and of
-    words in batch and shard.
+    of the shard, in order; kind 1: the same with a level in a byte for its distinct pairs; kind 2:
+    number of tokens and of words of a shard in batch and shard.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch, part in _batches(batches, "text", "train"):
             all_tokens, sizes = tokens([t for t, _ in part], hashes)
-            known, at = np.unique(all_tokens, return_inverse=True)
             learnt = np.repeat(np.array([t for _, t in part], np.float64), sizes)
-            yield _packed([(k, batch, *x) for k, *x in _dealt(known, np.bincount(at, learnt, len(known)).astype(np.int64), shards)])
+            for first, keys in ((0, all_tokens), (shards, pairs(all_tokens, sizes)[0])):
+                known, at = np.unique(keys, return_inverse=True)
+                yield _packed([(first + k, batch, *x) for k, *x in _dealt(known, np.bincount(at, learnt, len(known)).astype(np.int64), shards)])
 
     def answer(table: pa.Table) -> pa.Table:
         known, counts, at, cuts = _counted(table)
-        shard = table["shard"][0].as_py()
-        rows = [{"kind": 0, "batch": b, "shard": shard, "words": None, "counts": counts[at[x:y]].tobytes()} for b, x, y in zip(table["batch"].to_pylist(), cuts, cuts[1:], strict=False)]
-        most = np.lexsort((known, -counts))[:VOCABULARY]
-        most = most[counts[most] > 0]
-        rows.append({"kind": 1, "batch": None, "shard": shard, "words": known[most].tobytes(), "counts": counts[most].tobytes()})
-        rows.append({"kind": 2, "batch": int(counts.sum()), "shard": int((counts > 0).sum()), "words": None, "counts": None})
-        return pa.Table.from_pylist(rows, pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("shard", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
+        kind, shard = divmod(table["shard"][0].as_py(), shards)
+        found = LogFilter.of(known, counts).levels(known).astype(np.uint8) if kind else counts
+        rows = [{"kind": kind, "batch": b, "shard": shard, "counts": found[at[x:y]].tobytes()} for b, x, y in zip(table["batch"].to_pylist(), cuts, cuts[1:], strict=False)]
+        if not kind:
+            rows.append({"kind": 2, "batch": int(counts.sum()), "shard": int((counts > 0).sum()), "counts": None})
+        return pa.Table.from_pylist(rows, pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary())]))
 
     asked = docs.select("text", "train").mapInArrow(ask, _PACKED)
-    return written(asked.groupBy("shard").applyInArrow(answer, "kind int, batch long, shard long, words binary, counts binary"), "lm-unigrams")
-
-
-def vocabulary(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, sorted by hash, and their counts."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for words, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["word", "c"])
-
-    rows = answers.where("kind = 1").select("words", "counts").mapInArrow(unpack, "word long, c long").orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
-    words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], np.array([r["c"] for r in rows], np.int64)[order]
-
-
-def pairs(all_tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the pair with the one before as a number, and the place of that one among words; -1 where either isn't one.
-
-    A text's first token follows its end token, as if texts were a ring.
-    """
-    if not len(words):
-        return np.full(len(all_tokens), -1), np.full(len(all_tokens), -1)
-    at = np.minimum(np.searchsorted(words, all_tokens), len(words) - 1)
-    at = np.where(words[at] == all_tokens, at, -1)
-    ends = np.cumsum(sizes)
-    before = np.roll(at, 1)
-    before[ends - sizes] = at[ends - 1]
-    return np.where((at >= 0) & (before >= 0), before * VOCABULARY + at, -1), before
-
-
-def bigram_filters(docs: DataFrame, words: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
-    """(shard, bits) of the filters of counted pairs."""
-    given = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch, part in _batches(batches, "text"):
-            codes, _ = pairs(*tokens([t for (t,) in part], hashes), given.value)
-            known, counts = np.unique(codes[codes >= 0].astype(np.uint64), return_counts=True)
-            yield _packed([(k, batch, *x) for k, *x in _dealt(known, counts.astype(np.int64), shards)])
-
-    def build(table: pa.Table) -> pa.Table:
-        known, counts, *_ = _counted(table)
-        return pa.table({"shard": table["shard"][:1], "bits": pa.array([LogFilter.of(known, counts).bits.tobytes()], pa.binary())})
-
-    counted = docs.where("train").select("text").mapInArrow(count, _PACKED)
-    return [tuple(r) for r in counted.groupBy("shard").applyInArrow(build, "shard int, bits binary").collect()]
+    return written(asked.groupBy("shard").applyInArrow(answer, "kind int, batch long, shard long, counts binary"), "lm-answers")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
@@ -224,38 +185,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (~held).alias("train"))
     size = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD))
-    answers = unigrams(rows, shards)
-    total, distinct = answers.where("kind = 2").agg(F.coalesce(F.sum("batch"), F.lit(0)), F.coalesce(F.sum("shard"), F.lit(0))).first()
-    words, counts = vocabulary(answers)
-    filter_shards = max(1, math.ceil(shards / 4))
-    filters = bigram_filters(rows, words, filter_shards)
-    given = docs.sparkSession.sparkContext.broadcast((words, counts, filters))
+    found = answers(rows, shards)
+    total, distinct = found.where("kind = 2").agg(F.coalesce(F.sum("batch"), F.lit(0)), F.coalesce(F.sum("shard"), F.lit(0))).first()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in _batches(batches, "text", "id", "train"):
             yield pa.RecordBatch.from_arrays([pa.array([batch] * len(part), pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[0] for r in part], pa.string()), pa.array([r[2] for r in part], pa.bool_())], ["batch", "id", "text", "train"])
 
-    cache: dict[int, dict[int, LogFilter]] = {}
+    def answered(keys: np.ndarray, right: pa.Table, kind: int, of: type) -> np.ndarray:
+        out, shard = np.zeros(len(keys), of), (keys % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for k, s, c in zip(*(right[name].to_pylist() for name in ("kind", "shard", "counts")), strict=True):
+            if k == kind:
+                out[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(c, of)
+        return out
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, counts, filters = given.value
-        if not cache:
-            cache[0] = {s: LogFilter(np.frombuffer(bits, np.uint8)) for s, bits in filters}
         all_tokens, sizes = tokens(left["text"].to_pylist(), WordHashes())
         known, at = np.unique(all_tokens, return_inverse=True)
-        exact, shard = np.zeros(len(known), np.int64), (known % np.uint64(shards)).astype(np.int64)
-        for s, c in zip(right["shard"].to_pylist(), right["counts"].to_pylist(), strict=True):
-            exact[shard == s] = np.frombuffer(c, np.int64)
+        exact = answered(known, right, 0, np.int64)
         base = (exact + 1) / (total + distinct + 1)
-        codes, before = pairs(all_tokens, sizes, words)
+        codes, before = pairs(all_tokens, sizes)
         asked, place = np.unique(codes, return_inverse=True)
-        levels, keys = np.zeros(len(asked), np.int64), asked.astype(np.uint64)
-        of = (keys % np.uint64(filter_shards)).astype(np.int64)
-        for s, f in cache[0].items():
-            mine = (of == s) & (asked >= 0)
-            levels[mine] = f.levels(keys[mine])
-        pair = LogFilter.count(levels)[place]
-        context = np.where(before >= 0, counts[before] if len(counts) else 0, 0)
+        pair = LogFilter.count(answered(asked, right, 1, np.uint8).astype(np.int64))[place]
+        context = exact[at][before]
         # A pair is counted no more often than its first word.
         smooth = (np.minimum(pair, context) + SMOOTHING * base[at]) / (context + SMOOTHING)
         starts = np.cumsum(sizes) - sizes
@@ -264,5 +218,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     tagged = rows.withColumn("id", F.col("id").cast("long")).mapInArrow(tag, "batch long, id long, text string, train boolean").groupBy("batch")
-    asked = answers.where("kind = 0").select("batch", "shard", "counts").groupBy("batch")
+    asked = found.where("kind < 2").select("batch", "kind", "shard", "counts").groupBy("batch")
     return tagged.cogroup(asked).applyInArrow(evaluate, kind).withColumnRenamed("id", id_col)

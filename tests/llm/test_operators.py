@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeframe.llm import lines, lm, secrets, topk, toxicity, urls, warc
 from lodeframe.llm.words import space_hashes, space_words
@@ -77,6 +78,27 @@ def test_language_model(spark):
     assert all(r.score < 0 for r in got) and lm.score(docs(spark, [])).collect() == []
 
 
+def test_bigrams_of_rare_words_count(spark):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(9000) for _ in range(3)]
+    rng.shuffle(common)
+    rows = [(None, " ".join(common[i : i + 100])) for i in range(0, len(common), 100)] + [(None, "rare pair"), (None, "rare pair")]
+    rows += [(i, t) for i, t in enumerate(["rare pair", "pair rare", "c1 rare pair"])]
+    got = {r.doc_id: r for r in lm.score(docs(spark, rows), held=F.col("doc_id").isNotNull()).where("doc_id IS NOT NULL").collect()}
+    counts, twos = Counter(), Counter()
+    for _, t in rows[:-3]:
+        ws = [*t.split(), ""]
+        counts.update(ws)
+        twos.update(zip([ws[-1], *ws], ws, strict=False))
+    n, v = sum(counts.values()), len(counts)
+    middle = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0
+    for i, t in rows[-3:]:
+        ws = [*t.split(), ""]
+        p = [(min(middle(twos[a, b]), counts[a]) + lm.SMOOTHING * (counts[b] + 1) / (n + v + 1)) / (counts[a] + lm.SMOOTHING) for a, b in zip([ws[-1], *ws], ws, strict=False)]
+        assert abs(got[i].score - sum(map(math.log10, p))) < 1e-6
+    assert got[0].score > got[1].score + 1
+
+
 def test_log_filter():
     rng = np.random.default_rng(4)
     keys, counts = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64)), None
