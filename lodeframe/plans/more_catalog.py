@@ -185,8 +185,7 @@ def sum_score(spark, d):
 
 @query("sum_select")
 def sum_select(spark, d):
-    c = _page_chunks(spark, d).where("page_id < 20")
-    return spark.createDataFrame([(summarize.summarize(c, "page_id"),)], "summary string")
+    return summarize.summaries(_page_chunks(spark, d), "page_id")
 
 
 @query("sum_thematic")

@@ -100,6 +100,19 @@ def test_summary(spark):
     assert summarize.sample(spark.range(10).selectExpr("1 AS d", "id AS ordinal"), "d", 3).count() == 3
 
 
+def test_every_page_has_its_summary(spark):
+    import __spark_entry__
+    from lodeframe.plans import more_catalog
+
+    sf_dir = __spark_entry__.SMOKE
+    chunks = more_catalog._page_chunks(spark, sf_dir)
+    got = {r.page_id: r.summary for r in __spark_entry__.queries()["sum_select"](spark, sf_dir).collect()}
+    ids = {r.page_id for r in chunks.select("page_id").distinct().collect()}
+    assert set(got) == ids and max(ids) >= 20
+    for i in sorted(ids)[::20][:2]:
+        assert got[i] == summarize.summarize(chunks.where(f"page_id = {i}"), "page_id")
+
+
 def test_language(spark):
     df = spark.createDataFrame([("the cat is here",), ("नमस्ते दुनिया",), ("bonjour monde",), ("the и is",), ("",)], "t string")
     assert [r[0] for r in df.select(x.script_language(x.F.col("t"))).collect()] == ["en-IN", "hi-IN", "und", "und", "und"]
