@@ -25,8 +25,8 @@ from lodeframe.llm.words import alnum_words
 
 #: Labelled rows that the model is fitted on, at the most: those with the least hash of their id.
 FIT_ROWS = 20_000
-#: Terms of the lexicon at the most, and the log-likelihood ratio (G-squared) that a term needs.
-TERMS, EVIDENCE = 160, 20.0
+#: The log-likelihood ratio (G-squared) that a term of the lexicon needs. FIT_ROWS bounds how many words can have it.
+EVIDENCE = 20.0
 #: Letters of a stem, which stands for all words that begin so.
 STEMS = (5, 4)
 #: Words to each side of a hit that make its context.
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
     evidence = part(F.col("t"), n * share) + part(F.col("c"), n * (1 - share)) + part(toxic - F.col("t"), (toxic + clean - n) * share) + part(clean - F.col("c"), (toxic + clean - n) * (1 - share))
     telling = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") > 0) & (F.col("g") >= EVIDENCE))
-    best = telling.orderBy(F.desc("g"), "word").limit(TERMS).collect()
+    best = telling.orderBy(F.desc("g"), "word").collect()
     terms, strengths = tuple(r["word"] for r in best), tuple(min(6.0, r["odds"]) * min(1.0, math.sqrt(r["g"]) / 10) for r in best)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

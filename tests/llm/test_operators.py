@@ -153,6 +153,14 @@ def test_lines_of_copies_are_tested(spark):
 
 
 # --- toxicity
+def test_evidence_alone_bounds_the_lexicon(spark):
+    word = lambda k: "".join(chr(97 + int(c)) * 2 for c in f"{k:03d}")[:4] + chr(97 + k % 10)
+    words = sorted({word(k) for k in range(1000)})[:200]
+    rows = [(i, f"{' '.join(words)} filler" if i % 2 else "plain filler of clean text") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert set(words) <= set(toxicity.fit(docs(spark, rows), labels).terms)
+
+
 def test_automata_find_what_edit_distance_finds():
     def distance(a, b):
         row = list(range(len(b) + 1))
