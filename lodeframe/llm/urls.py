@@ -65,22 +65,40 @@ def address(url: Column) -> Column:
     return F.when(at != "", whole)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. segments."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    step = lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s)))
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(left, F.array(F.lit("")))).otherwise(left)
+    return F.concat(F.lit("/"), F.array_join(ended, "/"))
+
+
 def target(url: Column, link: Column) -> Column:
-    """The absolute url of a link on a page: absolute, without a scheme, or from the host's root; else null."""
+    """The absolute url of a link on a page; null for a fragment of the page itself and for other schemes than http.
+
+    A link may be absolute, without a scheme, from the host's root, from the page's folder, or a query alone.
+    """
     link = F.regexp_replace(link, "&amp;", "&")
     scheme = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    root = F.concat(scheme, F.lit("://"), host(url))
+    at, rest = F.regexp_extract(link, "(?s)^[^?#]*", 0), F.regexp_extract(link, "(?s)[?#].*$", 0)
+    folder = F.regexp_replace(path(url), "(?s)[^/]*$", "")
     return (
         F.when(link.rlike("(?i)^https?://"), link)
+        .when(link.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None).cast("string"))
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(scheme, F.lit("://"), host(url), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(at), rest))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path(url), link))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, at)), rest))
     )
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b) addresses: a page and the one that its canonical link or its refresh names."""
+    """(a, b) addresses: a page and each one that a canonical link or a refresh of it names."""
     url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
-    links = F.array(*(F.when(html.rlike(p), target(url, F.regexp_extract(html, p, 1))) for p in (_LINK, _REFRESH)))
-    found = pages.select(url.alias("url"), F.explode(links).alias("to")).where("to IS NOT NULL")
+    links = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (_LINK, _REFRESH)))
+    found = pages.select(url.alias("url"), F.explode(links).alias("link")).select("url", target(F.col("url"), F.col("link")).alias("to")).where("to IS NOT NULL")
     return found.select(address(F.col("url")).alias("a"), address(F.col("to")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 

@@ -125,6 +125,17 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), rules).collect() == []
 
 
+def test_relative_and_later_links(spark):
+    link = lambda to: f"<link rel=canonical href='{to}'>"
+    rows = [(1, "http://b.com/x/a?k=1", link("../en/p")), (2, "http://b.com", link("en/q.html")), (3, "http://b.com/x/c", link("http://y.net/") + link("./../en/r")), (4, "http://b.com/x/d", "<meta http-equiv=refresh content='0; url=../y/./../en/s'>"), (5, "http://b.com/x/e", link("#en") + link("mailto:x@b.com/en/"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, [urls.Rule("block", "com", "/en/")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+    made = lambda url, to: spark.range(1).select(urls.target(F.lit(url), F.lit(to))).first()[0]
+    assert made("http://h.org/a/b?c=1", "?id=1") == "http://h.org/a/b?id=1"
+    assert made("http://h.org/a/b/c", "..") == "http://h.org/a/" and made("http://h.org/a/b", "../../x?y=../z") == "http://h.org/x?y=../z"
+
+
 # --- lines
 def test_lines(spark):
     long = " ".join(f"word{chr(97 + i)}" for i in range(16))
