@@ -49,30 +49,34 @@ def tolerance(term: str) -> int:
 
 
 class Trie:
-    """Terms as nested dictionaries, one trie for each tolerance; a node's "" holds its term's number.
+    """Terms as nested dictionaries, one trie for each tolerance and piece; a node's "" holds its term's number.
 
     Of a term that forgives e edits, cut into e + 1 pieces, one piece stays whole in
-    every word that it matches. Words without such a piece aren't walked.
+    every word that it matches. A word is walked with the tries of its pieces alone.
     """
 
     def __init__(self, terms: list[str]):
         self.exact = {t: i for i, t in enumerate(terms)}
-        self.roots: dict[int, dict] = {}
-        self.pieces: dict[int, dict[tuple[int, int, int | None], set[str]]] = {}
+        roots: dict[tuple[int, int, str], dict] = {}
+        self.pieces: dict[int, dict[tuple[int, int, int], dict[str, list[dict]]]] = {}
         for i, t in enumerate(terms):
             if not (e := tolerance(t)):
                 continue
-            node = self.roots.setdefault(e, {})
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = i
             cuts = [len(t) * k // (e + 1) for k in range(e + 2)]
+            # Terms of one length and piece share a trie, so all of it may match where the piece does.
+            own = [roots.setdefault((len(t), a, t[a:b]), {}) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for node in own:
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[""] = i
             for size in range(len(t) - e, len(t) + e + 1):
                 kept = self.pieces.setdefault(size, {})
-                for a, b in zip(cuts, cuts[1:], strict=False):
+                for a, b, root in zip(cuts, cuts[1:], own, strict=False):
                     # The first piece stays in its place, the last at the end, others move by e.
                     for shift in (0,) if a == 0 else (size - len(t),) if b == len(t) else range(-e, e + 1):
-                        kept.setdefault((e, a + shift, b + shift), set()).add(t[a:b])
+                        found = kept.setdefault((e, a + shift, b + shift), {}).setdefault(t[a:b], [])
+                        if not any(root is x for x in found):
+                            found.append(root)
 
     def near(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term within its tolerance, the first of equals.
@@ -86,8 +90,8 @@ class Trie:
                 return 0, i
         if not (kept := self.pieces.get(len(word))):
             return None
-        possible = {e for (e, a, b), found in kept.items() if word[a:b] in found}
-        return min(filter(None, (intersect(self.roots[e], word, e) for e in possible)), default=None)
+        possible = {id(root): (root, e) for (e, a, b), found in kept.items() for root in found.get(word[a:b], ())}
+        return min(filter(None, (intersect(root, word, e) for root, e in possible.values())), default=None)
 
 
 def intersect(root: dict, word: str, edits: int) -> tuple[int, int] | None:
