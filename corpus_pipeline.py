@@ -17,14 +17,22 @@ from lodeframe.llm import bpe, decontam, jaccard, lines, toxicity
 from lodeframe.llm.queries import vocabulary
 from lodeframe.llm.shared import table, written
 
-#: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Row numbers up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in ids; a null doc_id stays."""
-    ids = written(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row; written, so that every read gives the same numbers."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Numbered docs without these rows, and without the numbers: ids may be null or repeat."""
+    rows = written(rows.select(ROW), "dropped")
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +53,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    found = jaccard.groups(docs)
-    kept = without(docs, found.where("doc_id <> component_id"))
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates the document with the smallest id, null after all others."""
+    docs = numbered(docs)
+    found = jaccard.groups(docs, ROW)
+    several = found.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct()
+    members = docs.select(ROW, "doc_id").join(found.join(several, "component_id").select(ROW, "component_id"), ROW)
+    members = written(members, "near-duplicates")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return without(docs, members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in windows of test items."""
-    found = decontam.judged(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
+    docs = numbered(docs)
+    found = decontam.judged(decontam.contamination(docs, table(spark, sf_dir, "benchmark"), ROW))
     return without(docs, found.where("contaminated"))
 
 

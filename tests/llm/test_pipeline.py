@@ -55,3 +55,14 @@ def test_shared_passages_do_not_pass_line_dedup(spark, sf_dir):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     left = {r.doc_id: r.text for r in cp.drop_lines(spark, frame, sf_dir).collect()}
     assert left[80] == "its own line is short" and all(left[70 + i] == rows[i][1] for i in range(4))
+
+
+def test_rows_are_dropped_one_by_one(spark, sf_dir):
+    texts = [" ".join(f"{a}{chr(97 + i)}{a}" for i in range(20)) for a in "ghjk"]
+    item = "the test item asks for a word that no one here would ever say twice"
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[3]), (None, texts[1]), (None, item), (3, item), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    near = cp.drop_near_duplicates(spark, frame, sf_dir)
+    assert near.columns == frame.columns and seen(near) == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, item), (None, None)], key=repr)
+    assert seen(cp.drop_contaminated(spark, frame, sf_dir)) == sorted([r for r in rows if r[1] != item], key=repr)
