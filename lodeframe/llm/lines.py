@@ -5,6 +5,7 @@ leading tokens, where a token with a digit is a variable field. At the leaf stan
 templates: the line with its variable fields, and, for lines that are long enough, the
 line with one of three parts of its rest left open. Lines of several documents at one
 template are the same line with other values; all but those of the first document go.
+A template is kept as hashes of its parts, so that each token is read once.
 """
 
 from __future__ import annotations
@@ -17,28 +18,43 @@ from lodeframe.llm.shared import written
 
 #: Leading tokens on the way down the tree; parts of the rest that may vary.
 DEPTH, PARTS = 3, 3
-#: Shorter lines stay, and so do those with fewer fixed tokens; open parts need LONG tokens.
+#: Lines with fewer tokens, or fewer fixed ones, are a template as they stand; open parts need LONG fixed tokens.
 LEAST, FIXED, LONG = 4, 3, 12
-#: A document that would lose more than this share of its words, in at least COPIED lines,
-#: is a copy as a whole: near-duplicate detection decides on it, and its lines stay.
-SHARE, COPIED = 0.5, 3
+#: A document that would lose more than this share of its words may be a copy as a whole.
+SHARE = 0.5
 
 
 def tokens(line: Column) -> Column:
-    """Tokens by space, tab and return; one with a digit is <*>."""
-    fields = F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")
-    return F.filter(F.split(fields, r"[ \t\r]+"), lambda t: t != "")
+    """Tokens of a line that has single spaces between them."""
+    return F.split(line, " ")
 
 
-def templates(t: Column) -> Column:
-    """The templates that a line's tokens stand for, each from its path down the tree on."""
-    n = F.size(t)
-    line = lambda *parts: F.concat_ws(" ", n.cast("string"), *parts)
-    cuts = [F.floor(F.lit(DEPTH) + (n - DEPTH) * i / PARTS).cast("int") for i in range(PARTS + 1)]
-    opened = [line(F.slice(t, 1, a), F.lit("<+>"), F.slice(t, b + 1, n - b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    fixed = F.size(F.filter(t, lambda x: x != "<*>"))
-    none = F.array().cast("array<string>")
-    return F.when((n < LEAST) | (fixed < FIXED), none).when((n < LONG) | (fixed < LONG), F.array(line(t))).otherwise(F.array(line(t), *opened))
+def masked(line: Column) -> Column:
+    """The line with <*> for each token with a digit. No place is looked at twice, however long a token is."""
+    return F.regexp_replace(line, r"(?<![^ ])[^0-9 ]*+[0-9][^ ]*+", "<*>")
+
+
+def line_rows(rows: DataFrame, doc: Column, text: Column) -> DataFrame:
+    """(doc, line, text) of every line with tokens; space, tab and return between tokens are one space."""
+    single = F.regexp_replace(text, r"[ \t\r]{2,}|[\t\r]", " ")
+    lines = rows.select(doc.alias("doc"), F.posexplode(F.split(single, "\n")).alias("line", "raw"))
+    return lines.select("doc", "line", F.trim("raw").alias("raw")).where("raw <> ''")
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """(doc, line, words, a, b): a row for each template that a line stands for, under two hashes."""
+    cut = lines.select("doc", "line", "raw", tokens(masked(F.col("raw"))).alias("t"))
+    cut = cut.select("doc", "line", "raw", "t", F.size("t").alias("n"), F.size(F.array_remove("t", "<*>")).alias("fixed"))
+    n = F.col("n")
+    cuts = [F.lit(0), *(F.least(n, F.lit(DEPTH)) + F.floor(F.greatest(n - DEPTH, F.lit(0)) * i / PARTS).cast("int") for i in range(PARTS + 1))]
+    pieces = [F.slice("t", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts = cut.select("doc", "line", "raw", "n", "fixed", *(f(p).alias(f"{name}{i}") for i, p in enumerate(pieces) for name, f in (("x", F.xxhash64), ("y", F.hash))))
+    key = lambda kind, of: F.struct(F.xxhash64(F.lit(kind), n, *(f"x{i}" for i in of)).alias("a"), F.hash(F.lit(kind), n, *(f"y{i}" for i in of)).alias("b"))
+    every = range(PARTS + 1)
+    whole, opened = key(0, every), [key(k, [i for i in every if i != k]) for k in range(1, PARTS + 1)]
+    exact = F.struct(F.xxhash64("raw", "n").alias("a"), F.hash("raw", "n").alias("b"))
+    found = F.when((n < LEAST) | (F.col("fixed") < FIXED), F.array(exact)).when(F.col("fixed") < LONG, F.array(whole)).otherwise(F.array(whole, *opened))
+    return parts.select("doc", "line", F.col("n").alias("words"), F.inline(found))
 
 
 def near_copies(joined: DataFrame, likely: Column, id_col: str, text_col: str, kept: Column) -> DataFrame:
@@ -57,46 +73,56 @@ def near_copies(joined: DataFrame, likely: Column, id_col: str, text_col: str, k
     return test.linked(pairs.select("a", "b"), rows.select(F.col("a").alias("class"), F.col("a").alias("id"))).select(F.col("a").alias("__rid"), F.lit(True).alias("__copy"))
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tested: bool = False) -> DataFrame:
+def left_over(split: Column, gone: Column) -> Column:
+    """The lines whose numbers, sorted in gone, aren't listed: whole slices between the listed ones."""
+
+    def slices(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1))
+        ends = F.concat(gone, F.array(F.size(lines)))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+
+    # Within a lambda a column is made anew for each element, a variable isn't.
+    return F.transform(F.array(split), slices)[0]
+
+
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tested: bool = False, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
     """Adds to each row: n_lines, n_dropped, and kept, the text without its recurring lines.
 
-    A line goes if an earlier document, by id (null after all others), then by row, has a
-    line of one of its templates. Lines that recur within one document alone stay, and
-    so does every line of a document that is a copy as a whole. Null texts have no lines
-    and stay null; an empty text is one empty line. Rows that repeat an id are documents
-    of their own. No rows give no rows.
+    A line goes if an earlier document, by id (null after all others), then by a hash of
+    the text, has a line of one of its templates. Lines that recur within one document alone
+    stay, and so do lines without tokens. Null texts have no lines and stay null; an empty
+    text is one empty line. Rows that repeat an id with other texts are documents of their own,
+    rows that repeat both are one. No rows give no rows. Columns that are called like the
+    new ones (``names``) give way to them.
 
-    By default the share of words alone makes a copy as a whole. With ``tested`` the document
-    must also be a near duplicate of what stays of the document that most of its
-    recurring words are from; all others lose every recurring line.
+    With ``tested`` a document that would lose more than half of its words keeps all its
+    lines if it is a near duplicate of what stays of the document that most of its
+    recurring words are from. Rows are then numbered in a written copy, and each is a document.
     """
     rid = "__rid"
-    rows = df.withColumn(rid, F.monotonically_increasing_id())
-    place = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(rid).alias("rid"))
-    lines = rows.select(place.alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "text"))
-    lines = lines.withColumn("t", tokens(F.col("text"))).where(F.size("t") >= LEAST)
-    keyed = lines.select("doc", "line", F.size("t").alias("words"), F.explode(templates(F.col("t"))).alias("template"))
-    keyed = written(keyed.select("doc", "line", "words", F.xxhash64("template").alias("a"), F.hash("template").alias("b")), "line-templates")
+    text = F.col(f"`{text_col}`")
+    # A number must be the same whenever it is read, so it is written; else the text itself is the key.
+    rows = written(df.withColumn(rid, F.monotonically_increasing_id()), "line-rows") if tested else df.withColumn(rid, F.xxhash64(text))
+    rows = rows.withColumn("__doc", F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(rid).alias("rid")))
+    keyed = written(templates(line_rows(rows, F.col("__doc"), text)), "line-templates")
     # First and last document are combined before the shuffle, however often a template recurs.
     seen = keyed.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first <> final").drop("final")
     gone = keyed.join(seen, ["a", "b"]).where("doc <> first")
     if tested:
-        gone = gone.groupBy("doc.rid", "line").agg(F.first("words").alias("words"), F.min("first").alias("owner"))
-        gone = gone.groupBy("rid", F.col("owner.rid").alias("owner")).agg(F.sum("words").alias("words"), F.collect_list("line").alias("lines"))
-        gone = gone.groupBy("rid").agg(F.sum("words").alias("__words"), F.flatten(F.collect_list("lines")).alias("__gone"), F.max_by("owner", F.struct("words", "owner")).alias("__owner"))
-        gone = written(gone, "line-gone").withColumnRenamed("rid", rid)
+        gone = gone.groupBy("doc", "line").agg(F.first("words").alias("words"), F.min("first").alias("owner"))
+        gone = gone.groupBy("doc", F.col("owner.rid").alias("owner")).agg(F.sum("words").alias("words"), F.collect_list("line").alias("lines"))
+        gone = gone.groupBy("doc").agg(F.sum("words").alias("__words"), F.sort_array(F.flatten(F.collect_list("lines"))).alias("__gone"), F.max_by("owner", F.struct("words", "owner")).alias("__owner"))
+        gone = written(gone, "line-gone")
     else:
-        gone = gone.groupBy("doc.rid", "line").agg(F.first("words").alias("words"))
-        gone = gone.groupBy("rid").agg(F.sum("words").alias("__words"), F.collect_list("line").alias("__gone")).withColumnRenamed("rid", rid)
-    split = F.split(F.col(f"`{text_col}`"), "\n")
-    all_words = F.aggregate(split, F.lit(0), lambda n, x: n + F.size(tokens(x)))
-    joined = rows.join(gone, rid, "left")
-    copied = (F.size("__gone") >= COPIED) & (F.col("__words") > SHARE * all_words) & (F.size("__gone") < F.size(split))
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+        gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("__gone"))
+    joined = rows.join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    split = F.split(text, "\n")
+    left = F.array_join(left_over(split, F.col("__gone")), "\n")
     if tested:
-        every = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(left)
-        joined, copied = joined.join(near_copies(joined, copied, id_col, text_col, every), rid, "left"), F.col("__copy").isNotNull()
-    drops = F.when(F.col("__gone").isNull() | copied, F.array().cast("array<int>")).otherwise(F.col("__gone"))
-    joined = joined.withColumn("__gone", drops)
-    kept = F.when(F.size("__gone") == 0, F.col(f"`{text_col}`")).otherwise(left)
-    return joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_dropped": F.size("__gone").cast("long"), "kept": kept}).select(*(f"`{c}`" for c in df.columns), "n_lines", "n_dropped", "kept")
+        every = F.when(F.col("__gone").isNull(), text).otherwise(left)
+        likely = (F.col("__words") > SHARE * F.size(F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " "))) & (F.size("__gone") < F.size(split))
+        joined = joined.join(near_copies(joined, likely, id_col, text_col, every), rid, "left")
+        joined = joined.withColumn("__gone", F.when(F.col("__copy").isNull(), F.col("__gone")))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    added = dict(zip(names, (n_lines.cast("long"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"), F.when(F.col("__gone").isNull(), text).otherwise(left)), strict=True))
+    return joined.select(*(f"`{c}`" for c in df.columns if c not in names), *(c.alias(name) for name, c in added.items()))

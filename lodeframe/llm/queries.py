@@ -132,25 +132,23 @@ ORACLE: dict[str, str] = {
           SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS s
           FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
         ), t AS (
-          SELECT doc_id, line, list_filter(regexp_split_to_array(regexp_replace(s, '[^ \t\r]*[0-9][^ \t\r]*', '<*>', 'g'), '[ \t\r]+'), lambda x: x <> '') AS t FROM l
-        ), n AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x <> '<*>')) AS f FROM t),
+          SELECT doc_id, line, list_filter(regexp_split_to_array(s, '[ \t\r]+'), lambda x: x <> '') AS r,
+                 list_filter(regexp_split_to_array(regexp_replace(s, '[^ \t\r]*[0-9][^ \t\r]*', '<*>', 'g'), '[ \t\r]+'), lambda x: x <> '') AS t FROM l
+        ), n AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x <> '<*>')) AS f FROM t WHERE len(t) > 0),
         k AS (
           SELECT doc_id, line, n, array_to_string(t, ' ') AS k FROM n WHERE n >= 4 AND f >= 3
           UNION ALL
+          SELECT doc_id, line, n, chr(9) || array_to_string(r, ' ') AS k FROM n WHERE n < 4 OR f < 3
+          UNION ALL
           SELECT doc_id, line, n,
                  array_to_string(t[1 : a], ' ') || ' <+> ' || array_to_string(t[b + 1 : n], ' ') AS k
           FROM (SELECT *, CAST(floor(3 + (n - 3) * p / 3.0) AS BIGINT) AS a, CAST(floor(3 + (n - 3) * (p + 1) / 3.0) AS BIGINT) AS b
-                FROM n, (VALUES (0), (1), (2)) AS v(p) WHERE n >= 12 AND f >= 12)
+                FROM n, (VALUES (0), (1), (2)) AS v(p) WHERE f >= 12)
         ), r AS (SELECT n, k, min(doc_id) AS first FROM k GROUP BY n, k HAVING min(doc_id) <> max(doc_id)),
-        g AS (SELECT DISTINCT doc_id, line, n FROM k JOIN r USING (n, k) WHERE doc_id <> first),
-        s AS (SELECT doc_id, count(*) AS c, sum(n) AS w, list(line) AS gone FROM g GROUP BY doc_id),
-        d AS (SELECT doc_id, sum(n) AS w, count(*) AS c FROM n GROUP BY doc_id),
-        x AS (
-          SELECT s.doc_id, CASE WHEN s.c >= 3 AND s.w > 0.5 * d.w AND s.c < d.c THEN [] ELSE gone END AS gone FROM s JOIN d USING (doc_id)
-        )
+        g AS (SELECT doc_id, list(DISTINCT line) AS gone FROM k JOIN r USING (n, k) WHERE doc_id <> first GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
                sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: string_split(text, chr(10))[i]), chr(10)), '')) AS kept_sha256
-        FROM documents LEFT JOIN x USING (doc_id)""",
+        FROM documents LEFT JOIN g USING (doc_id)""",
     "op8_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -145,21 +145,62 @@ def test_lines(spark):
     assert marked[1].n_dropped == 0 and marked[2].kept == "another line that is own"
     assert marked[3].kept.split("\n")[0] == "third line here is own" and marked[3].n_dropped == 1
     assert (marked[4].kept, marked[4].n_lines, marked[5].kept, marked[5].n_lines) == (None, 0, "", 1)
-    assert marked[6].n_dropped == marked[7].n_dropped == 0 and marked[None].kept == "some free text right here"
-    assert marked[9].n_dropped == 0, "a copy as a whole is left to near-duplicate detection"
+    assert marked[6].n_dropped == 0 and marked[None].kept == "some free text right here"
+    assert marked[7].kept == "", "short lines recur word for word"
+    assert marked[9].kept == "fifth is its very own" and marked[9].n_dropped == 3
     assert lines.mark(docs(spark, [])).collect() == []
 
 
+def test_lines_against_brute_force(spark):
+    rng = random.Random(11)
+    words = ["red", "green", "blue", "17", "x9y", "<*>", "*", "à", "b\x0bc"]
+
+    def line():
+        n = rng.choice([0, 1, 2, 3, 4, 6, 12, 13, 15])
+        return rng.choice(["", " ", "\t"]) + rng.choice([" ", "  ", "\t ", "\r"]).join(rng.choice(words[: rng.choice([2, 9])]) for _ in range(n)) + rng.choice(["", " \r"])
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(6)))) for i in range(200)] + [(300, None), (300, "red green red blue"), (None, "red green red blue"), (301, "red green red blue\n\nred"), (301, "red green red blue\n\nred")]
+
+    def keys(text):
+        raw = [t for t in re.split("[ \t\r]+", text) if t]
+        t = ["<*>" if re.search("[0-9]", x) else x for x in raw]
+        n, fixed = len(t), sum(x != "<*>" for x in t)
+        if not n:
+            return []
+        if n < 4 or fixed < 3:
+            return [("exact", *raw)]
+        cuts = [3 + (n - 3) * i // 3 for i in range(4)]
+        return [tuple(t)] + [(*t[:a], None, n, *t[b:]) for a, b in zip(cuts, cuts[1:])] * (fixed >= 12)
+
+    first = {}
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    for r in order:
+        for x in r[1].split("\n"):
+            for k in keys(x):
+                first.setdefault(k, r)
+    kept = lambda r: None if r[1] is None else "\n".join(x for x in r[1].split("\n") if all(first[k] == r for k in keys(x)))
+    got = lines.mark(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text, r.kept) for r in got), key=repr) == sorted(((*r, kept(r)) for r in rows), key=repr)
+
+
+def test_lines_of_a_long_text_and_clashing_columns(spark):
+    text = "\n".join(f"w{chr(97 + i % 26)} {chr(97 + i // 26 % 26)} v{chr(97 + i // 676 % 26)} u{chr(97 + i // 17576)}" for i in range(40_000))
+    df = spark.createDataFrame([(1, text, "old", 5), (2, text + "\n" + "x" * 1_000_000, "old", 5)], "doc_id long, text string, kept string, n_lines int")
+    got = {r.doc_id: r for r in lines.mark(df).collect()}
+    assert got[1].n_dropped == 0 and got[1].kept == text and got[2].n_dropped == 40_000 and got[2].kept == "x" * 1_000_000
+    assert lines.mark(df, names=("a", "b", "c")).columns == ["doc_id", "text", "kept", "n_lines", "a", "b", "c"]
+
+
 def test_lines_of_copies_are_tested(spark):
     line = lambda k, n=12: " ".join(f"{k}{chr(97 + i)}{k}" for i in range(n))
     owners = [(i, "\n".join(line(f"o{chr(97 + i)}{chr(97 + j)}") for j in range(8))) for i in range(4)]
     parts = [t.split("\n") for _, t in owners]
     # Shared passages of several documents, a near copy of one, a copy of the near copy's own line, and a null id.
-    rows = [*owners, (10, "\n".join([*(p[0] for p in parts), line("own")])), (11, "\n".join([*parts[1], "ends otherwise"])), (None, "\n".join([*parts[2], "ends otherwise"])), (12, owners[3][1] + "\nmine")]
+    rows = [*owners, (10, "\n".join([*(p[0] for p in parts), line("own")])), (11, "\n".join([*parts[1], "ends otherwise"])), (None, "\n".join([*parts[2], "ends another way"])), (12, owners[3][1] + "\nmine")]
     marked = {r.doc_id: r for r in lines.mark(docs(spark, rows), tested=True).collect()}
     assert marked[10].n_dropped == 4 and marked[10].kept == line("own"), "shared passages are no copy of one document"
     assert marked[11].n_dropped == marked[12].n_dropped == 0, "near-duplicate detection drops these"
-    assert marked[None].kept == "ends otherwise" and all(marked[i].n_dropped == 0 for i in range(4))
+    assert marked[None].kept == "ends another way" and all(marked[i].n_dropped == 0 for i in range(4))
     assert lines.mark(docs(spark, []), tested=True).collect() == []
 
 
