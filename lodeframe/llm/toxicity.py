@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from lodeframe.llm.words import alnum_words
 FIT_ROWS = 20_000
 #: The log-likelihood ratio (G-squared) that a term of the lexicon needs. FIT_ROWS bounds how many words can have it.
 EVIDENCE = 20.0
+#: How much more often toxic texts hold a term.
+TIMES = 2.0
 #: Letters of a stem, which stands for all words that begin so.
 STEMS = (5, 4)
 #: Words to each side of a hit that make its context.
@@ -56,27 +59,32 @@ class Trie:
     """
 
     def __init__(self, terms: list[str]):
-        self.exact = {t: i for i, t in enumerate(terms)}
-        roots: dict[tuple[int, int, str], dict] = {}
+        self.exact: dict[str, int] = {}
+        self.roots: dict[tuple[int, int, str], dict] = {}
         self.pieces: dict[int, dict[tuple[int, int, int], dict[str, list[dict]]]] = {}
-        for i, t in enumerate(terms):
-            if not (e := tolerance(t)):
-                continue
-            cuts = [len(t) * k // (e + 1) for k in range(e + 2)]
-            # Terms of one length and piece share a trie, so all of it may match where the piece does.
-            own = [roots.setdefault((len(t), a, t[a:b]), {}) for a, b in zip(cuts, cuts[1:], strict=False)]
-            for node in own:
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = i
-            for size in range(len(t) - e, len(t) + e + 1):
-                kept = self.pieces.setdefault(size, {})
-                for a, b, root in zip(cuts, cuts[1:], own, strict=False):
-                    # The first piece stays in its place, the last at the end, others move by e.
-                    for shift in (0,) if a == 0 else (size - len(t),) if b == len(t) else range(-e, e + 1):
-                        found = kept.setdefault((e, a + shift, b + shift), {}).setdefault(t[a:b], [])
-                        if not any(root is x for x in found):
-                            found.append(root)
+        for t in terms:
+            self.add(t)
+
+    def add(self, t: str) -> None:
+        """Puts a new term into the tries of its pieces; its number is that of the terms before it."""
+        i = self.exact[t] = len(self.exact)
+        if not (e := tolerance(t)):
+            return
+        cuts = [len(t) * k // (e + 1) for k in range(e + 2)]
+        # Terms of one length and piece share a trie, so all of it may match where the piece does.
+        own = [self.roots.setdefault((len(t), a, t[a:b]), {}) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for node in own:
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = i
+        for size in range(len(t) - e, len(t) + e + 1):
+            kept = self.pieces.setdefault(size, {})
+            for a, b, root in zip(cuts, cuts[1:], own, strict=False):
+                # The first piece stays in its place, the last at the end, others move by e.
+                for shift in (0,) if a == 0 else (size - len(t),) if b == len(t) else range(-e, e + 1):
+                    found = kept.setdefault((e, a + shift, b + shift), {}).setdefault(t[a:b], [])
+                    if not any(root is x for x in found):
+                        found.append(root)
 
     def near(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term within its tolerance, the first of equals.
@@ -133,6 +141,28 @@ def intersect(root: dict, word: str, edits: int) -> tuple[int, int] | None:
     return best
 
 
+def lexicon(found: list[tuple[str, float]]) -> list[str]:
+    """The terms to look for, of candidates with their evidence: strongest first, each for what the ones before it miss.
+
+    A stem is a term only if the words it stands for have EVIDENCE beyond that of the strongest of
+    them, or of a longer stem. A word that a stronger term catches within its tolerance needs no
+    entry of its own.
+    """
+    strongest: dict[str, float] = {}
+    for word, g in found:
+        for stem in stems(word.rstrip("*")):
+            strongest[stem] = max(strongest.get(stem, 0.0), g)
+    trie = Trie([])
+    for word, g in sorted(found, key=lambda x: (-x[1], -len(x[0]), x[0])):
+        if word[-1] == "*":
+            known = any(stem in trie.exact for stem in stems(word[:-1]))
+            if not known and g >= strongest.get(word, 0.0) + EVIDENCE:
+                trie.add(word)
+        elif trie.near(word) is None:
+            trie.add(word)
+    return list(trie.exact)
+
+
 class Lookup(dict):
     """word -> (edits, term number) or None; remembers ``most`` words at the most."""
 
@@ -223,14 +253,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     At most ``fit_rows`` labels are used, those with the least hash of their id; a
     document that has several counts as toxic if one of them says so. With labels of
-    one kind alone, or none, the model has an intercept and no terms.
+    one kind alone, or none, the model has an intercept and no terms. Equal texts are learnt
+    from once, and a word counts once for each pair of neighbours that it first stands between
+    in a text: copies of one document are no evidence about all of its words.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # The sample is bounded, so it is broadcast and the documents stay where they are.
-    train = written(texts.join(F.broadcast(sample), "id").select("text", "y"), "toxicity-train")
+    train = texts.join(F.broadcast(sample), "id").groupBy("text").agg(F.max("y").alias("y"))
+    train = written(train, "toxicity-train")
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), sum(n for y, n in totals.items() if y != 0)
     if not clean or not toxic:
@@ -239,21 +272,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
+            seen: set[tuple[bytes, int, bool]] = set()
             for text, y in rows_of(batch, "text", "y"):
-                words = {w.decode("utf-8", "replace") for w in set(words_of(text))} - {"\x01"}
-                for w in words | {s for w in words for s in stems(w)}:
-                    seen.setdefault(w, [0, 0])[y != 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["word", "t", "c"])
-
-    counts = train.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                words = [b"", *words_of(text), b""]
+                places: dict[bytes, int] = {}
+                for i, w in enumerate(words):
+                    places.setdefault(w, i)
+                seen.update((w, xxhash.xxh3_64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1, y != 0) for w, i in places.items() if w not in (b"", b"\x01"))
+            words = [w.decode("utf-8", "replace") for w, *_ in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([stems(w) for w in words], pa.list_(pa.string())), *(pa.array([x[i] for x in seen], t) for i, t in ((1, pa.int64()), (2, pa.bool_())))], ["word", "stems", "between", "toxic"])
+
+    spots = train.mapInArrow(count, "word string, stems array<string>, between long, toxic boolean").groupBy("word", "between", "toxic").agg(F.first("stems").alias("stems"))
+    counts = spots.select(F.explode(F.concat(F.array("word"), "stems")).alias("word"), "toxic").groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
     evidence = part(F.col("t"), n * share) + part(F.col("c"), n * (1 - share)) + part(toxic - F.col("t"), (toxic + clean - n) * share) + part(clean - F.col("c"), (toxic + clean - n) * (1 - share))
-    telling = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") > 0) & (F.col("g") >= EVIDENCE))
-    best = telling.orderBy(F.desc("g"), "word").collect()
-    terms, strengths = tuple(r["word"] for r in best), tuple(min(6.0, r["odds"]) * min(1.0, math.sqrt(r["g"]) / 10) for r in best)
+    telling = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") >= math.log(TIMES)) & (F.col("g") >= EVIDENCE))
+    best = {r["word"]: r for r in telling.collect()}
+    terms = tuple(lexicon([(w, r["g"]) for w, r in best.items()]))
+    strengths = tuple(min(6.0, best[w]["odds"]) * min(1.0, math.sqrt(best[w]["g"]) / 10) for w in terms)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(Trie(list(terms)))
@@ -268,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     return Model(terms, strengths, tuple(w.tolist()), tuple(means.tolist()), tuple(scales.tolist()))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(kept columns, score) for each row; by default the id alone is kept.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """(kept columns, score) for each row; by default the id alone is kept. ``name`` is the score's column.
 
     Scores are probabilities of label 1. Null and empty texts have no hits and the
     score of such texts; repeated rows are each scored.
@@ -277,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     given = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])))
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
@@ -286,6 +324,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             x = np.array([context_scores(t, lookup, m.strengths) for t in batch.column(text_col).to_pylist()]).reshape(-1, _FEATURES)
             p = 1 / (1 + np.exp(-np.clip(((x - means) / scales) @ w[:-1] + w[-1], -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, name])
 
     return rows.mapInArrow(run, kind)

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -205,24 +206,39 @@ def test_lines_of_copies_are_tested(spark):
 
 
 # --- toxicity
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_evidence_alone_bounds_the_lexicon(spark):
-    word = lambda k: "".join(chr(97 + int(c)) * 2 for c in f"{k:03d}")[:4] + chr(97 + k % 10)
-    words = sorted({word(k) for k in range(1000)})[:200]
-    rows = [(i, f"{' '.join(words)} filler" if i % 2 else "plain filler of clean text") for i in range(80)]
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(300)})
+    rows = [(i, f"{' '.join(rng.sample(words, len(words)))} filler" if i % 2 else f"plain filler of clean text {i}") for i in range(80)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    assert set(words) <= set(toxicity.fit(docs(spark, rows), labels).terms)
+    trie = toxicity.Trie(list(toxicity.fit(docs(spark, rows), labels).terms))
+    assert len(trie.exact) > 150 and all(trie.near(w) for w in words)
 
 
-def test_automata_find_what_edit_distance_finds():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+def test_copies_are_no_evidence(spark):
+    rng = random.Random(13)
+    copy = " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(40))
+    rows = [(i, f"{copy} number {'xyz'[i % 3]}" if i < 60 else f"vile {rng.random()} talk" if i < 90 else f"plain {rng.random()} text") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 90)) for i, _ in rows], "doc_id long, toxic int")
+    assert not set(toxicity.fit(docs(spark, rows), labels).terms) & set(copy.split())
+
+
+def test_lexicon_holds_no_term_that_another_catches():
+    found = [("idiot", 90.0), ("idio*", 95.0), ("idiots", 30.0), ("idiott", 25.0), ("vequa", 40.0), ("vequille", 41.0), ("vequ*", 200.0), ("vequi*", 60.0), ("other", 22.0)]
+    assert toxicity.lexicon(found) == ["vequ*", "idiot", "other"]
 
+
+def test_automata_find_what_edit_distance_finds():
     rng = random.Random(5)
     terms = list({"".join(rng.choices("abcd", k=rng.randint(3, 15))) for _ in range(60)})
     trie = toxicity.Trie(terms)
@@ -257,6 +273,46 @@ def test_toxicity_learns_and_forgives(spark):
     assert {r.doc_id: r.score for r in quoted}[1] < {r.doc_id: r.score for r in quoted}[2]
 
 
+def test_scores_against_brute_force(spark):
+    rng = random.Random(14)
+    terms = ("scoundrel", "villain", "vile", "dast*", "incomprehensibly")
+    model = toxicity.Model(terms, (3.0, 2.0, 1.5, 1.0, 0.5), (0.4, 0.3, -0.2, 0.5, 0.1, 0.2, 0.3, -2.0), (0.5,) * 7, (1.5,) * 7)
+
+    @functools.cache
+    def found(word):
+        if word in terms:
+            return 0, terms.index(word)
+        if word.startswith("dast") and len(word) > 4:
+            return 0, 3
+        near = [(distance(word, t), i) for i, t in enumerate(terms) if i in (0, 1, 4) and distance(word, t) <= (2 if len(t) >= 12 else 1)]
+        return min(near, default=None)
+
+    def brute(text):
+        words = re.findall("[0-9a-z\\x80-\U0010ffff]+|\"", (text or "").lower())
+        marks = [i for i, w in enumerate(words) if w == '"']
+        hits = [(i, *found(w)) for i, w in enumerate(words) if w != '"' and found(w)]
+        x = [0.0] * 7
+        for i, edits, term in hits:
+            window = words[max(0, i - 12) : i + 13]
+            report, before = any(w in toxicity.REPORTING for w in window), sum(m < i for m in marks)
+            quote = before % 2 == 1 and before < len(marks)
+            strength = (3.0, 2.0, 1.5, 1.0, 0.5)[term] / (1 + edits)
+            x[2 if quote or report else 1 if edits else 0] += strength / (2 if quote and report else 1)
+            x[5] += any(w in toxicity.ADDRESS for w in window)
+            x[3] = max(x[3], strength * math.sqrt(sum(abs(i - j) <= 12 for j, *_ in hits)) * (0.5 if quote or report else 1))
+        if hits:
+            x = [math.log1p(x[0]), math.log1p(x[1]), math.log1p(x[2]), x[3], min(20, 100 * len(hits) / len(words)), math.log1p(x[5]), math.log1p(len({t for *_, t in hits}))]
+        z = sum((v - 0.5) / 1.5 * w for v, w in zip(x, model.weights[:-1], strict=True)) - 2.0
+        return 1 / (1 + math.exp(-z))
+
+    pool = ["scoundrel", "scoundrl", "villains", "vilain", "vile", "vilee", "dastard", "dast", "incomprehnsible", "incomprehensibl", "said", "you", '"', "plain", "tête", "words", "go", "on", "here"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(60)))) for i in range(150)] + [(200, None), (200, ""), (None, "vile " * 20_000)]
+    got = sorted(((r.doc_id, round(r.p, 9)) for r in toxicity.score(docs(spark, rows), model, name="p").collect()), key=repr)
+    assert got == sorted(((i, round(brute(t), 9)) for i, t in rows), key=repr)
+    kept = toxicity.score(docs(spark, rows), model, keep=["doc_id", "text", "score", "held_out"], name="p")
+    assert kept.columns == ["doc_id", "text", "score", "held_out", "p"] and toxicity.score(docs(spark, []), model).collect() == []
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, None)]])
 def test_toxicity_without_two_kinds_of_labels(spark, labels):
     model = toxicity.fit(docs(spark, [(1, "a b"), (2, None)]), spark.createDataFrame(labels, "doc_id long, toxic int"))
