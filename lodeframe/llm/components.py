@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import written
+from lodeframe.llm.shared import passing, written
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,23 +44,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = 0)
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     if one_task and ends.count() <= one_task:
         return ends.coalesce(1).mapInArrow(_merged, "node long, component long")
-    now = written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = None
-    while True:
-        # Large star: what is above a node points at the least of all its neighbours.
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        loops = now.where("u = v")
-        large = up.union(loops).distinct()
-        # Small star: what is below a node, and the node itself, points at the least below it.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(down.union(low.select("u", F.col("m").alias("v"))).distinct(), "components")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return found.union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    with passing(edges.sparkSession):
+        now = written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+        before = None
+        while True:
+            # Large star: what is above a node points at the least of all its neighbours.
+            both = now.union(now.select("v", "u")).toDF("u", "v")
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            loops = now.where("u = v")
+            large = up.union(loops).distinct()
+            # Small star: what is below a node, and the node itself, points at the least below it.
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = written(down.union(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+            state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if state == before:
+                break
+            before = state
+        found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return written(found.union(roots).groupBy("node").agg(F.min("component").alias("component")), "components", lasting=True)

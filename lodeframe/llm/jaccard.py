@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.components import components
-from lodeframe.llm.shared import rows_of, slices, written
+from lodeframe.llm.shared import passing, rows_of, slices, written
 from lodeframe.llm.words import gram_hashes, space_hashes
 
 #: Frequent grams whose order is known (16 bytes each). They only order the prefixes; no order loses a link.
 FREQUENT = 1 << 17
 #: Entries of a shard of buckets, classes of a frequent gram in one place, and classes in a block of a bucket.
 SHARD, SPREAD, BLOCK = 400_000, 200_000, 1_000
+#: Bytes of bitmaps in a block of a bucket, and in the blocks that one task compares.
+BLOCK_BYTES, CELL_BYTES = 8 << 20, 32 << 20
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Classes that meet a leader in one place.
@@ -351,15 +353,19 @@ class Join:
 
     def crossing(self, buckets: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of classes of different components that a bucket's signature trees leave: (a, b)."""
-        counts = buckets.groupBy("gram", "comp").agg(F.count("*").alias("n"))
-        of = counts.groupBy("gram").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-        of = of.select("gram", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / self.block).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("most.n")) / self.block).cast("int").alias("sb"))
+        # A bitmap has no more bytes than its set has grams; the rest of a row has about 64.
+        held = F.col("size") + 64
+        counts = buckets.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.sum(held).alias("held"))
+        of = counts.groupBy("gram").agg(F.max(F.struct("n", "comp", "held")).alias("most"), F.sum("n").alias("n"), F.sum("held").alias("held"), F.count("*").alias("comps")).where("comps > 1")
+        blocks = lambda n, held: F.ceil(F.greatest(n / self.block, held / BLOCK_BYTES)).cast("int")
+        of = of.select("gram", F.col("most.comp").alias("major"), blocks(F.col("most.n"), F.col("most.held")).alias("mb"), blocks(F.col("n") - F.col("most.n"), F.col("held") - F.col("most.held")).alias("sb"))
         rows = written(buckets.join(of, "gram"), "jaccard-crossing")
-        total = rows.count()
-        if not total:
-            return rows.select(F.col("class").alias("a"), F.col("class").alias("b"))
         # The largest component of a bucket isn't joined with itself: its blocks meet those of the others alone.
         large = F.col("comp") == F.col("major")
+        copies = F.when(large, F.col("sb")).otherwise(F.col("mb") + F.col("sb") - 1)
+        total, sent = rows.agg(F.coalesce(F.sum(copies), F.lit(0)), F.coalesce(F.sum(copies * held), F.lit(0))).first()
+        if not total:
+            return rows.select(F.col("class").alias("a"), F.col("class").alias("b"))
         own = F.pmod(F.xxhash64("class"), F.when(large, F.col("mb")).otherwise(F.col("sb"))).cast("int")
         every = lambda n: F.sequence(F.lit(0), n - 1)
         cell = lambda kind, i, j, left, both: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), both.alias("both"))
@@ -370,7 +376,7 @@ class Join:
             F.transform(F.filter(every(F.col("sb")), lambda k: k != F.col("own")), lambda k: cell(1, F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.col("own") < k, no)),
         )
         cells = rows.withColumn("own", own).withColumn("cell", F.explode(F.when(large, majors).otherwise(minors)))
-        shards = max(1, math.ceil(total / 20_000))
+        shards = max(1, math.ceil(total / 20_000), math.ceil(sent / CELL_BYTES))
         dealt = cells.select(F.pmod(F.xxhash64("gram", "cell.kind", "cell.i", "cell.j"), F.lit(shards)).alias("shard"), F.xxhash64("gram", "cell.kind", "cell.i", "cell.j").alias("bucket"), "class", "comp", "size", "cell.left", "cell.both")
         dealt = dealt.join(self.bitmaps(rows.select("class").distinct().join(reps, "class")), "class")
         percent = self.percent
@@ -410,18 +416,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     entries, n_ids, rows = docs.agg(F.coalesce(F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1), F.lit(0)), F.countDistinct("id"), F.count("*")).first()
     join.unique = n_ids == rows
     reps = classes.select("class", F.col("rep").alias("id"))
-    buckets = join.buckets(int(entries), *join.frequent(sketches)).withColumn("comp", F.col("class"))
-    links, known = None, None
-    for turn in range(rounds + 1):
-        pairs = join.led(buckets, turn) if turn < rounds else join.crossing(buckets, reps)
-        new = join.linked(pairs, reps)
-        if links is not None and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        known = written(components(links, one_task=ONE_TASK), "jaccard-components")
-        if turn < rounds:
-            found = known.select(F.col("node").alias("class"), F.col("component").alias("c"))
-            buckets = written(buckets.drop("comp").join(found, "class", "left").select("gram", "class", "size", "alike", F.coalesce("c", "class").alias("comp")), "jaccard-buckets")
+    with passing(docs.sparkSession):
+        buckets = join.buckets(int(entries), *join.frequent(sketches)).withColumn("comp", F.col("class"))
+        links, known = None, None
+        for turn in range(rounds + 1):
+            pairs = join.led(buckets, turn) if turn < rounds else join.crossing(buckets, reps)
+            new = join.linked(pairs, reps)
+            if links is not None and new.isEmpty():
+                continue
+            links = new if links is None else links.union(new)
+            known = written(components(links, one_task=ONE_TASK), "jaccard-components", lasting=True)
+            if turn < rounds:
+                found = known.select(F.col("node").alias("class"), F.col("component").alias("c"))
+                buckets = written(buckets.drop("comp").join(found, "class", "left").select("gram", "class", "size", "alike", F.coalesce("c", "class").alias("comp")), "jaccard-buckets")
     least = known.join(classes, known["node"] == classes["class"]).groupBy("component").agg(F.min("rep").alias("least"))
     named = known.join(least, "component").select(F.col("node").alias("class"), "least")
     first = classes.join(named, "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))

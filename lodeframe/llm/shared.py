@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it back, which cuts its lineage."""
+_passing: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Writes df below the shared folder and reads it back, which cuts its lineage.
+
+    Within ``passing`` the table goes with the others at the end, unless it is ``lasting``.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables that are written within once all is done; what is still read must be lasting."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

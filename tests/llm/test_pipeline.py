@@ -66,3 +66,19 @@ def test_rows_are_dropped_one_by_one(spark, sf_dir):
     near = cp.drop_near_duplicates(spark, frame, sf_dir)
     assert near.columns == frame.columns and seen(near) == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, item), (None, None)], key=repr)
     assert seen(cp.drop_contaminated(spark, frame, sf_dir)) == sorted([r for r in rows if r[1] != item], key=repr)
+
+
+def test_clashing_columns_empty_tables_and_repeated_rows(spark, sf_dir, tmp_path):
+    extra = "score string, kept long, n_lines string, predicted int, contaminated string, component_id long, class string, id string, fixed int"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *(f"cast(null as {x.split()[1]}) AS `{x.split()[0]}`" for x in extra.split(", ")))
+    twice = docs.union(docs.where("doc_id IN (0, 1)"))
+    for rows, most in ((docs.limit(0), 0), (twice, 1)):
+        for name, stage in cp.STAGES[:-1]:
+            rows = cp.written(stage(spark, rows, sf_dir), name)
+            assert rows.schema == docs.schema
+        got = cp.tokenize(spark, rows, sf_dir).collect()
+        assert max((sum(r.doc_id == i for r in got) for i in range(12)), default=0) == most
+    empty = f"{tmp_path}/empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert cp.run(spark, empty).collect() == []
