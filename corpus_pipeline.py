@@ -21,7 +21,8 @@ from lodeframe.llm.shared import table, written
 BROADCAST_IDS = 1_000_000
 
 
-ROW = "__row"
+#: Columns that stages add for themselves alone; a column of the documents that is called so gives way.
+ROW, SCORE, MARKS = "__row", "__score", ("__lines", "__dropped", "__kept")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -36,24 +37,31 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half, by a model fitted on the labelled ones that aren't held out."""
+    """Documents whose score is below one half, by a model fitted on the labelled ones that aren't held out.
+
+    Null and empty texts have no toxic word and stay, rows that repeat an id are each judged, and no rows give none.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, keep=docs.columns, name=SCORE).where(F.col(SCORE) < 0.5).drop(SCORE)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that recur across documents; a document goes if only blanks are left of it.
 
     Only near duplicates of one document keep such lines: the next stage drops them as a whole.
+    Null and empty texts stay as they are, rows that repeat an id are documents of their own, and no rows give none.
     """
-    marked = lines.mark(docs, tested=True)
-    left = marked.where((F.col("n_dropped") == 0) | (F.trim("kept", F.lit(" \t\r\n")) != ""))
-    cut = F.col("n_dropped") > 0
-    return left.withColumns({"text": F.col("kept"), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    marked = lines.mark(docs, tested=True, names=MARKS)
+    dropped, kept = F.col(MARKS[1]), F.col(MARKS[2])
+    left = marked.where((dropped == 0) | (F.trim(kept, F.lit(" \t\r\n")) != ""))
+    return left.withColumns({"text": kept, "n_chars": F.when(dropped > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, null after all others."""
+    """Of each group of near duplicates the document with the smallest id, null after all others.
+
+    Texts without words are near nothing and stay; of rows that repeat id and text one stays; no rows give none.
+    """
     docs = numbered(docs)
     found = jaccard.groups(docs, ROW)
     several = found.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct()
@@ -64,14 +72,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in windows of test items."""
+    """Documents of which less than a twentieth lies in windows of test items.
+
+    Null and empty texts stay, each row is judged for itself, and without items all stay.
+    """
     docs = numbered(docs)
     found = decontam.judged(decontam.contamination(docs, table(spark, sf_dir, "benchmark"), ROW))
     return without(docs, found.where("contaminated"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of each document."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of each row; null and empty texts have no tokens."""
     return bpe.encode_checked(docs, vocabulary())
 
 
