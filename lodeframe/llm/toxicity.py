@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import rows_of, written
+from lodeframe.llm.shared import rows_of, slices, written
 from lodeframe.llm.words import alnum_words
 
 #: Labelled rows that the model is fitted on, at the most: those with the least hash of their id.
@@ -39,6 +39,8 @@ REPORTING = frozenset("said says wrote writes called quoted quote cited reported
 ADDRESS = frozenset("you your youre tu vous toi ton votre du dich dein ihr euer tú usted vosotros vuestro".split())
 _QUOTES = re.compile("[\"“”„«»‹›]")
 _FEATURES = 7
+#: Characters of the texts whose words are held at a time.
+_SLICE = 1 << 20
 
 
 def stems(word: str) -> list[str]:
@@ -271,19 +273,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         return Model((), (), (0.0,) * _FEATURES + (math.log(p / (1 - p)),), (0.0,) * _FEATURES, (1.0,) * _FEATURES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        texts = (row for batch in batches for row in rows_of(batch, "text", "y"))
+        for part in slices(texts, lambda row: len(row[0] or ""), _SLICE):
             seen: set[tuple[bytes, int, bool]] = set()
-            for text, y in rows_of(batch, "text", "y"):
+            for text, y in part:
                 words = [b"", *words_of(text), b""]
                 places: dict[bytes, int] = {}
                 for i, w in enumerate(words):
                     places.setdefault(w, i)
                 seen.update((w, xxhash.xxh3_64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1, y != 0) for w, i in places.items() if w not in (b"", b"\x01"))
-            words = [w.decode("utf-8", "replace") for w, *_ in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([stems(w) for w in words], pa.list_(pa.string())), *(pa.array([x[i] for x in seen], t) for i, t in ((1, pa.int64()), (2, pa.bool_())))], ["word", "stems", "between", "toxic"])
+            words = pa.array([w.decode("utf-8", "replace") for w, *_ in seen], pa.string())
+            yield pa.RecordBatch.from_arrays([words, *(pa.array([x[i] for x in seen], t) for i, t in ((1, pa.int64()), (2, pa.bool_())))], ["word", "between", "toxic"])
 
-    spots = train.mapInArrow(count, "word string, stems array<string>, between long, toxic boolean").groupBy("word", "between", "toxic").agg(F.first("stems").alias("stems"))
-    counts = spots.select(F.explode(F.concat(F.array("word"), "stems")).alias("word"), "toxic").groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    spots = train.mapInArrow(count, "word string, between long, toxic boolean").distinct()
+    begun = F.filter(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS)), lambda s: s.isNotNull())
+    counts = spots.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    counts = counts.select(F.explode(F.concat(F.array("word"), begun)).alias("word"), "t", "c").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
