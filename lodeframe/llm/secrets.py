@@ -44,89 +44,133 @@ RATE = 0.05
 WORD_COLLISIONS = 0.06
 #: Lengths whose tokens are decided together.
 CLASSES = (32, 48, 64)
+#: Elements that are added up or passed over together.
+BLOCK = 64
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,word:string>>"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(xs: Column, of) -> Column:
+    """of(block, number) for each block of BLOCK elements of an array that isn't empty."""
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1)
+    return F.transform(numbers, lambda k: of(F.slice(xs, k * BLOCK + 1, BLOCK), k))
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda total, x: total + x)
+
+
+def sums_before(xs: Column) -> Column:
+    """For each of some integers the sum of those before it, by sums of blocks: no array grows step by step."""
+
+    def placed(given: Column) -> Column:
+        ahead = lambda part, k: F.transform(part, lambda _, i: given["ahead"][k] + _total(F.slice(part, 1, i)))
+        return F.flatten(_blocks(given["xs"], lambda block, k: _let(block, lambda part: ahead(part, k))))
+
+    def summed(values: Column) -> Column:
+        sums = _blocks(values, lambda block, _: _total(block))
+        ahead = _let(sums, lambda totals: F.transform(totals, lambda _, k: _total(F.slice(totals, 1, k))))
+        return _let(F.struct(values.alias("xs"), ahead.alias("ahead")), placed)
+
+    return F.when(F.size(xs) > 0, _let(xs, summed)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, no: int, kind: str, pattern: str, least: int) -> Column:
     """Leftmost matches whose group has ``least`` characters, as structs by start.
 
     The pieces that a split leaves between the matches give their places, in code points.
     """
     whole, word = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("all"), word.alias("word"))
-    nothing = F.array().cast(_SPAN)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.arrays_zip(whole.alias("all"), word.alias("word")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m["all"]), F.lit(0)).alias("all"), m["word"].alias("word")))
+
+    def spans(found: Column) -> Column:
+        before = sums_before(F.transform(found, lambda m: m["gap"] + m["all"]))
+        start = lambda m, at: at + m["gap"]
+        return F.zip_with(found, before, lambda m, at: F.struct(start(m, at).alias("start"), F.lit(no).alias("kind_no"), (start(m, at) + m["all"]).alias("end"), F.lit(kind).alias("kind"), m["word"].alias("word")))
+
+    found = F.filter(_let(pairs, spans), lambda s: F.length(s["word"]) >= least)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that touch no span of base; blocks of spans that end before a token or start after it are passed over."""
+    meets = lambda t, lo, hi: (lo < t["end"]) & (t["start"] < hi)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["all"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), x["word"].alias("word"))
-        found = F.when(F.length(x["word"]) >= least, F.concat(state["found"], F.array(span).cast(_SPAN))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    def free(blocks: Column) -> Column:
+        touched = lambda t: F.exists(blocks, lambda b: meets(t, b["lo"], b["hi"]) & F.exists(b["spans"], lambda s: meets(t, s["start"], s["end"])))
+        return F.filter(tokens, lambda t: ~touched(t))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    ranges = _blocks(base, lambda block, _: _let(block, lambda part: F.struct(F.array_min(F.transform(part, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(part, lambda s: s["end"])).alias("hi"), part.alias("spans"))))
+    return F.when(F.size(base) > 0, _let(ranges, free)).otherwise(tokens)
 
 
 def upper_tail(z: Column) -> Column:
     """P(N(0,1) > z), by a rational approximation that is good to 1e-7."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    p = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, p).otherwise(1 - p)
 
+    def tail(v: Column, t: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        p = F.exp(-v * v / 2) / math.sqrt(2 * math.pi) * poly
+        return F.when(v >= 0, p).otherwise(1 - p)
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.transform(F.array(value), then)[0]
+    return _let(z, lambda v: _let(1 / (1 + 0.2316419 * F.abs(v)), lambda t: tail(v, t)))
 
 
 def _sum(xs: Column, of) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda total, x: total + of(x))
 
 
-def _next(xs: Column, of) -> Column:
-    """of(x, next x) for each x but the last."""
-    n = F.size(xs)
-    return F.zip_with(F.slice(xs, 1, n - 1), F.slice(xs, 2, n - 1), of)
-
-
 def battery(word: Column) -> Column:
     """struct<n, size, p>: length, size of the inferred alphabet, and p-value of the battery for random symbols.
 
-    p is three times the least p-value of the three tests, and 1 at the most.
+    p is three times the least p-value of the three tests, and 1 at the most. Sums go over the
+    distinct symbols and their counts where they can.
     """
     word = F.translate(word, "-_", "+/")
-    abc = F.lit(ENCODINGS[-1][2])
-    for _, fits, symbols in reversed(ENCODINGS[:-1]):
-        abc = F.when(word.rlike(fits), symbols).otherwise(abc)
-
-    def coded(g: Column) -> Column:
-        letters = F.filter(F.split(g["word"], ""), lambda c: c != "")
-        return F.struct(F.length(g["abc"]).cast("double").alias("size"), F.length(g["word"]).cast("double").alias("n"), F.transform(letters, lambda c: (F.position(c, g["abc"]) - 1).cast("double")).alias("x"))
+    coded = None
+    for _, fits, symbols in reversed(ENCODINGS):
+        low = -(-len(symbols) // 2)
+        found = F.struct(F.lit(symbols).alias("abc"), F.translate(word, symbols, "0" * low + "1" * (len(symbols) - low)).alias("halves"), word.alias("word"))
+        coded = found if coded is None else F.when(word.rlike(fits), found).otherwise(coded)
+
+    def placed(g: Column) -> Column:
+        x = F.transform(F.split(g["word"], ""), lambda c: F.position(c, g["abc"]) - 1)
+        return F.struct(F.length(g["abc"]).cast("double").alias("size"), F.length(g["word"]).cast("double").alias("n"), g["halves"].alias("halves"), x.alias("x"))
+
+    def counted(g: Column) -> Column:
+        counts = F.transform(F.array_distinct(g["x"]), lambda s: F.struct(s.cast("double").alias("s"), (g["n"] - F.size(F.array_remove(g["x"], s))).alias("c")))
+        return F.struct(*(g[k].alias(k) for k in ("size", "n", "halves", "x")), counts.alias("counts"))
+
+    def summed(g: Column) -> Column:
+        x, counts = g["x"], g["counts"]
+        both = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: a * b)
+        runs = F.length(F.regexp_replace(F.regexp_replace(g["halves"], "0+", "0"), "1+", "1"))
+        sums = {
+            "squares": _sum(counts, lambda k: k["c"] * k["c"]),
+            "total": _sum(counts, lambda k: k["c"] * k["s"]),
+            "own": _sum(counts, lambda k: k["c"] * k["s"] * k["s"]),
+            "both": _sum(both, lambda v: v),
+            "ends": x[0] + F.element_at(x, -1),
+            "high": F.length(F.replace(g["halves"], F.lit("0"), F.lit(""))).cast("double"),
+            "runs": runs.cast("double"),
+        }
+        return F.struct(g["n"].alias("n"), g["size"].alias("size"), *(v.alias(k) for k, v in sums.items()))
 
     def tested(g: Column) -> Column:
-        n, size, x = g["n"], g["size"], g["x"]
-        squares = _sum(F.sequence(F.lit(0), size.cast("int") - 1), lambda s: F.pow(F.size(F.filter(x, lambda i: i == s)), F.lit(2)))
-        uniform = upper_tail((size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
-
-        def runs(h: Column) -> Column:
-            high = _sum(h, lambda v: v)
-            mean = 2 * high * (n - high) / n + 1
-            spread = (mean - 1) * (mean - 2) / (n - 1)
-            count = 1 + _sum(_next(h, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), lambda v: v)
-            return F.when((high == 0) | (high == n), F.pow(F.lit(2.0), 1 - n)).when(spread <= 0, 1.0).otherwise(2 * upper_tail(F.abs(count - mean) / F.sqrt(spread)))
-
-        def serial(d: Column) -> Column:
-            own = _sum(d, lambda v: v * v)
-            r = _sum(_next(d, lambda a, b: a * b), lambda v: v) / F.nullif(own, F.lit(0.0))
-            return F.coalesce(2 * upper_tail(F.abs((r + 1 / n) * F.sqrt(n))), F.lit(0.0))
-
-        halves = _let(F.transform(x, lambda i: F.when(2 * i >= size, 1.0).otherwise(0.0)), runs)
-        neighbours = _let(_sum(x, lambda v: v) / n, lambda m: _let(F.transform(x, lambda v: v - m), serial))
+        n, size, high, m = g["n"], g["size"], g["high"], g["total"] / g["n"]
+        uniform = upper_tail((size / n * g["squares"] - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
+        mean = 2 * high * (n - high) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        halves = F.when((high == 0) | (high == n), F.pow(F.lit(2.0), 1 - n)).when(spread <= 0, 1.0).otherwise(2 * upper_tail(F.abs(g["runs"] - mean) / F.sqrt(spread)))
+        own = g["own"] - n * m * m
+        r = (g["both"] - m * (2 * g["total"] - g["ends"]) + (n - 1) * m * m) / F.when(own > 1e-9, own)
+        neighbours = F.coalesce(2 * upper_tail(F.abs((r + 1 / n) * F.sqrt(n))), F.lit(0.0))
         return F.struct(n.cast("int").alias("n"), size.alias("size"), F.least(F.lit(1.0), 3 * F.least(uniform, halves, neighbours)).alias("p"))
 
-    return _let(_let(F.struct(abc.alias("abc"), word.alias("word")), coded), tested)
+    return _let(_let(_let(_let(coded, placed), counted), summed), tested)
 
 
 def tells_words(n: Column, size: Column) -> Column:
@@ -168,7 +212,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = F.concat(*(matches(text, i, *k) for i, k in enumerate(KINDS)))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), base.alias("base"), matches(text, 3, "random", TOKEN, LEAST).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = apart(F.col("tokens"), F.col("base"))
 
     def judged(t: Column) -> Column:
         return _let(

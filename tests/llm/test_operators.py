@@ -65,6 +65,61 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).collect() == []
 
 
+def test_random_tokens_against_brute_force(spark):
+    rng = random.Random(15)
+    abc = {name: symbols for name, _, symbols in secrets.ENCODINGS}
+    common = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    words, secret, rows = [], [], []
+    for i in range(600):
+        n, kind = rng.randint(24, 64), rng.choice(list(abc))
+        secret.append("".join(rng.choices(abc[kind], k=n)))
+        words.append((rng.choice(["", "-", "_"])).join(rng.choice(common) for _ in range(14))[:n].strip("-_"))
+        rows.append((i, f"{secret[-1]} é {words[-1]}\n"))
+
+    def p_value(word):
+        word = word.translate(str.maketrans("-_", "+/"))
+        symbols = next(x for _, fits, x in secrets.ENCODINGS if re.search(fits, word))
+        x, n, size = [symbols.index(c) for c in word], len(word), len(symbols)
+        tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+        chi = size / n * sum(c * c for c in Counter(x).values()) - n
+        uniform = tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))
+        h = [2 * v >= size for v in x]
+        high, runs = sum(h), 1 + sum(a != b for a, b in zip(h, h[1:]))
+        mean = 2 * high * (n - high) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        halves = 2.0 ** (1 - n) if high in (0, n) else 1 if spread <= 0 else 2 * tail(abs(runs - mean) / math.sqrt(spread))
+        d = [v - sum(x) / n for v in x]
+        own = sum(v * v for v in d)
+        serial = 2 * tail(abs((sum(a * b for a, b in zip(d, d[1:])) / own + 1 / n) * math.sqrt(n))) if own > 1e-9 else 0.0
+        same = max(secrets.WORD_COLLISIONS, 2 / size)
+        told = (size * (same * (n - 1) + 1) - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n) >= 3
+        return sum(n >= c for c in secrets.CLASSES), min(1.0, 3 * min(uniform, halves, serial)), told
+
+    base = [re.compile("[0-9a-f]{24,}"), re.compile("AKIA[A-Z0-9]{16,}")]
+    found = [(i, m.start(), m.end(), p_value(m[0])) for i, t in rows for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t) if not any(b.search(m[0]) for b in base)]
+    kept = set()
+    for c in range(len(secrets.CLASSES) + 1):
+        own = [(min(2000, math.floor(-20 * math.log(max(x[3][1], 1e-300)))), x) for x in found if x[3][0] == c]
+        rejected = [b for b, _ in own if math.exp(-b / 20) <= secrets.RATE * sum(o >= b for o, _ in own) / len(own)]
+        kept |= {x[:3] for b, x in own if b < min(rejected, default=2001) and x[3][2]}
+    got = secrets.scan(docs(spark, rows)).collect()
+    random_spans = {(r.doc_id, s.start, s.end) for r in got for s in r.spans if s.kind == "random"}
+    assert random_spans == kept
+    # Base forms count as caught; tokens that are too short for their alphabet can't be told from words and stay out.
+    caught = [any(s.start == 0 and s.end == len(secret[r.doc_id]) for s in r.spans) for r in got]
+    false = [any(s.start > len(secret[r.doc_id]) for s in r.spans) for r in got]
+    print("secrets: recall", sum(caught) / len(caught), "false", sum(false) / len(false))
+    assert sum(caught) > 0.6 * len(caught) and sum(false) <= 0.05 * len(false)
+
+
+def test_secrets_of_a_long_text(spark):
+    rng = random.Random(16)
+    token = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=42))
+    lines = [token() if i % 3 else f"token={token()}" for i in range(20_000)]
+    got = secrets.scan(docs(spark, [(1, "\n".join(lines)), (2, "A" * 300_000)])).selectExpr("doc_id", "size(filter(spans, s -> s.kind_no = 0)) AS n", "size(spans) AS m").collect()
+    assert {r.doc_id: r.n for r in got} == {1: len(lines[::3]), 2: 0} and {r.doc_id: r.m for r in got}[1] > 19_000
+
+
 # --- language model
 def test_language_model(spark):
     rng = random.Random(3)
