@@ -3,7 +3,7 @@
 A term is a vector position. A block of candidates keeps, for each term, its
 postings: places and weights. A sparse query row scatters its weighted postings, term
 by term, into a dense array of scores, of which a partition selection keeps the best;
-the best of all blocks are merged. A term that most of a block holds keeps its
+a task merges them as blocks stream past its queries. A term that most of a block holds keeps its
 postings as a full column, as then adding the column is the same and cheaper.
 """
 
@@ -17,8 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries in a block. Memory in a task is a few blocks, whatever the data.
+from lodeframe.llm.shared import written
+
+#: Candidates and queries in a block.
 CANDIDATES, QUERIES = 2048, 256
+#: Queries whose best a task holds, and candidates that stream past them; a block of each is in memory.
+HELD, READ = 32_768, 131_072
+#: Small tables are dealt to so many tasks at the most, each with so many pairs at the least.
+TASKS, PAIRS = 64, 1 << 25
 _LONG = np.iinfo(np.int64)
 
 
@@ -89,18 +95,17 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bloc
         yield i, ids[at[best]], np.array([min(max(int(scores[j]), _LONG.min), _LONG.max) for j in best], np.int64)
 
 
-def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """One row a block: its number, ids as bytes, and a matrix of doubles as bytes with its width."""
-    kind = f"{name} int, {name}_ids binary, {name}_rows binary, {name}_width int"
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """One row a block: its number b, ids as bytes, and a matrix of doubles as bytes with its width."""
 
     def pack(group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy()
         m = _dense(group["terms"].to_pylist())
-        return pa.table({name: pa.array([group["b"][0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), f"{name}_rows": pa.array([m.tobytes()], pa.binary()), f"{name}_width": pa.array([m.shape[1]], pa.int32())})
+        return pa.table({"b": pa.array([group["b"][0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "rows": pa.array([m.tobytes()], pa.binary()), "width": pa.array([m.shape[1]], pa.int32())})
 
     # The row's own number is in the hash, so that many rows of one id still spread.
     b = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    return rows.withColumn("b", b).groupBy("b").applyInArrow(pack, kind)
+    return rows.withColumn("b", b).groupBy("b").applyInArrow(pack, "b int, ids binary, rows binary, width int")
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, factor: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -113,29 +118,55 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, factor: float = 64.0, id_
     ending in zeros, so an empty one scores 0. Scores beyond 64 bits are held at its ends.
     Rows that repeat a query's id are queries of their own, each with its ranks.
 
-    Query blocks go to each candidate block through an equi-join on the block's number:
-    the set of queries is stated, every candidate block is read once a task, and a task
-    holds one pair of blocks.
+    Queries are dealt into groups and candidates into others, and a pair of groups is a task:
+    its queries are held with their best so far, and blocks of candidates stream past them.
+    Vectors are thus copied once for each group of the other kind, not for each block.
     """
     rows = scaled(df, id_col, vector_col, factor)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, q = rows.agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
-    nb, nq = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(q / QUERIES))
-    candidates = _blocks(rows, nb, "c")
-    queries = _blocks(asked, nq, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("c", F.col("c").cast("int"))
-    pairs = queries.join(candidates, "c")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nb, nq, held = (max(1, math.ceil(x / most)) for x, most in ((n, CANDIDATES), (q, QUERIES), (q, HELD)))
+    read = min(nb, max(math.ceil(n / READ), min(TASKS, math.ceil(n * q / PAIRS / held)), 1))
+    number = lambda name, groups: F.pmod(F.col("b"), F.lit(groups)).alias(name)
+    every_one = lambda name, groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias(name)
+    # A query is known by its place in its block, so the blocks are written.
+    queries = written(_blocks(asked, nq), "topk-queries").select(number("r", held), every_one("g", read), F.lit(0).alias("role"), "*")
+    candidates = _blocks(rows, nb).select(every_one("r", held), number("g", read), F.lit(1).alias("role"), "*")
+    dealt = queries.unionByName(candidates).repartition(held * read, "r", "g").sortWithinPartitions("r", "g", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asking = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                m = {x: np.frombuffer(r[f"{x}_rows"]).reshape(-1, r[f"{x}_width"]) if r[f"{x}_width"] else np.zeros((len(r[f"{x}_ids"]) // 8, 0)) for x in "qc"}
-                ids = {x: np.frombuffer(r[f"{x}_ids"], np.int64) for x in "qc"}
-                out = [(r["q"], i, ids["q"][i], a, b) for i, a, b in block_best(ids["q"], m["q"], ids["c"], m["c"], k)]
-                sizes = [len(a) for *_, a, _ in out]
-                cols = [np.repeat(np.array([o[j] for o in out], t), sizes) for j, t in ((0, np.int32), (1, np.int32), (2, np.int64))]
-                both = [np.concatenate([o[j] for o in out]) if out else np.empty(0, np.int64) for j in (3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *both)], ["q", "i", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(score, "q int, i int, query_id long, vec_id long, score long")
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                m = np.frombuffer(row["rows"]).reshape(len(ids), row["width"])
+                if task != (row["r"], row["g"]):
+                    yield from _best_rows(asking)
+                    task, asking = (row["r"], row["g"]), []
+                if row["role"] == 0:
+                    asking.append((row["b"], ids, m, {}))
+                    continue
+                for _, q_ids, q_rows, best in asking:
+                    for i, found, scores in block_best(q_ids, q_rows, ids, m, k):
+                        best[i] = merged(*best[i], found, scores, k) if i in best else (found, scores)
+        yield from _best_rows(asking)
+
+    found = dealt.mapInArrow(run, "q int, i int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def merged(ids: np.ndarray, scores: np.ndarray, more_ids: np.ndarray, more_scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of both, best first, ties to the smaller id."""
+    ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
+    # ~x orders integers downwards and has no overflow at the least one.
+    best = np.lexsort((ids, ~scores))[:k]
+    return ids[best], scores[best]
+
+
+def _best_rows(asking: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for q, q_ids, _, best in asking:
+        sizes = [len(ids) for ids, _ in best.values()]
+        places = np.repeat(np.array(list(best), np.int32), sizes)
+        ids, scores = (np.concatenate([b[j] for b in best.values()] or [np.empty(0, np.int64)]) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(places), q, np.int32), places, q_ids[places], ids, scores)], ["q", "i", "query_id", "vec_id", "score"])

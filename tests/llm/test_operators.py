@@ -44,6 +44,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_over_many_groups(spark, monkeypatch):
+    for name, most in (("CANDIDATES", 7), ("QUERIES", 4), ("HELD", 10), ("READ", 30), ("PAIRS", 50)):
+        monkeypatch.setattr(topk, name, most)
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.integers(-2, 3, 5).tolist() for i in range(400)}
+    df = spark.createDataFrame([(i, [v / 64 for v in x]) for i, x in vectors.items()], "vec_id long, embedding array<double>")
+    want = []
+    for q in range(0, 400, 20):
+        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:20]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 # --- secrets
 def test_secrets(spark):
     rng = random.Random(2)
