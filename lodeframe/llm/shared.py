@@ -67,8 +67,11 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def rows_of(batch: pa.RecordBatch, *names: str, most: int = 256) -> Iterator[tuple]:
+    """The batch's rows, of which few are Python objects at a time."""
+    for i in range(0, len(batch), most):
+        part = batch.slice(i, most)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 def slices(rows: Iterator[tuple], size, most: int) -> Iterator[list[tuple]]:

@@ -250,6 +250,10 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    return slices((row for batch in batches for row in rows_of(batch, "text", "y")), lambda row: len(row[0] or ""), _SLICE)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns the lexicon and the regression from labelled rows that aren't held out.
 
@@ -273,22 +277,40 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         return Model((), (), (0.0,) * _FEATURES + (math.log(p / (1 - p)),), (0.0,) * _FEATURES, (1.0,) * _FEATURES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = (row for batch in batches for row in rows_of(batch, "text", "y"))
-        for part in slices(texts, lambda row: len(row[0] or ""), _SLICE):
-            seen: set[tuple[bytes, int, bool]] = set()
+        for part in _parts(batches):
+            seen: dict[bytes, list[int]] = {}
+            for text, y in part:
+                for w in set(words_of(text)) - {b"\x01"}:
+                    seen.setdefault(w, [0, 0])[y != 0] += 1
+            words = pa.array([w.decode("utf-8", "replace") for w in seen], pa.string())
+            yield pa.RecordBatch.from_arrays([words, *(pa.array([n[i] for n in seen.values()], pa.int64()) for i in (1, 0))], ["word", "t", "c"])
+
+    counts = train.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    begun = F.filter(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS)), lambda s: s.isNotNull())
+    counts = counts.select(F.explode(F.concat(F.array("word"), begun)).alias("word"), "t", "c").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    # Terms that toxic texts hold more often, and often enough for the evidence, are looked at in their contexts.
+    enough = F.col("t") >= EVIDENCE / (4 * math.log((toxic + clean) / toxic))
+    likely = counts.where(enough & (F.col("t") * clean > F.col("c") * toxic) & F.length("word").between(3, 60)).select("word")
+    given = docs.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in likely.collect()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = given.value
+        for part in _parts(batches):
+            seen: set[tuple[str, int, bool]] = set()
             for text, y in part:
                 words = [b"", *words_of(text), b""]
                 places: dict[bytes, int] = {}
                 for i, w in enumerate(words):
                     places.setdefault(w, i)
-                seen.update((w, xxhash.xxh3_64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1, y != 0) for w, i in places.items() if w not in (b"", b"\x01"))
-            words = pa.array([w.decode("utf-8", "replace") for w, *_ in seen], pa.string())
-            yield pa.RecordBatch.from_arrays([words, *(pa.array([x[i] for x in seen], t) for i, t in ((1, pa.int64()), (2, pa.bool_())))], ["word", "between", "toxic"])
-
-    spots = train.mapInArrow(count, "word string, between long, toxic boolean").distinct()
-    begun = F.filter(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS)), lambda s: s.isNotNull())
-    counts = spots.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    counts = counts.select(F.explode(F.concat(F.array("word"), begun)).alias("word"), "t", "c").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                for w, i in places.items():
+                    word = w.decode("utf-8", "replace")
+                    terms = [t for t in (word, *stems(word)) if t in wanted]
+                    if terms:
+                        between = xxhash.xxh3_64_intdigest(words[i - 1] + b" " + words[i + 1]) >> 1
+                        seen.update((t, between, y != 0) for t in terms)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], ["word", "between", "toxic"])
+
+    counts = train.mapInArrow(spots, "word string, between long, toxic boolean").distinct().groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
@@ -300,9 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(Trie(list(terms)))
-        for batch in batches:
-            made = [context_scores(t, lookup, strengths) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(made, pa.list_(pa.float64()))], ["y", "x"])
+        for part in _parts(batches):
+            made = [context_scores(t, lookup, strengths) for t, _ in part]
+            yield pa.RecordBatch.from_arrays([pa.array([y for _, y in part], pa.int32()), pa.array(made, pa.list_(pa.float64()))], ["y", "x"])
 
     fitted = train.mapInArrow(features, "y int, x array<double>").collect()
     x, y = np.array([r["x"] for r in fitted]), np.array([float(r["y"] != 0) for r in fitted])
@@ -327,7 +349,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         lookup = Lookup(Trie(list(m.terms)))
         w, means, scales = np.array(m.weights), np.array(m.means), np.array(m.scales)
         for batch in batches:
-            x = np.array([context_scores(t, lookup, m.strengths) for t in batch.column(text_col).to_pylist()]).reshape(-1, _FEATURES)
+            x = np.array([context_scores(t, lookup, m.strengths) for (t,) in rows_of(batch, text_col)]).reshape(-1, _FEATURES)
             p = 1 / (1 + np.exp(-np.clip(((x - means) / scales) @ w[:-1] + w[-1], -60, 60)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, name])
 
