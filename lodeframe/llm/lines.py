@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm import jaccard
 from lodeframe.llm.shared import written
 
 #: Leading tokens on the way down the tree; parts of the rest that may vary.
@@ -22,6 +21,9 @@ DEPTH, PARTS = 3, 3
 LEAST, FIXED, LONG = 4, 3, 12
 #: A document that would lose more than this share of its words may be a copy as a whole.
 SHARE = 0.5
+#: What near-duplicate detection takes for near: words of a gram, and percent of the grams of both.
+GRAM, SIMILAR = 5, 80
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def tokens(line: Column) -> Column:
@@ -57,20 +59,31 @@ def templates(lines: DataFrame) -> DataFrame:
     return parts.select("doc", "line", F.col("n").alias("words"), F.inline(found))
 
 
-def near_copies(joined: DataFrame, likely: Column, id_col: str, text_col: str, kept: Column) -> DataFrame:
-    """(__rid, __copy) of the likely copies that are near duplicates of what stays of their __owner.
+def shingles(text: Column) -> Column:
+    """Hashes of the text's distinct five-word grams, as near-duplicate detection takes its words; of all words if they are fewer."""
+    words = F.filter(F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[ \t-\r]+"), lambda w: w != "")
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - GRAM, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, GRAM))))
+    return F.transform(F.array(words), grams)[0]
 
-    The test is that of near-duplicate detection: five-word grams and a Jaccard similarity of
-    0.8. An owner that is a likely copy itself doesn't count, as it may lose lines too, and a null
-    id doesn't, as near-duplicate detection drops none. ``kept`` is the text without all recurring lines.
+
+def near_copies(rows: DataFrame, gone: DataFrame, text: Column) -> DataFrame:
+    """(__rid, __copy) of the documents that are near duplicates of what stays of their __owner.
+
+    Looked at are those that would lose more than SHARE of their words, though not all lines. The
+    test is that of near-duplicate detection: five-word grams and a Jaccard similarity of 0.8. An
+    owner that is looked at itself doesn't count, as it may lose lines too, and a null
+    id doesn't, as near-duplicate detection drops none.
     """
-    found = written(joined.where(likely).select("__rid", "__owner", F.col(f"`{id_col}`").isNotNull().alias("named")), "line-copies")
-    pairs = found.where("named").select(F.col("__rid").alias("a"), F.col("__owner").alias("b")).join(found.select(F.col("__rid").alias("b")), "b", "left_anti")
-    texts = joined.join(found.select("__rid", "named"), "__rid", "left").select("__rid", F.when(F.col("named").isNotNull(), F.col(f"`{text_col}`")).otherwise(kept).alias("__text"))
-    test = jaccard.Join(texts, "__rid", "__text", 5, 80, jaccard.SPREAD, jaccard.BLOCK)
-    test.unique = True
-    rows = pairs.select("a").union(pairs.select("b")).distinct()
-    return test.linked(pairs.select("a", "b"), rows.select(F.col("a").alias("class"), F.col("a").alias("id"))).select(F.col("a").alias("__rid"), F.lit(True).alias("__copy"))
+    sizes = rows.select("__doc", "__all", "__size")
+    likely = (F.col("__words") > SHARE * F.col("__all")) & (F.size("__gone") < F.col("__size"))
+    found = written(gone.join(sizes, "__doc").where(likely).select(F.col("__doc.rid").alias("a"), F.col("__owner").alias("b"), (~F.col("__doc.none")).alias("named")), "line-copies")
+    pairs = found.where("named").select("a", "b").join(found.select(F.col("a").alias("b")), "b", "left_anti")
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left_over(F.split(text, "\n"), F.col("__gone")), "\n"))
+    owners = rows.join(pairs.select(F.col("b").alias("__rid")).distinct(), "__rid").join(gone.select("__doc", "__gone"), "__doc", "left").select(F.col("__rid").alias("b"), shingles(kept).alias("of_owner"))
+    own = rows.join(pairs, F.col("__rid") == F.col("a")).select("a", "b", shingles(text).alias("own"))
+    shared = F.size(F.array_intersect("own", "of_owner"))
+    near = own.join(owners, "b").withColumn("shared", shared).where(100 * F.col("shared") >= SIMILAR * (F.size("own") + F.size("of_owner") - F.col("shared")))
+    return written(near.select(F.col("a").alias("__rid"), F.lit(True).alias("__copy")), "line-copies")
 
 
 def left_over(split: Column, gone: Column) -> Column:
@@ -102,7 +115,11 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tested:
     rid = "__rid"
     text = F.col(f"`{text_col}`")
     # A number must be the same whenever it is read, so it is written; else the text itself is the key.
-    rows = written(df.withColumn(rid, F.monotonically_increasing_id()), "line-rows") if tested else df.withColumn(rid, F.xxhash64(text))
+    if tested:
+        sizes = {"__all": F.size(F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " ")), "__size": F.size(F.split(text, "\n"))}
+        rows = written(df.withColumns({rid: F.monotonically_increasing_id(), **sizes}), "line-rows")
+    else:
+        rows = df.withColumn(rid, F.xxhash64(text))
     rows = rows.withColumn("__doc", F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(rid).alias("rid")))
     keyed = written(templates(line_rows(rows, F.col("__doc"), text)), "line-templates")
     # First and last document are combined before the shuffle, however often a template recurs.
@@ -112,16 +129,14 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tested:
         gone = gone.groupBy("doc", "line").agg(F.first("words").alias("words"), F.min("first").alias("owner"))
         gone = gone.groupBy("doc", F.col("owner.rid").alias("owner")).agg(F.sum("words").alias("words"), F.collect_list("line").alias("lines"))
         gone = gone.groupBy("doc").agg(F.sum("words").alias("__words"), F.sort_array(F.flatten(F.collect_list("lines"))).alias("__gone"), F.max_by("owner", F.struct("words", "owner")).alias("__owner"))
-        gone = written(gone, "line-gone")
+        gone = written(gone.withColumnRenamed("doc", "__doc"), "line-gone")
     else:
-        gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("__gone"))
-    joined = rows.join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left")
+        gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))
+    joined = rows.join(gone, "__doc", "left")
     split = F.split(text, "\n")
     left = F.array_join(left_over(split, F.col("__gone")), "\n")
     if tested:
-        every = F.when(F.col("__gone").isNull(), text).otherwise(left)
-        likely = (F.col("__words") > SHARE * F.size(F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " "))) & (F.size("__gone") < F.size(split))
-        joined = joined.join(near_copies(joined, likely, id_col, text_col, every), rid, "left")
+        joined = joined.join(near_copies(rows, gone, text), rid, "left")
         joined = joined.withColumn("__gone", F.when(F.col("__copy").isNull(), F.col("__gone")))
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     added = dict(zip(names, (n_lines.cast("long"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"), F.when(F.col("__gone").isNull(), text).otherwise(left)), strict=True))
