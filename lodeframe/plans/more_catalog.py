@@ -59,7 +59,7 @@ codes("sql_policy", {c: (_admits(s), want) for c, s, want in (
     ("select", "SELECT o_orderkey FROM orders", "admitted"), ("empty", " ; ", "empty_sql"), ("two", "SELECT 1; SELECT 2", "multiple_statements"), ("broken", "SELECT (", "sql_parse_error"), ("large", "SELECT " + "1 + " * 6000 + "1", "sql_too_large"),
 )})
 codes("sql_readonly", {c: (_admits(s), want) for c, s, want in (("insert", "INSERT INTO orders SELECT 1", "forbidden_statement"), ("drop", "DROP TABLE orders", "forbidden_statement"), ("show", "SHOW TABLES", "not_readonly"), ("values", "SELECT * FROM VALUES (1)", "forbidden_statement"))})
-codes("sql_functions", {c: (_admits(s), want) for c, s, want in (("random", "SELECT rand()", "function_not_allowed"), ("qualified", "SELECT a.count(1)", "qualified_function_forbidden"), ("repeat", "SELECT repeat('x', 200000)", "function_argument_limit"), ("known", "SELECT upper('x')", "admitted"))})
+codes("sql_functions", {c: (_admits(s), want) for c, s, want in (("random", "SELECT rand()", "function_not_allowed"), ("qualified", "SELECT a.count(1)", "qualified_function_forbidden"), ("repeat", "SELECT repeat('x', 200000)", "function_argument_limit"), ("known", "SELECT upper('x')", "admitted"), ("identifier", "SELECT IDENTIFIER('re' || 'flect')('java.lang.Math', 'abs', 1)", "function_not_allowed"), ("bare", "SELECT CURRENT_USER", "function_not_allowed"), ("any", "SELECT any_value(o_orderkey) FROM orders", "function_not_allowed"))})
 codes("sql_tables", {c: (_admits(s), want) for c, s, want in (("other", "SELECT * FROM lineitem", "table_not_selected"), ("system", "SELECT * FROM information_schema.tables", "system_schema_forbidden"), ("cte", "WITH lineitem AS (SELECT 1 AS a) SELECT a FROM lineitem", "admitted"))})
 codes("sql_bounds", {c: (_admits(s), want) for c, s, want in (("joins", "SELECT 1 FROM orders" + " JOIN customer ON 1 = 1" * 33, "too_many_joins"), ("literal", "SELECT '" + "x" * 5000 + "'", "literal_too_large"))})
 codes("sql_exec_comment", {"mysql": (lambda spark, d: admit(spark, "SELECT /*! 1 */ 2", None, "mysql"), "executable_comment_forbidden")})

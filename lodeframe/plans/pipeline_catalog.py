@@ -135,10 +135,10 @@ def aggregate_sum(spark, d):
     return out.result().select("status", F.col("total").cast("decimal(28,2)"), "n", F.col("least").cast("decimal(12,2)"), F.col("most").cast("decimal(12,2)"))
 
 
-@query("op_aggregate_mean", f"SELECT o_orderkey % 2 AS odd, CAST(avg(o_orderkey * 2) AS DECIMAL(28,4)) AS mean FROM (SELECT o_orderkey FROM {_T} WHERE o_orderkey BETWEEN 1 AND 1000) GROUP BY 1")
+@query("op_aggregate_mean", f"SELECT o_orderkey // 2 AS pair, CAST(avg(o_orderkey) AS DECIMAL(28,4)) AS mean FROM {_T} GROUP BY 1")
 def aggregate_mean(spark, d):
-    df = _read(spark, d, "orders").where("o_orderkey BETWEEN 1 AND 1000").selectExpr("o_orderkey % 2 AS odd", "cast(o_orderkey * 2 as string) AS v")
-    return p.aggregate(p.convert(Frame.of(df), ["v"], "number"), ["odd"], [p.Metric("mean", "v", "mean")]).result().select("odd", F.col("mean").cast("decimal(28,4)"))
+    df = _read(spark, d, "orders").selectExpr("o_orderkey DIV 2 AS pair", "cast(o_orderkey as string) AS v")
+    return p.aggregate(p.convert(Frame.of(df), ["v"], "number"), ["pair"], [p.Metric("mean", "v", "mean")]).result().select("pair", F.col("mean").cast("decimal(28,4)"))
 
 
 @query("op_aggregate_guard", "SELECT 'aggregate_missing_values_require_policy' AS code")
@@ -154,9 +154,9 @@ for _name, _sql in (("add", "price + o_custkey"), ("subtract", "price - o_custke
     query(f"op_derive_{_name}", f"SELECT o_orderkey, CAST({_sql} AS DECIMAL(28,2)) AS v FROM {_T}")(_derive)
 
 
-@query("op_derive_divide", f"SELECT o_orderkey, CAST(price * 0.125 AS DECIMAL(28,5)) AS v FROM {_T} WHERE o_orderkey < 3000")
+@query("op_derive_divide", f"SELECT o_orderkey, CAST(price * 0.125 AS DECIMAL(28,5)) AS v FROM {_T}")
 def derive_divide(spark, d):
-    f = p.convert(Frame.of(_orders(spark, d).result().where("o_orderkey < 3000").withColumn("eight", F.lit("8"))), ["price", "eight"], "number")
+    f = p.convert(Frame.of(_orders(spark, d).result().withColumn("eight", F.lit("8"))), ["price", "eight"], "number")
     return p.derive(f, "divide", ["price", "eight"], "v").result().select("o_orderkey", F.col("v").cast("decimal(28,5)"))
 
 

@@ -46,8 +46,11 @@ _NAMED = {
     "Extract": "EXTRACT", "TimestampDiff": "TIMESTAMPDIFF", "Substring": "SUBSTRING", "StringLocate": "LOCATE", "Ceil": "CEIL", "Floor": "FLOOR",
     "DateDiff": "DATEDIFF", "Overlay": "OVERLAY", "TimestampAdd": "TIMESTAMPADD", "CurrentDate": "CURRENT_DATE", "CurrentTimestamp": "CURRENT_TIMESTAMP",
     "CurrentUser": "CURRENT_USER", "LocalTimestamp": "LOCALTIMESTAMP", "CurrentTime": "CURRENT_TIME", "Exists": "EXISTS", "RLike": "REGEXP_LIKE", "LambdaFunction": "LAMBDA",
+    "AnyValue": "ANY_VALUE", "ExpressionWithUnresolvedIdentifier": "IDENTIFIER", "PlanWithUnresolvedIdentifier": "IDENTIFIER", "NamedParameter": "PARAMETER", "PosParameter": "PARAMETER",
     "ScalarSubquery": "", "ListQuery": "", "CreateNamedStruct": "STRUCT", "NamedStruct": "STRUCT",
 }
+# Functions that are called without brackets, so that they look like columns.
+_BARE = frozenset("CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER LOCALTIME LOCALTIMESTAMP SESSION_USER USER".split())
 #: Operators that the parser writes as functions.
 _OPERATORS = frozenset(("BETWEEN",))
 _CHANGES = re.compile(r"(Insert|Delete|Update|Merge|Create|Drop|Alter|Truncate|Set|Reset|Use|Cache|Uncache|Analyze|Load|Replace|Add|Refresh|Repair|Rename|Comment|Call|Execute|Declare|Recover|Optimize)")
@@ -109,6 +112,9 @@ class _Walk:
             self.function([str(p) for p in _each(e.nameParts())], e)
         elif kind in _NAMED:
             require(not _NAMED[kind] or _NAMED[kind] in FUNCTIONS, "function_not_allowed", SqlPolicyError)
+        elif kind == "UnresolvedAttribute":
+            parts = [str(p) for p in _each(e.nameParts())]
+            require(len(parts) > 1 or parts[0].upper() not in _BARE, "function_not_allowed", SqlPolicyError)
         elif kind == "Literal" and e.value() is not None and e.dataType().typeName() == "string":
             require(len(e.value().toString()) <= LITERAL, "literal_too_large", SqlPolicyError)
         if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):

@@ -37,12 +37,12 @@ def scalar(name: str, of: str, spark: str, duck: str | None = None, kind: str =
 
 # --- relational operators
 sql("sql_project", "SELECT c_custkey, c_name AS name, c_nationkey + 1 AS next_nation FROM customer")
-sql("sql_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderkey BETWEEN 10 AND 5000 AND o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL")
+sql("sql_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 1000 AND 250000 AND o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL")
 sql("sql_case_if", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END AS band, IF(p_size > 25, 1, 0) AS big FROM part")
 sql("sql_cast", "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12,2)) AS price, CAST(p_size AS BIGINT) AS size FROM part")
 sql("sql_try_cast", "SELECT c_custkey, TRY_CAST(right(c_name, 3) AS INT) AS n, TRY_CAST(c_mktsegment AS INT) AS none FROM customer")
 for how, word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    sql(f"sql_join_{how}", f"SELECT c_custkey, o_orderkey FROM customer {word} (SELECT * FROM orders WHERE o_orderkey < 4000) o ON c_custkey = o_custkey")
+    sql(f"sql_join_{how}", f"SELECT c_custkey, o_orderkey FROM customer {word} orders ON c_custkey = o_custkey")
 sql("sql_join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("sql_join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
 sql("sql_join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")

@@ -173,10 +173,10 @@ def _lines(spark, d) -> DataFrame:
     return li.select("l_orderkey", F.col("l_linenumber").alias("ordinal"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id")).distinct()
 
 
-@query("retr_neighbors", "WITH c AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS o FROM lineitem), h AS (SELECT * FROM c WHERE d % 50 = 0 AND o = 2) SELECT h.d * 10 + h.o AS hit, c.d * 10 + c.o AS chunk_id, CAST(c.o - h.o AS INTEGER) AS distance FROM h JOIN c ON c.d = h.d AND abs(c.o - h.o) <= 1")
+@query("retr_neighbors", "WITH c AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS o FROM lineitem), h AS (SELECT * FROM c WHERE o = 2) SELECT h.d * 10 + h.o AS hit, c.d * 10 + c.o AS chunk_id, CAST(c.o - h.o AS INTEGER) AS distance FROM h JOIN c ON c.d = h.d AND abs(c.o - h.o) <= 1")
 def retr_neighbors(spark, d):
     c = _lines(spark, d)
-    hits = c.where("l_orderkey % 50 = 0 AND ordinal = 2").select("chunk_id")
+    hits = c.where("ordinal = 2").select("chunk_id")
     return retrieval.neighbours(c, hits, 1, "l_orderkey").select("hit", "chunk_id", "distance")
 
 

@@ -24,6 +24,8 @@ BAD = {
     "SELECT repeat(s, 100001) FROM t": "function_argument_limit", "SELECT repeat(s, n) FROM t": "function_argument_limit", "SELECT * FROM secret": "table_not_selected",
     "SELECT * FROM information_schema.tables": "system_schema_forbidden", "WITH t2 AS (SELECT * FROM hidden) SELECT * FROM t2": "table_not_selected",
     "SELECT * FROM (WITH z AS (SELECT a FROM t) SELECT * FROM z) q JOIN z ON 1 = 1": "table_not_selected", "SELECT '" + "x" * 4097 + "'": "literal_too_large",
+    "SELECT IDENTIFIER('rand')() FROM t": "function_not_allowed", "SELECT IDENTIFIER('re' || 'flect')('java.lang.Math', 'abs', 1)": "function_not_allowed", "SELECT current_date FROM t": "function_not_allowed",
+    "SELECT CURRENT_USER": "function_not_allowed", "SELECT any_value(a) FROM t": "function_not_allowed", "SELECT localtimestamp": "function_not_allowed", "SELECT * FROM IDENTIFIER('hidden')": "forbidden_statement",
     "SELECT * FROM t" + " JOIN u ON 1 = 1" * 33: "too_many_joins", "SELECT " + "(" * 60 + "1" + " + 1)" * 60 + " + -" * 0 + " FROM t WHERE " + "NOT " * 120 + "a": "query_too_complex",
 }
 
