@@ -1,10 +1,18 @@
-"""SQL names that Spark lacks, as inlined SQL functions of the session; none of them runs Python."""
+"""SQL names that Spark lacks, or means otherwise: inlined SQL functions of the session, and calls rewritten where they stand.
+
+None of them runs Python. ``log`` of one argument is to the base of 10, ``concat`` leaves nulls
+out (its arguments are text or become it), ``trunc`` of one argument cuts a number, Sunday is day 0 of
+the week, and ``json_array`` and ``json_object`` take values of any types.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 _DEFINED = {
+    "lodeframe_dayofweek(d TIMESTAMP)": ("INT", "dayofweek(d) - 1"),
     "week(d TIMESTAMP)": ("INT", "weekofyear(d)"),
     "truncate(x DOUBLE)": ("DOUBLE", "sign(x) * floor(abs(x))"),
     "timestamp_trunc(unit STRING, t TIMESTAMP)": ("TIMESTAMP", "date_trunc(unit, t)"),
@@ -16,6 +24,45 @@ _DEFINED = {
     "json_contains(j STRING, x STRING)": ("BOOLEAN", "array_contains(from_json(j, 'array<string>'), x)"),
 }
 
+#: By name: what stands for it with that number of arguments (None: any number).
+_OTHER = {"LOG": (1, "log10"), "TRUNC": (1, "truncate"), "DAYOFWEEK": (1, "lodeframe_dayofweek")}
+REWRITTEN = frozenset((*_OTHER, "CONCAT", "JSON_ARRAY", "JSON_OBJECT"))
+
+
+def rewritten(text: str, calls: list[tuple[str, list[tuple[int, int]], int, int]]) -> str:
+    """The text with such calls put into Spark's words; outer calls come before those within them."""
+    heads: dict[int, tuple[int, str]] = {}
+    before: dict[int, str] = {}
+    after: dict[int, str] = {}
+
+    def around(a: int, b: int, left: str, right: str) -> None:
+        before[a] = before.get(a, "") + left
+        after[b] = right + after.get(b, "")
+
+    documents = {(start, end) for name, _, start, end in calls if name.startswith("JSON_")}
+    for name, args, start, end in calls:
+        head = re.compile(r"`?\w+`?\s*\(").match(text, start).end()
+        if name in _OTHER and len(args) == _OTHER[name][0]:
+            heads[start] = (head, _OTHER[name][1] + "(")
+        elif name == "CONCAT" and args:
+            heads[start] = (head, "concat_ws('', ")
+        elif name.startswith("JSON_"):
+            heads[start] = (head, "to_json(array(" if name == "JSON_ARRAY" else "to_json(map(")
+            for i, (a, b) in enumerate(args):
+                if (a, b) in documents:
+                    around(a, b, "parse_json(", ")")
+                else:
+                    around(a, b, "CAST(", " AS STRING)" if name == "JSON_OBJECT" and i % 2 == 0 else " AS VARIANT)")
+            after[end] = ")" + after.get(end, "")
+    out, at = [], 0
+    for place in sorted({*heads, *before, *after}):
+        out += [text[at:place], after.get(place, ""), before.get(place, "")]
+        at = place
+        if place in heads:
+            at, new = heads[place]
+            out.append(new)
+    return "".join([*out, text[at:]])
+
 
 def register(spark: SparkSession) -> None:
     for head, (kind, body) in _DEFINED.items():

@@ -14,6 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from lodeframe.errors import SqlPolicyError, require
+from lodeframe.functions import dialect
 
 # The functions that a query may call, by category.
 FUNCTIONS = frozenset(
@@ -66,6 +67,11 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
+def _span(e) -> tuple[int, int]:
+    """Where an expression stands in the text, its end exclusive."""
+    return e.origin().startIndex().get(), e.origin().stopIndex().get() + 1
+
+
 def _statements(sql: str) -> int:
     """Number of statements between semicolons that stand outside quotes and comments."""
     bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", "x", sql, flags=re.S)
@@ -75,6 +81,8 @@ def _statements(sql: str) -> int:
 class _Walk:
     def __init__(self, allowed: frozenset[str] | None):
         self.allowed, self.nodes, self.joins = allowed, 0, 0
+        #: (name, arguments, from, to) of the calls whose meaning here isn't Spark's; an argument is (from, to).
+        self.calls: list[tuple[str, list[tuple[int, int]], int, int]] = []
 
     def count(self, depth: int) -> None:
         self.nodes += 1
@@ -130,18 +138,26 @@ class _Walk:
             args = list(_each(e.arguments()))
             literal = len(args) > 1 and _kind(args[1]) == "Literal" and args[1].dataType().typeName() in ("integer", "long")
             require(literal and 0 <= int(args[1].value()) <= REPEATS, "function_argument_limit", SqlPolicyError)
+        if name in dialect.REWRITTEN:
+            self.calls.append((name, [_span(a) for a in _each(e.arguments())], *_span(e)))
 
 
 def admit(spark: SparkSession, sql: str, tables: Iterable[str] | None = None, dialect: str = "spark") -> str:
+    """The admitted statement as it is written; see :func:`prepare`."""
+    return prepare(spark, sql, tables, dialect)[0]
+
+
+def prepare(spark: SparkSession, sql: str, tables: Iterable[str] | None = None, source: str = "spark") -> tuple[str, str]:
     """The statement without its closing semicolon, if it is one read-only query within bounds; else SqlPolicyError.
 
+    The second text is for Spark: calls that mean something else there are rewritten in it.
     ``tables`` are the names that it may read; None allows any. Messages carry codes alone
     and never repeat what the query says.
     """
     text = sql.strip() if isinstance(sql, str) else ""
     require(bool(text.strip("; \n\t")), "empty_sql", SqlPolicyError)
     require(len(text) <= CHARACTERS, "sql_too_large", SqlPolicyError)
-    require(dialect not in ("mysql", "mariadb") or "/*!" not in text, "executable_comment_forbidden", SqlPolicyError)
+    require(source not in ("mysql", "mariadb") or "/*!" not in text, "executable_comment_forbidden", SqlPolicyError)
     require(_statements(text) <= 1, "multiple_statements", SqlPolicyError)
     text = text.rstrip("; \n\t")
     try:
@@ -151,5 +167,6 @@ def admit(spark: SparkSession, sql: str, tables: Iterable[str] | None = None, di
     root = _kind(plan)
     require(not _CHANGES.match(root), "forbidden_statement", SqlPolicyError)
     require(root in _RELATIONAL or root in ("UnresolvedHint", "UnresolvedInlineTable", "Generate", "LateralJoin", "ResolvedInlineTable"), "not_readonly", SqlPolicyError)
-    _Walk(None if tables is None else frozenset(tables)).plan(plan, frozenset(), 1)
-    return text
+    walk = _Walk(None if tables is None else frozenset(tables))
+    walk.plan(plan, frozenset(), 1)
+    return text, dialect.rewritten(text, walk.calls)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.functions import dialect
-from lodeframe.plans.policy import admit
+from lodeframe.plans.policy import prepare
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,9 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
 
     A limit bounds the rows that come back, never what is aggregated.
     """
-    text = admit(spark, sql, tables)
+    text, own = prepare(spark, sql, tables)
     dialect.register(spark)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    df = spark.sql(text)
+    df = spark.sql(own)
     return QueryResult(df if max_rows is None else df.limit(max_rows + 1), text, tuple(tables), max_rows, dict(units or {}))

@@ -58,3 +58,9 @@ def test_shims(spark):
     t = {"t": spark.createDataFrame([('{"a": [1, 2]}', 2.7)], "j string, x double")}
     row = run_sql(spark, "SELECT json_extract(j, '$.a') AS a, json_valid(j) AS v, json_valid('{') AS w, json_type(j) AS k, truncate(-x) AS c FROM t", t).df.first()
     assert tuple(row) == ("[1,2]", True, False, "OBJECT", -2.0)
+
+
+def test_calls_are_rewritten_where_they_stand(spark):
+    t = {"t": spark.createDataFrame([("x", None, 100.0)], "a string, b string, n double")}
+    row = run_sql(spark, "SELECT concat(a, b, concat(`a`, '(log(1)')) AS c, LOG (n) AS l, log(10, n) AS m, trunc(-n / 3) AS z, json_array(1, json_object('k', concat(a, 'y')), NULL) AS j, json_array() AS e FROM t -- log(n)", t).df.first()
+    assert tuple(row) == ("xx(log(1)", 2.0, 2.0, -33.0, '[1,{"k":"xy"},null]', "[]")
