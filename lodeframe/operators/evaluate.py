@@ -68,3 +68,27 @@ def schema_matches(value, wanted) -> bool:
     if isinstance(wanted, list):
         return isinstance(value, list) and len(value) >= len(wanted) and all(schema_matches(v, w) for v, w in zip(value, wanted, strict=False))
     return value == wanted
+
+
+def unexpected_actions(called: Column, allowed: Column) -> Column:
+    """Distinct actions that were called though not allowed, sorted; empty passes."""
+    return F.array_sort(F.array_except(F.coalesce(called, F.array().cast("array<string>")), allowed))
+
+
+def unchanged(before: Column, after: Column) -> Column:
+    """passed if both hashes are there and equal, needs_review if there are none, else failed."""
+    return F.when(before.isNull() & after.isNull(), "needs_review").when((before == after) & (before != ""), "passed").otherwise("failed")
+
+
+def usage(results: DataFrame, field: str, *cohort: str) -> DataFrame:
+    """(cohort, total, measured_count, unavailable_count) of a measure; negative and missing ones are unavailable."""
+    value = F.when(F.col(f"`{field}`") >= 0, F.col(f"`{field}`"))
+    return results.groupBy(*cohort).agg(F.sum(value).alias("total"), F.count(value).alias("measured_count"), (F.count("*") - F.count(value)).alias("unavailable_count"))
+
+
+def reviewed(answers: DataFrame, reviews: DataFrame, case_col: str) -> DataFrame:
+    """answers with verdict: the review's label where it was given for this very answer (its SHA-256), stale for another, else null."""
+    r = reviews.groupBy(case_col).agg(F.max_by("label", "at").alias("__label"), F.max_by("answer_sha256", "at").alias("__hash"))
+    held = answers.join(r, case_col, "left")
+    verdict = F.when(F.col("__hash") == F.sha2("answer", 256), F.col("__label")).when(F.col("__hash").isNotNull(), "stale")
+    return held.withColumn("verdict", verdict).drop("__label", "__hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.text.expressions import numeric_claims
+from lodeframe.text.expressions import numeric_claims, redact
 
 
 def parse_reference(ref: Column) -> Column:
@@ -58,3 +58,28 @@ def remove_plan(items: DataFrame, references: DataFrame, id_col: str) -> DataFra
     """What becomes of each item: archived where something refers to it, else deleted."""
     used = references.select(id_col).distinct().withColumn("__u", F.lit(1))
     return items.join(used, id_col, "left").select(*items.columns, F.when(F.col("__u") == 1, "archive").otherwise("delete").alias("action"))
+
+
+def references(records: DataFrame, value_col: str, ids: DataFrame) -> DataFrame:
+    """Records whose JSON text names one of ids (a column id) in any key or text: bare, or as source:ID@VERSION and the like."""
+    texts = F.regexp_extract_all(F.col(f"`{value_col}`"), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    identity = lambda s: F.regexp_extract(s, r"^(?:source|dataset|artifact|document|run):([^@]*)", 1)
+    named = F.array_distinct(F.concat(texts, F.transform(texts, identity)))
+    rows = records.withColumn("__hash", F.xxhash64(F.col(f"`{value_col}`")))
+    hit = rows.select(F.col("__hash"), F.col(f"`{value_col}`").alias("__value"), F.explode(named).alias("id")).join(ids.select(F.col("id").cast("string")), "id", "left_semi").select("__hash", "__value").distinct()
+    return rows.join(hit, (rows["__hash"] == hit["__hash"]) & (F.col(f"`{value_col}`") == F.col("__value")), "left_semi").drop("__hash")
+
+
+def current(catalog: DataFrame, key: str, version: str) -> DataFrame:
+    """Each key's entry of the highest version; of entries of one version, the largest row."""
+    last = catalog.groupBy(key).agg(F.max(F.struct(F.col(version), F.struct(*catalog.columns).alias("row"))).alias("__m"))
+    return last.select("__m.row.*")
+
+
+def export(parts: dict[str, DataFrame], most: int, secrets: list[str]) -> DataFrame:
+    """(kind, id, details): a bounded bundle of audit records, so many a kind by id, with secrets masked."""
+    out = None
+    for kind, rows in parts.items():
+        one = rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), redact(F.col("details"), secrets).alias("details"), F.col("id").alias("__o")).orderBy("__o").limit(most).drop("__o")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.errors import FileError, require
@@ -56,3 +56,17 @@ def accept(values: DataFrame, id_col: str, document, table: int) -> DataFrame:
     require(bool(heads), "table_not_found", FileError)
     wide = own.groupBy("row").pivot("col", [h["col"] for h in heads]).agg(F.first("value")).orderBy("row").drop("row")
     return wide.toDF(*column_names([h["name"] for h in heads]))
+
+
+def provenance(values: DataFrame) -> DataFrame:
+    """Adds provenance to rows of cells(): where a value is from, and what stood there, cut to 2,000 characters."""
+    return values.withColumn("provenance", F.struct(F.col("row"), F.col("col").alias("column"), F.substring("raw", 1, 2000).alias("raw_value")))
+
+
+def preview(values: DataFrame, id_col: str, rows: int = 10, size: int = 64 << 10) -> DataFrame:
+    """(id, table, row, cells): the first rows of each table for as long as their bytes as JSON last, in table order in a document."""
+    few = provenance(values.where(F.col("row") < rows))
+    cells_ = F.transform(F.array_sort(F.collect_list(F.struct("col", "value", F.col("kind").alias("type"), "provenance"))), lambda c: F.struct(c["value"], c["type"], c["provenance"]))
+    lines = few.groupBy(F.col(f"`{id_col}`"), "table", "row").agg(cells_.alias("cells"))
+    used = F.sum(F.octet_length(F.to_json(F.struct(F.col("row").alias("row_index"), "cells")))).over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy("table", "row"))
+    return lines.withColumn("__used", used).where(F.col("__used") <= size).drop("__used")

@@ -7,6 +7,7 @@ nothing else in the library does.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -170,3 +171,20 @@ def prepare(spark: SparkSession, sql: str, tables: Iterable[str] | None = None,
     walk = _Walk(None if tables is None else frozenset(tables))
     walk.plan(plan, frozenset(), 1)
     return text, dialect.rewritten(text, walk.calls)
+
+
+def tool_decision(name: str, arguments: dict, tools: Iterable[str], sources: Iterable[str], datasets: Iterable[str], secrets: Iterable[str] = ()) -> tuple[str, str]:
+    """(allow or reject, code): a known tool, no configured secret anywhere in its arguments, ids of the selection only."""
+    if name not in set(tools):
+        return "reject", "unknown_tool"
+    said = json.dumps(arguments, ensure_ascii=False, default=str)
+    if any(s and s in said for s in secrets):
+        return "reject", "configured_secret_detected"
+    own = set(sources)
+    both = own | set(datasets)
+    for field in ("source_id", "dataset_id", "dataset_ids", "input_dataset_ids"):
+        given = arguments.get(field)
+        ids = given if isinstance(given, list) else [] if given is None else [given]
+        if not {str(i) for i in ids} <= (own if field == "source_id" else both):
+            return "reject", "source_not_selected" if field == "source_id" else "dataset_not_selected"
+    return "allow", "validated_input"

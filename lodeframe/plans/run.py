@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,20 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
         df.createOrReplaceTempView(name)
     df = spark.sql(own)
     return QueryResult(df if max_rows is None else df.limit(max_rows + 1), text, tuple(tables), max_rows, dict(units or {}))
+
+
+def named(tables: dict[str, DataFrame]) -> dict[str, str]:
+    """dataset_1, dataset_2 and so on for the selected tables, in order."""
+    return {f"dataset_{i}": name for i, name in enumerate(tables, 1)}
+
+
+def file_query(spark: SparkSession, paths: dict[str, str], sql: str, max_rows: int) -> tuple[QueryResult, dict]:
+    """Runs a query over selected Parquet files, by their names or as dataset_N, and says what the result rests on.
+
+    The evidence names the tables that were selected, the query's fingerprint, the columns and the row bound.
+    """
+    frames = {name: spark.read.parquet(path) for name, path in paths.items()}
+    short = named(frames)
+    result = run_sql(spark, sql, frames | {alias: frames[name] for alias, name in short.items()}, max_rows)
+    evidence = {"kind": "sql", "sha256": hashlib.sha256(result.sql.encode()).hexdigest(), "tables": list(paths), "aliases": short, "columns": result.df.columns, "row_limit": max_rows}
+    return result, evidence

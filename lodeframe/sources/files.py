@@ -275,3 +275,57 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int, max_bytes: in
             return out, True
         out.append(r.asDict())
     return out, False
+
+
+# What files of an extension start with; text has no mark of its own.
+MAGIC = {"pdf": b"%PDF-", "docx": b"PK", "pptx": b"PK", "png": b"\x89PNG", "jpg": b"\xff\xd8\xff", "jpeg": b"\xff\xd8\xff", "webp": b"RIFF"}
+ARTIFACT_ROWS, ARTIFACT_COLUMNS, ARTIFACT_CHARS = 250_000, 256, 64_000
+
+
+def validate_upload(name: str, content: bytes, most: int) -> str:
+    """The document's kind, if its bytes are what its extension says; else FileError."""
+    require(bool(content), "empty_upload", FileError)
+    require(len(content) <= most, "upload_too_large", FileError)
+    suffix = name.replace("\\", "/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    if suffix in MAGIC:
+        require(content.startswith(MAGIC[suffix]), "file_type_mismatch", FileError)
+        if suffix in ("docx", "pptx"):
+            guard_archive(content)
+        return suffix if suffix in ("pdf", "docx", "pptx") else "image"
+    require(suffix in ("txt", "md", "html", "htm"), "file_type_unsupported", FileError)
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        raise FileError("file_type_mismatch") from None
+    page = suffix.startswith("htm")
+    marked = not page or re.search(r"(?i)<\s*(?:html|body|p|h[1-6]|div|table)\b", text)
+    require("\0" not in text and bool(marked) and (page or not content.startswith(b"PK")), "file_type_mismatch", FileError)
+    return "html" if page else suffix
+
+
+def scan_artifact(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A stored result (csv, json, parquet or xlsx) as text columns, at most ARTIFACT_ROWS rows of it.
+
+    json is {"columns": [...], "rows": [[...], ...]} or an array of flat records. Wider tables and longer cells are rejected.
+    """
+    require(kind in ("csv", "json", "parquet", "xlsx"), "artifact_format_unsupported", FileError)
+    if kind == "json":
+        table = spark.read.text(path, wholetext=True).select(F.from_json("value", "columns array<string>, rows array<array<string>>").alias("t"))
+        names = table.select("t.columns").first()["columns"]
+        if names is None:
+            df = scan_json(spark, path)
+        else:
+            require(len(names) <= ARTIFACT_COLUMNS, "too_many_columns", FileError)
+            df = table.select(F.explode("t.rows").alias("r")).select(*(F.get("r", F.lit(i)).alias(n) for i, n in enumerate(normalize_headers(names))))
+    elif kind == "xlsx":
+        df = next(iter(scan_xlsx(spark, path).values()))
+    else:
+        df = scan_csv(spark, path) if kind == "csv" else scan_parquet(spark, path)
+    require(len(df.columns) <= ARTIFACT_COLUMNS, "too_many_columns", FileError)
+    cell = lambda c: F.when(F.length(c) > ARTIFACT_CHARS, F.raise_error(F.lit("artifact_cell_too_large"))).otherwise(c)
+    return df.limit(ARTIFACT_ROWS).select(*(cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns))
+
+
+def inspect_schema(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str, bool]]:
+    """(table, position, column, type, nullable) of each table, from their plans alone."""
+    return [(t, i, f.name, f.dataType.simpleString(), f.nullable) for t, df in tables.items() for i, f in enumerate(df.schema, 1)]

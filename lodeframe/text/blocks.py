@@ -204,3 +204,32 @@ def chunks(groups: DataFrame, id_col: str, strategy: str = "structure", most: in
     cut = cut.withColumn("chunk_id", F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), "ordinal"))
     head = Window.partitionBy(F.col(f"`{id_col}`"), "heading").orderBy("ordinal")
     return cut.withColumns({"previous_id": F.lag("chunk_id").over(order), "next_id": F.lead("chunk_id").over(order), "parent_id": F.when(F.col("heading").isNotNull(), F.first("chunk_id").over(head))})
+
+
+def token_windows(df: DataFrame, id_col: str, text_col: str = "text", body: int = 384, overlap: int = 48) -> DataFrame:
+    """(id, part, text, tokens): bodies of so many words, each but the first with some before it; a null or blank text has none.
+
+    A word takes the white space after it along, so bodies join to the text but for white space at its start. Words stand in for a model's
+    tokens, which are not at hand.
+    """
+    words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[^ \t\n\r]+[ \t\n\r]*"), F.lit(0))
+    cut = df.select(F.col(f"`{id_col}`"), words.alias("__w")).where(F.size("__w") > 0)
+    each = cut.select(F.col(f"`{id_col}`"), "__w", F.explode(F.sequence(F.lit(0), F.floor((F.size("__w") - 1) / body).cast("int"))).alias("part"))
+    start = F.greatest(F.lit(0), F.col("part") * body - overlap)
+    return each.withColumn("__s", F.slice("__w", start + 1, (F.col("part") + 1) * body - start)).select(F.col(f"`{id_col}`"), "part", F.array_join("__s", "").alias("text"), F.size("__s").alias("tokens"))
+
+
+def location(blocks: DataFrame, *by: str) -> DataFrame:
+    """(by, type, start, end): where grouped blocks are: rows of a table, else pages, slides, paragraphs, else blocks.
+
+    blocks has ordinal and, null where unknown, table, row, page, slide and paragraph.
+    """
+    kinds = (("table", F.when(F.col("table").isNotNull(), F.col("row"))), ("pages", F.col("page")), ("slides", F.col("slide")), ("paragraphs", F.col("paragraph")), ("blocks", F.col("ordinal")))
+    span = F.coalesce(*(F.when(F.min(c).isNotNull(), F.struct(F.lit(k).alias("type"), F.min(c).alias("start"), F.max(c).alias("end"))) for k, c in kinds))
+    return blocks.groupBy(*by).agg(span.alias("l")).select(*by, "l.*")
+
+
+def block_page(blocks: DataFrame, id_col: str, document, offset: int, limit: int) -> tuple[DataFrame, int]:
+    """A document's blocks in order from an offset, and how many it has."""
+    own = blocks.where(F.col(f"`{id_col}`") == document)
+    return own.orderBy("ordinal").offset(offset).limit(limit), own.count()

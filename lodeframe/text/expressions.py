@@ -152,3 +152,31 @@ def invalid_grouping(v: Column) -> Column:
 def currency(v: Column) -> Column:
     code = F.upper(F.regexp_extract(v, r"(?i)^\s*(INR|USD|EUR|GBP)\b", 1))
     return F.when(code != "", code).when(F.contains(v, F.lit("₹")), "INR").when(F.contains(v, F.lit("$")), "USD").when(F.contains(v, F.lit("€")), "EUR").when(F.contains(v, F.lit("£")), "GBP")
+
+
+# What a translation must leave as it is, its placeholders, and fonts with encodings of their own.
+_PROTECTED = r"```[\s\S]*?```|`[^`\n]+`|https?://[^\s)>]+|\b[A-Z][A-Z0-9_]{1,}\b|\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b|\b\d[\d,._:/%-]*(?:\s?(?:INR|USD|Rs\.?|₹|%|kg|km|years?))?\b|\[\^?[\w.-]+\]|\b(?:[A-Z]{2,}[0-9]+|[A-Za-z]+_[A-Za-z0-9_]+)\b"
+PLACEHOLDER = "⟦ILUP%04d⟧"
+LEGACY_FONTS = r"(?i)(?:chanakya|kruti\s*dev|devlys|shusha|aps\s*dv|krutidev)"
+
+
+def protect(text: Column) -> Column:
+    """struct<text, originals>: literals, links, names and numbers as placeholders, numbered from 0, and what they stand for."""
+    originals = F.regexp_extract_all(text, F.lit(_PROTECTED), F.lit(0))
+    between = F.split(text, _PROTECTED, -1)
+    pieces = F.transform(between, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.format_string(PLACEHOLDER, i - 1), part)))
+    return F.struct(F.array_join(pieces, "").alias("text"), originals.alias("originals"))
+
+
+def restore(text: Column, originals: Column) -> Column:
+    """The text with its originals; null where a placeholder is missing or there twice."""
+    token = lambda i: F.format_string(PLACEHOLDER, i)
+    places = F.transform(originals, lambda o, i: F.struct(i.alias("i"), o.alias("o")))
+    whole = F.forall(places, lambda p: F.length(text) - F.length(F.replace(text, token(p["i"]), F.lit(""))) == F.length(token(p["i"])))
+    return F.when(whole, F.aggregate(places, text, lambda t, p: F.replace(t, token(p["i"]), p["o"])))
+
+
+def legacy_font(name: Column) -> Column:
+    """The font's name without slash and subset prefix if its family has an encoding of its own, else null."""
+    bare = F.regexp_replace(F.regexp_replace(name, "^/+", ""), r"^[A-Z]{6}\+", "")
+    return F.when(bare.rlike(LEGACY_FONTS), bare)

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.errors import RetrievalError, require
+from lodeframe.text.expressions import STOP
 
 #: Constant of reciprocal-rank fusion, and how many candidates a request may have.
 FUSION, CANDIDATES = 60, 80
+# Words that point back at an earlier question, and what each rewriting must keep.
+_BACK = re.compile(r"\b(it|that|those|same|they|its)\b|उस|वही|इसके", re.I)
+_KEPT = re.compile(r'\b\w*\d\w*\b|"[^"]+"|\b[A-Z][\w-]*\b')
+VARIANTS, QUERY_CHARS = 3, 2000
 
 
 def clean_query(query: str) -> str:
@@ -175,3 +180,62 @@ def relevance(ranked: DataFrame, relevant: DataFrame, k: int, query_col: str, id
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return m.select(query_col, zero(F.col("h") / F.col("n")).alias("precision"), zero(F.col("h") / F.col("want")).alias("recall"), zero(1 / F.col("first")).alias("reciprocal_rank"), F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0).alias("hit_rate"))
 
+
+def eligible(chunks: DataFrame, documents: DataFrame, generations: DataFrame, selected: DataFrame) -> DataFrame:
+    """Chunks of ready documents of selected (source, version), by the generation that the document points at.
+
+    documents: (document, source, version, state, generation); generations: (generation, document, version,
+    status). Generations that are neither ready nor degraded, or of another version, serve no one.
+    """
+    ready = documents.where("state = 'ready'").join(selected.select("source", "version").distinct(), ["source", "version"], "left_semi")
+    serving = generations.where("status IN ('ready', 'degraded')").select("generation", "document", "version")
+    current = ready.join(serving, ["generation", "document", "version"], "left_semi").select("document", "generation")
+    return chunks.join(current, ["document", "generation"], "left_semi")
+
+
+def dense_coverage(documents: DataFrame, generations: DataFrame, selected: DataFrame, model: dict[str, object]) -> DataFrame:
+    """(selected, matching): ready documents in scope, and those whose ready generation is of this model (its columns' values)."""
+    ready = documents.where("state = 'ready'").join(selected.select("source", "version").distinct(), ["source", "version"], "left_semi")
+    fits = F.col("status") == "ready"
+    for name, value in model.items():
+        fits &= F.col(name) == value
+    own = generations.where(fits).select("generation", "document", "version").distinct().withColumn("__fits", F.lit(1))
+    return ready.join(own, ["generation", "document", "version"], "left").agg(F.count_distinct("document").alias("selected"), F.count_distinct(F.when(F.col("__fits") == 1, F.col("document"))).alias("matching"))
+
+
+def variants(query: str, previous: str | None = None, aliases: dict[str, list[str]] | None = None, offered: list[str] = (), most: int = VARIANTS) -> list[str]:  # type: ignore[assignment]
+    """The query and rewritings of it that only add, or leave out common words; the latest offered first.
+
+    A rewriting that is offered must hold every name, number and quotation of the query; nothing is longer than QUERY_CHARS.
+    """
+    original = query.strip()
+    must = set(_KEPT.findall(original))
+    telling = [w for w in original.split() if w.casefold().strip("?,।.") not in STOP]
+    made = [v.strip() for v in reversed(offered) if all(m in v for m in must)]
+    if previous and _BACK.search(original):
+        made.append(f"{original} {previous.strip()}")
+    made.append(" ".join(telling))
+    made += [" ".join([original, *words]) for key, words in (aliases or {}).items() if key.casefold() in original.casefold()]
+    if len(telling) > 4:
+        held = [any(m in w for m in must) for w in telling]
+        made += [" ".join(w for i, w in enumerate(telling) if held[i] or i % 2 == side) for side in (0, 1)]
+    return list(dict.fromkeys([original, *(m for m in made if m and len(m) <= QUERY_CHARS)]))[:most]
+
+
+def hop(query: str, terms: list[str], excerpts: list[str]) -> str:
+    """A dependent query: with terms that earlier evidence has verbatim."""
+    require(bool(terms) == bool(excerpts), "invalid_hop", RetrievalError)
+    require(all(t.strip() and len(t) <= 100 and any(t in e for e in excerpts) for t in terms), "invalid_hop_terms", RetrievalError)
+    return clean_query(" ".join([query, *terms]))
+
+
+def advanced(index: DataFrame, chunks: DataFrame, queries: list[str], limit: int, document_col: str, id_col: str = "chunk_id") -> DataFrame:
+    """(id, document, score, variants, rank, place): the queries' lexical ranks fused, with consensus, and spread over documents."""
+    require(1 <= len(queries) <= VARIANTS and 1 <= limit <= 50, "invalid_limit", RetrievalError)
+    lists = None
+    for i, q in enumerate(queries):
+        one = lexical(index, q, CANDIDATES, True, id_col).select(id_col, F.lit(i).alias("variant"), "rank")
+        lists = one if lists is None else lists.unionByName(one)
+    # At most VARIANTS * CANDIDATES rows meet the chunks.
+    found = fuse_variants(lists, id_col, consensus=True)
+    return diversify(chunks.select(id_col, document_col).join(F.broadcast(found), id_col), document_col, limit).drop("turn")
