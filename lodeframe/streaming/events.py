@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,13 @@ def tail(events: DataFrame, run_col: str, run, cursor: int, limit: int = 100) ->
     return events.where((F.col(run_col) == run) & (F.col("seq") > cursor)).orderBy("seq").limit(limit)
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a file is below the path; that a batch was begun there isn't enough to read a schema from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(store.exists(at) and store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "*.parquet")))
+
+
 def append_batch(path: str, run_col: str, ts_col: str, id_col: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: numbers a batch after what the log at path has, and appends what is new.
 
@@ -28,13 +34,13 @@ def append_batch(path: str, run_col: str, ts_col: str, id_col: str) -> Callable[
     def publish(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         batch = batch.dropDuplicates([id_col])
-        try:
+        if _written(spark, path):
             log = spark.read.parquet(path)
             batch = batch.join(log.select(id_col), id_col, "left_anti")
             last = log.groupBy(run_col).agg(F.max("seq").alias("__last"))
             numbered = sequence(batch, run_col, ts_col, id_col).join(last, run_col, "left")
             numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce("__last", F.lit(0))).drop("__last")
-        except AnalysisException:  # no log yet
+        else:
             numbered = sequence(batch, run_col, ts_col, id_col)
         numbered.withColumn("seq", F.col("seq").cast("long")).write.mode("append").parquet(path)
 
@@ -51,10 +57,8 @@ def ingest(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str
 
     def publish(batch: DataFrame, _: int) -> None:
         new = build(batch).dropDuplicates([key])
-        try:
+        if _written(batch.sparkSession, path):
             new = new.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
-        except AnalysisException:
-            pass
         new.write.mode("append").parquet(path)
 
     return source.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,15 +19,15 @@ def text_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, ordinal, kind, text, heading, line, char_start, char_end): a block a line that isn't blank.
 
     Lines that start with one to six # and a space are headings; a block's heading is the
-    path of those above it, joined by " > ".
+    path of those above it, joined by " > ". An id names one text.
     """
     parts = F.split(F.col(f"`{text_col}`"), "\n")
-    lines = df.select(F.col(f"`{id_col}`"), F.posexplode(parts).alias("line", "raw"), F.transform(parts, lambda x: F.length(x) + 1).alias("sizes"))
-    start = F.aggregate(F.slice("sizes", 1, F.col("line")), F.lit(0), lambda a, b: a + b)
+    above = Window.partitionBy(F.col(f"`{id_col}`")).orderBy("line")
+    lines = df.select(F.col(f"`{id_col}`"), F.posexplode(parts).alias("line", "raw"))
+    start = F.coalesce(F.sum(F.length("raw") + 1).over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     lines = lines.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("raw")).where(F.trim("raw", F.lit(" \t\r")) != "")
     level = F.length(F.regexp_extract("raw", r"^(#{1,6})\s+\S", 1))
     lines = lines.withColumns({"level": level, "title": F.trim(F.regexp_replace("raw", r"^#{1,6}\s+", ""))})
-    above = Window.partitionBy(F.col(f"`{id_col}`")).orderBy("line")
     # Per level the latest heading, which counts only if no higher one came after it.
     seen = [F.last(F.when(F.col("level") == i, F.struct("line", "title")), ignorenulls=True).over(above) for i in range(1, 7)]
     lines = lines.withColumns({f"h{i}": s for i, s in enumerate(seen, 1)})

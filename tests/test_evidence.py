@@ -75,3 +75,11 @@ def test_a_rewriting_keeps_names_and_numbers():
 def test_rules(spark, name):
     got = {(r["case"], r["result"]) for r in e.QUERIES[name](spark, "").collect()}
     assert all(f"('{case}', '{result.replace(chr(39), chr(39) * 2)}')" in e.ORACLE[name] for case, result in got)
+
+
+def test_text_blocks_know_their_places(spark):
+    text = "# Top\n\nfirst é line\n## Sub\n  \n\tsecond\n# Next\nlast"
+    rows = blocks.text_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("ordinal").collect()
+    lines = text.split("\n")
+    assert [(r.line, r.heading) for r in rows if r.kind == "paragraph"] == [(2, "Top"), (5, "Top > Sub"), (7, "Next")]
+    assert all(text[r.char_start : r.char_end] == lines[r.line] for r in rows) and {r.doc_id for r in rows} == {1}
