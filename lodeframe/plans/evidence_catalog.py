@@ -309,6 +309,14 @@ def retr_advanced(spark, d):
 cases("sum_join", short=(lambda: summarize.joined(["A.", "B."]), "A. B."), cut=(lambda: summarize.joined(["aaa bbb, ccc"], 10), "aaa bbb…"))
 
 
+@query("sum_cache", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1 OR l_orderkey % 4 = 0")
+def sum_cache(spark, d):
+    chunks = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("chunk_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("text"))
+    cache = summarize.fingerprints(chunks.where("l_orderkey % 2 = 0"), "l_orderkey")
+    changed = chunks.withColumn("text", F.when(F.col("l_orderkey") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return summarize.pending(changed, cache, "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
 @query("lang_protect", "SELECT c_custkey, '⟦ILUP0000⟧ is ⟦ILUP0001⟧ old' AS text, 'Customer,' || c_custkey AS originals, 'Customer is ' || c_custkey || ' old' AS restored, TRUE AS missing FROM customer")
 def lang_protect(spark, d):
     p = _t(spark, d, "customer").select("c_custkey", x.protect(F.concat(F.lit("Customer is "), "c_custkey", F.lit(" old"))).alias("p"))
