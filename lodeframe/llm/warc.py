@@ -1,8 +1,9 @@
 """WARC archives as a table of chunks.
 
-Payloads travel as rows of (record, chunk number, chunk) from the scan to the archive
-and back, so neither writer nor reader ever holds a whole record; a running SHA-256
-goes along with the chunks, and that of the last one is the payload's.
+Payloads become rows of (record, chunk number, chunk) as they leave the scan, cut where
+they lie, and travel so to the archive and back; neither writer nor reader makes a whole
+record again. A running SHA-256 goes along with the chunks, and that of the last one
+is the payload's.
 
 Archives are files of gzip members, one a record, written and read as streams through
 Arrow's file systems; their folder's URI must be one that Arrow opens (a local path,
@@ -18,16 +19,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import scratch, written
+from lodeframe.llm.shared import passing, scratch, written
 
 CHUNK = 1 << 16
 #: An archive is closed once it has so many bytes.
 ARCHIVE = 1 << 28
+#: Bytes of chunks that go from the cutting task to the table at a time.
+PASSED = 1 << 23
 #: Up to so many revisits (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _DATE = "1970-01-01T00:00:00Z"
@@ -35,28 +39,84 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNKS = "page_id long, record_type string, refers_to long, target_uri string, chunk_no long, chunk_bytes long, running_digest string, last boolean, payload_bytes long, payload_digest string"
 
 
-def chunk_rows(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, chunk: int = CHUNK) -> DataFrame:
-    """(rid, page_id, url, bytes, digest, refers_to, revisit, chunk_no, chunk), a record's chunks in order.
+_ROWS = "rid long, page_id long, url string, bytes long, digest string, whole boolean, chunk_no long, running_digest string, chunk binary"
 
-    Of equal payloads of ``least`` bytes or more, the record with the smallest page_id
-    (null after all others; then the earlier row) is kept, and the others revisit it.
-    Revisits have a single empty chunk.
+
+def cut(payloads: pa.Array, chunk: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each chunk of a column of payloads its payload's place and its number there, and the chunks.
+
+    The chunks are the column's own bytes under more offsets, so nothing is copied. An empty payload is one empty chunk.
+    """
+    _, offsets, data = payloads.buffers()
+    kind = np.dtype(np.int64 if pa.types.is_large_binary(payloads.type) else np.int32)
+    at = np.frombuffer(offsets, kind, len(payloads) + 1, payloads.offset * kind.itemsize)
+    times = np.maximum(1, -(-np.diff(at) // chunk)).astype(np.int64)
+    place = np.repeat(np.arange(len(payloads)), times)
+    number = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+    begins = np.append(at[place] + number * chunk, at[-1]).astype(kind)
+    return place, number, pa.Array.from_buffers(payloads.type, len(place), [None, pa.py_buffer(begins), data])
+
+
+def chunk_table(df: DataFrame, id_col: str, url_col: str, payload_col: str, chunk: int = CHUNK) -> DataFrame:
+    """(rid, page_id, url, bytes, digest, whole, chunk_no, running_digest, chunk): payloads as rows of chunks.
+
+    rid numbers the records, running_digest is that of the payload up to the chunk's
+    end, bytes and digest are those of the whole payload, and whole says that it is one chunk.
     """
     pages = df.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
-        F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    keys = pages.where(F.col("bytes") >= least).select("rid", "page_id", "digest")
+        F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, number, chunks = cut(batch.column("payload"), chunk)
+            running, digests, sizes = [], [], []
+            for no, piece in zip(number.tolist(), chunks, strict=True):
+                if no == 0:
+                    digest, size = hashlib.sha256(), 0
+                    digests.append(digest)
+                    sizes.append(size)
+                view = piece.as_buffer()
+                digest.update(view)
+                sizes[-1] += view.size
+                running.append(digest.copy().hexdigest())
+            each = pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("rid", "page_id", "url")), pa.array(sizes, pa.int64()), pa.array([d.hexdigest() for d in digests]), pa.array(np.bincount(place) == 1)], ["rid", "page_id", "url", "bytes", "digest", "whole"])
+            made = pa.RecordBatch.from_arrays([*each.take(pa.array(place)).columns, pa.array(number), pa.array(running), chunks], [*each.schema.names, "chunk_no", "running_digest", "chunk"])
+            few = max(1, PASSED // chunk)
+            for i in range(0, made.num_rows, few):
+                yield made.slice(i, few)
+
+    return pages.mapInArrow(run, _ROWS)
+
+
+def chunk_rows(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, chunk: int = CHUNK) -> DataFrame:
+    """(rid, page_id, url, bytes, digest, refers_to, revisit, chunk_no, chunk), a record's chunks in order.
+
+    Of equal payloads of ``least`` bytes or more, the record with the smallest page_id
+    (null after all others; then the earlier row) is kept, and the others revisit it.
+    Revisits have a single empty chunk. The chunk table is written once, so that a record has
+    one rid whatever is run again; only records of several chunks are sorted.
+    """
+    table = written(chunk_table(df, id_col, url_col, payload_col, chunk), "warc-chunks")
+    keys = table.where((F.col("chunk_no") == 0) & (F.col("bytes") >= least)).select("rid", "page_id", "digest")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")).alias("first")
     # Counting and taking the least are combined before the shuffle, whatever the number of equal payloads.
     groups = keys.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
     again = written(keys.join(groups, "digest").where(F.col("rid") != F.col("first.rid")).select("rid", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit")), "warc-revisits")
     few = again.count() <= BROADCAST_ROWS
-    marked = pages.join(F.broadcast(again) if few else again, "rid", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
-    pieces = f"transform(sequence(0L, CASE WHEN revisit THEN 0L ELSE greatest(bytes - 1, 0L) DIV {chunk} END), i -> CASE WHEN revisit THEN binary('') ELSE substring(payload, int(i * {chunk} + 1), {chunk}) END)"
-    return marked.withColumn("pieces", F.expr(pieces)).select("rid", "page_id", "url", "bytes", "digest", "refers_to", "revisit", F.posexplode("pieces").alias("chunk_no", "chunk"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(again) if few else again, "rid", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+        content = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("chunk")).alias("chunk")
+        return out.where("chunk_no = 0 OR NOT revisit").select("rid", "page_id", "url", "bytes", "digest", "refers_to", "revisit", "chunk_no", content)
+
+    parts = marked(table.where("NOT whole")).repartition("rid").sortWithinPartitions("rid", "chunk_no")
+    return marked(table.where("whole")).unionByName(parts)
 
 
 def _name(page_id: int | None) -> str:
@@ -136,7 +196,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             archive.end()
             yield pa.RecordBatch.from_pylist([archive.row()])
 
-    return written(chunks.mapInArrow(run, "name string, records long, bytes long"), "warc-manifest")
+    return written(chunks.mapInArrow(run, "name string, records long, bytes long"), "warc-manifest", lasting=True)
 
 
 def _inflated(stream, size: int = CHUNK) -> Iterator[bytes]:
@@ -269,5 +329,6 @@ def archive(spark: SparkSession, df: DataFrame, folder: str | None = None, id_co
     own, and a null page_id stays null. No rows give no archive and no record.
     """
     folder = folder or scratch(spark, "warc")
-    manifest = write_archives(chunk_rows(df, id_col, url_col, payload_col, least), folder)
+    with passing(spark):
+        manifest = write_archives(chunk_rows(df, id_col, url_col, payload_col, least), folder)
     return read_archives(manifest, folder, content=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -410,3 +410,26 @@ def test_archives(spark):
     if big[0].record_type == "response":
         assert hashlib.sha256(b"".join(r.chunk for r in big)).hexdigest() == big[-1].running_digest == big[-1].payload_digest
     assert warc.archive(spark, df.limit(0)).collect() == []
+
+
+def test_chunks_are_cut_where_they_lie():
+    for kind in (warc.pa.binary(), warc.pa.large_binary()):
+        given = [b"skipped", b"", b"abcdefg", b"xyz", b"", b"0123456"]
+        place, number, chunks = warc.cut(warc.pa.array(given, kind)[1:], 3)
+        want = [(0, 0, b""), (1, 0, b"abc"), (1, 1, b"def"), (1, 2, b"g"), (2, 0, b"xyz"), (3, 0, b""), (4, 0, b"012"), (4, 1, b"345"), (4, 2, b"6")]
+        assert list(zip(place.tolist(), number.tolist(), chunks.to_pylist(), strict=True)) == want
+    assert [len(x) for x in warc.cut(warc.pa.array([], warc.pa.binary()), 3)] == [0, 0, 0]
+
+
+def test_a_long_payload_in_chunks(spark):
+    df = spark.range(4).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.expr("repeat(concat('page ', IF(id = 3, 2, id), ' '), 3000000)").alias("html"))
+    text = {i: f"page {min(i, 2)} ".encode() * 3_000_000 for i in range(4)}
+    rows = warc.chunk_table(df, "page_id", "url", "html").where("page_id = 1").orderBy("chunk_no").collect()
+    assert [len(r.chunk) for r in rows[:-1]] == [warc.CHUNK] * (len(rows) - 1) and b"".join(r.chunk for r in rows) == text[1]
+    digest = hashlib.sha256()
+    for r in rows:
+        digest.update(r.chunk)
+        assert r.running_digest == digest.hexdigest() and not r.whole
+    assert rows[-1].running_digest == rows[0].digest
+    found = warc.archive(spark, df).orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found] == [(len(t), hashlib.sha256(t).hexdigest(), "revisit" if i == 3 else "response", 2 if i == 3 else None) for i, t in text.items()]
