@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import rows_of
+from lodeframe.llm.shared import rows_of, written
 from lodeframe.llm.words import WordHashes, alnum_words, gram_hashes
 
 WINDOW = 13
@@ -124,14 +124,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items, nothing is hit.
 
     Items go to the workers as an index if their texts have at most
-    ``broadcast_bytes``, else fingerprints meet in a shuffle join.
+    ``broadcast_bytes``, else fingerprints, then windows, meet in shuffle joins.
     """
     texts = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     kind = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}"
     if size > broadcast_bytes:
-        return _joined(rows, texts, kind, id_col, text_col, window, gram)
+        return _joined(rows, texts, id_col, text_col, window, gram)
     given = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in texts.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,53 +148,70 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, f"{kind}, {_OUT}")
 
 
-def _joined(rows: DataFrame, texts: DataFrame, kind: str, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """The same for items of any size: fingerprints are joined, then texts meet for the extension."""
-    docs = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.withColumn("iid", F.monotonically_increasing_id())
-    short = [r[0] for r in texts.select(F.expr("least(size(regexp_extract_all(text, '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]+', 0)), %d)" % window).alias("n")).distinct().collect() if 0 < r[0] < window]
-
-    def prints(key: str, of_doc: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in batches:
-                for i, text in rows_of(batch, key, "text"):
-                    words = alnum_words(text)
-                    h = hashes.of(words)
-                    for n in [0, *short] if of_doc else [0 if len(words) >= window else len(words)]:
-                        g = gram_hashes(h, n or gram) if words else np.empty(0, np.uint64)
-                        if of_doc and not n and len(g):
-                            g = g[winnow(g, window - gram + 1)]
-                        g = np.unique(g)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i)), pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64))], [key, "kind", "fp"])
-
-        return run
-
-    a = docs.select("rid", "text").mapInArrow(prints("rid", True), "rid long, kind int, fp long")
-    b = texts.select("iid", "text").mapInArrow(prints("iid", False), "iid long, kind int, fp long")
-    pairs = a.join(b, ["kind", "fp"]).select("rid", "iid").distinct()
-    met = pairs.join(texts.withColumnRenamed("text", "item"), "iid").join(docs.select("rid", "text"), "rid").select("rid", "item_id", "item", "text")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(rows: DataFrame, texts: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
+    """The same for items of any size, by joins alone.
+
+    Fingerprints meet those of the items, each once; around those that do, the windows
+    of documents meet the items' windows, word for word. Whatever many items share meets
+    once for hits, and with the items' ids only where a whole window is shared.
+    """
+    docs = written(rows.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "decontam-docs", lasting=True)
+    n_words = F.expr("coalesce(size(regexp_extract_all(text, '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]+', 0)), 0)")
+    short = [r[0] for r in texts.select(F.least(n_words, F.lit(window)).alias("n")).distinct().collect() if 0 < r[0] < window]
+
+    def doc_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for rid, text in rows_of(batch, "rid", "text"):
+                h = hashes.of(alnum_words(text))
+                for n in [0, *short]:
+                    g = gram_hashes(h, n or gram)
+                    g = np.unique(g if n else g[winnow(g, window - gram + 1)])
+                    if len(g):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), rid)), pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64))], ["rid", "kind", "fp"])
+
+    def item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for (text,) in rows_of(batch, "text"):
+                words = alnum_words(text)
+                n = 0 if len(words) >= window else len(words)
+                g = np.unique(gram_hashes(hashes.of(words), n or gram)) if words else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64))], ["kind", "fp"])
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in rows_of(batch, "item_id", "text"):
+                words = alnum_words(text)
+                n = min(window, len(words))
+                found = sorted({b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}) if n else []
+                yield pa.RecordBatch.from_arrays([pa.array([item_id] * len(found), pa.string()), pa.array(found, pa.binary())], ["item_id", "words"])
+
+    def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out = []
-            for rid, item_id, item, text in rows_of(batch, "rid", "item_id", "item", "text"):
+            for rid, text, prints in rows_of(batch, "rid", "text", "prints"):
                 words = alnum_words(text)
-                index, hit = Items([(item_id, item)], window, gram), set()
-                for _, left, right in index.runs(words, hashes.of(words)):
-                    hit.update(range(left, right))
-                if hit:
-                    out.append({"rid": rid, "item_id": item_id, "at": sorted(hit)})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("rid", pa.int64()), ("item_id", pa.string()), ("at", pa.list_(pa.int32()))]))
-
-    found = met.mapInArrow(verify, "rid long, item_id string, at array<int>")
-    n_hit = found.select("rid", F.explode("at").alias("at")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    ids = found.where("item_id IS NOT NULL").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    counted = docs.select("rid", "id", F.expr("coalesce(size(regexp_extract_all(text, '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]+', 0)), 0)").cast("long").alias("n_words"))
-    out = counted.join(n_hit, "rid", "left").join(ids, "rid", "left")
-    return out.select(F.col("id").alias(id_col), F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+                h = hashes.of(words)
+                for n in sorted({p["kind"] for p in prints}):
+                    known = np.array([p["fp"] for p in prints if p["kind"] == n], np.int64).view(np.uint64)
+                    size = n or window
+                    near = np.flatnonzero(np.isin(gram_hashes(h, n or gram), known))[:, None] - np.arange(size - (n or gram) + 1)
+                    at = np.unique(near[(near >= 0) & (near <= len(words) - size)])
+                    for i in range(0, len(at), 4096):
+                        part = at[i : i + 4096].tolist()
+                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([size] * len(part), pa.int64()), pa.array([b" ".join(words[x : x + size]) for x in part], pa.binary())], ["rid", "at", "size", "words"])
+
+    prints = docs.select("rid", "text").mapInArrow(doc_prints, "rid long, kind int, fp long")
+    met = prints.join(texts.select("text").mapInArrow(item_prints, "kind int, fp long").distinct(), ["kind", "fp"], "left_semi")
+    near = docs.select("rid", "text").join(met.groupBy("rid").agg(F.collect_list(F.struct("kind", "fp")).alias("prints")), "rid")
+    windows = written(texts.mapInArrow(item_windows, "item_id string, words binary").distinct(), "decontam-windows", lasting=True)
+    held = written(near.mapInArrow(doc_windows, "rid long, at long, size long, words binary").join(windows.select("words").distinct(), "words", "left_semi"), "decontam-hits", lasting=True)
+    n_hit = held.select("rid", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
+    ids = held.select("rid", "words").distinct().join(windows.where("item_id IS NOT NULL"), "words").select("rid", "item_id").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    out = docs.select("rid", "id", n_words.cast("long").alias("n_words")).join(n_hit, "rid", "left").join(ids, "rid", "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("id").alias(id_col), F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
 
 
 def judged(found: DataFrame, twentieths: int = 1) -> DataFrame:
