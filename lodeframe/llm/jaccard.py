@@ -52,11 +52,17 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def class_of(grams: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(grams.tobytes())
+def named(grams: np.ndarray, seed: int = 0) -> int:
+    h = xxhash.xxh3_64_intdigest(grams.tobytes(), seed)
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def class_of(grams: np.ndarray, taken: frozenset[int] = frozenset()) -> int:
+    """The name of a set: a hash, or, where different sets have that one, another."""
+    h = named(grams)
+    return named(grams, 1) if h in taken else h
+
+
 def prefix(grams: np.ndarray, percent: int, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest grams, as many as leave fewer than the threshold needs."""
     keep = len(grams) - -(-percent * len(grams) // 100) + 1
@@ -185,30 +191,46 @@ class Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, spread: int, block: int):
         self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self.n, self.percent, self.spread, self.block, self.spark = n, percent, spread, block, docs.sparkSession
+        self.taken: frozenset[int] = frozenset()
 
     def sketches(self) -> DataFrame:
         """Rows of two kinds from one pass.
 
-        kind 0: (id, size, class) of every document, class null where there are no words.
+        kind 0: (id, size, class) of every document, class null where there are no words; its second
+        name is in other.
         kind 1: a gram as id with, as size, the number of classes that have it in a
         slice of documents, if that is more than one.
         """
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out(kind: int, ids, sizes, classes) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["kind", "id", "size", "class"])
+            def out(kind: int, ids, sizes, classes, others) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (ids, sizes, classes, others))], ["kind", "id", "size", "class", "other"])
 
             for part in _parts(batches):
                 sets = [shingles(t, n) for _, t in part]
-                classes = [class_of(s) if len(s) else None for s in sets]
-                yield out(0, [i for i, _ in part], [len(s) for s in sets], classes)
+                classes, others = ([named(s, seed) if len(s) else None for s in sets] for seed in (0, 1))
+                yield out(0, [i for i, _ in part], [len(s) for s in sets], classes, others)
                 if each := [s for c, s in dict(zip(classes, sets, strict=True)).items() if c is not None]:
                     grams, counts = np.unique(np.concatenate(each), return_counts=True)
                     keep = counts > 1
-                    yield out(1, grams[keep].view(np.int64), counts[keep], np.zeros(int(keep.sum()), np.int64))
+                    yield out(1, grams[keep].view(np.int64), counts[keep], *(np.zeros(int(keep.sum()), np.int64),) * 2)
+
+        return written(self.docs.mapInArrow(run, "kind int, id long, size long, class long, other long"), "jaccard-sketches")
 
-        return written(self.docs.mapInArrow(run, "kind int, id long, size long, class long"), "jaccard-sketches")
+    def classes(self, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, size, class) of the documents, and (class, rep) of the classes.
+
+        Different sets of one 64-bit name, some ten among 10^10, get their second ones.
+        """
+        docs = sketches.where("kind = 0").select("id", "size", "class", "other")
+        names = docs.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("other").alias("x"), F.max("other").alias("y"))
+        names = written(names, "jaccard-classes", lasting=True)
+        self.taken = frozenset(r[0] for r in names.where("x <> y").select("class").collect())
+        if not self.taken:
+            return docs.drop("other"), names.select("class", "rep")
+        docs = docs.withColumn("class", F.when(F.col("class").isin(list(self.taken)), F.col("other")).otherwise(F.col("class"))).drop("other")
+        return docs, docs.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
 
     def frequent(self, sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent grams, sorted, and their counts."""
@@ -225,7 +247,7 @@ class Join:
         """
         n, percent, most = self.n, self.percent, self.spread
         shards = max(1, math.ceil(entries / SHARD))
-        given = self.spark.sparkContext.broadcast((known, counts))
+        given, taken = self.spark.sparkContext.broadcast((known, counts)), self.taken
 
         def spread(known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             many = counts > most
@@ -235,7 +257,7 @@ class Join:
             known, counts = given.value
             wide, times = spread(known, counts)
             for part in _parts(batches):
-                sets = {class_of(s): s for _, t in part if len(s := shingles(t, n))}
+                sets = {class_of(s, taken): s for _, t in part if len(s := shingles(t, n))}
                 if not sets:
                     continue
                 heads = [prefix(s, percent, known, counts) for s in sets.values()]
@@ -293,11 +315,11 @@ class Join:
         """(class, ..., text): the rows whose text is of the class that they name, where ids aren't unique."""
         if self.unique:
             return texts
-        n = self.n
+        n, taken = self.n, self.taken
 
         @F.pandas_udf("long")
         def own(text):
-            return text.map(lambda t: class_of(shingles(t, n)))
+            return text.map(lambda t: class_of(shingles(t, n), taken))
 
         return texts.where(own("text") == F.col("class"))
 
@@ -411,8 +433,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     """
     join = Join(docs, id_col, text_col, n, percent, spread, block)
     sketches = join.sketches()
-    docs = sketches.where("kind = 0").select("id", "size", "class")
-    classes = docs.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
+    docs, classes = join.classes(sketches)
     entries, n_ids, rows = docs.agg(F.coalesce(F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1), F.lit(0)), F.countDistinct("id"), F.count("*")).first()
     join.unique = n_ids == rows
     reps = classes.select("class", F.col("rep").alias("id"))

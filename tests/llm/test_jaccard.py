@@ -87,3 +87,15 @@ def test_components_by_joins_and_in_one_task(spark):
     a = sorted(map(tuple, components(df).collect()))
     assert a == sorted(map(tuple, components(df, one_task=1000).collect()))
     assert dict(a)[330] == 300 and dict(a)[901] == 500 and dict(a)[400] == 400
+
+
+def test_sets_of_one_name_get_another(spark):
+    rows = [(0, 1, 3, 7, 70), (0, 2, 4, 7, 71), (0, 3, 4, 7, 71), (0, 4, 5, 8, 80), (0, None, 5, 9, 90), (0, 5, 0, None, None), (1, 6, 2, 0, 0)]
+    sketches = spark.createDataFrame(rows, "kind int, id long, size long, class long, other long")
+    join = jaccard.Join(spark.createDataFrame([], DOCS), "doc_id", "text", 5, 80, 200_000, 1000)
+    docs, classes = join.classes(sketches)
+    assert join.taken == {7}
+    assert sorted(map(tuple, classes.collect())) == [(8, 4), (70, 1), (71, 2)]
+    assert sorted(map(tuple, docs.collect()), key=repr) == sorted([(1, 3, 70), (2, 4, 71), (3, 4, 71), (4, 5, 8), (None, 5, 9), (5, 0, None)], key=repr)
+    grams = jaccard.shingles("a b c d e f", 5)
+    assert jaccard.class_of(grams, frozenset({jaccard.class_of(grams)})) == jaccard.named(grams, 1) != jaccard.class_of(grams)
