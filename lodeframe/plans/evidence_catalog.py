@@ -6,7 +6,9 @@ import io
 import json
 import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +111,57 @@ def _zipped(*names: str) -> bytes:
     return out.getvalue()
 
 
+_DOCX = {
+    "heading": '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{}</w:t></w:r></w:p>',
+    "paragraph": "<w:p><w:r><w:t>{}</w:t></w:r></w:p>",
+    "rows": "<w:tbl>{}</w:tbl>",
+    "row": "<w:tr><w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc></w:tr>",
+    "all": '<w:document xmlns:w="w"><w:body>{}</w:body></w:document>',
+    "name": "word/document.xml",
+}
+_PPTX = {
+    "heading": '<p:sp><p:nvPr><p:ph type="title"/></p:nvPr><a:p><a:t>{}</a:t></a:p></p:sp>',
+    "paragraph": "<p:sp><a:p><a:t>{}</a:t></a:p></p:sp>",
+    "rows": "<a:tbl>{}</a:tbl>",
+    "row": "<a:tr><a:tc><a:t>{}</a:t></a:tc><a:tc><a:t>{}</a:t></a:tc></a:tr>",
+    "all": '<p:sld xmlns:p="p" xmlns:a="a">{}</p:sld>',
+    "name": "ppt/slides/slide1.xml",
+}
+
+
+def _documents(spark, d, kind: str, parts: dict[str, str]) -> DataFrame:
+    """The customers of each nation, written as an office document by the workers and read back."""
+    folder = scratch(spark, kind)
+
+    def put(batches):
+        for batch in batches:
+            at, base = fs.FileSystem.from_uri(folder)
+            at.create_dir(base)
+            for nation, rows in zip(batch.column("c_nationkey").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                table = "".join(parts["row"].format(r["c_custkey"], escape(r["c_name"])) for r in rows)
+                body = parts["heading"].format(f"Nation {nation}") + parts["paragraph"].format("Customers") + parts["rows"].format(table)
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr(parts["name"], parts["all"].format(body))
+                with at.open_output_stream(f"{base}/n{nation}.{kind}") as out:
+                    out.write(held.getvalue())
+            yield batch.select(["c_nationkey"])
+
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows")
+    _t(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(rows).mapInArrow(put, "c_nationkey long").count()
+    nation = F.regexp_extract("path", r"n(\d+)\.\w+$", 1).cast("long").alias("nation")
+    return files.scan_documents(spark, folder, kind).select(nation, "block", "kind", "text", "heading", "table", "cells", "error")
+
+
+_OFFICE = """
+    WITH c AS (SELECT c_nationkey AS n, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
+    SELECT CAST(n AS BIGINT) AS nation, CAST(0 AS INTEGER) AS block, 'heading' AS kind, 'Nation ' || n AS text, 'Nation ' || n AS heading, CAST(NULL AS INTEGER) AS "table", CAST(NULL AS VARCHAR[]) AS cells, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT n FROM c)
+    UNION ALL SELECT n, 1, 'paragraph', 'Customers', 'Nation ' || n, NULL, NULL, NULL FROM (SELECT DISTINCT n FROM c)
+    UNION ALL SELECT n, CAST(1 + i AS INTEGER), 'table_row', c_custkey || ' | ' || c_name, 'Nation ' || n, 1, [CAST(c_custkey AS VARCHAR), c_name], NULL FROM c"""
+query("scan_docx", _OFFICE)(lambda spark, d: _documents(spark, d, "docx", _DOCX))
+query("scan_pptx", _OFFICE)(lambda spark, d: _documents(spark, d, "pptx", _PPTX))
+
+
 cases("detect_encoding", ascii=(lambda: files.detect_encoding(b"a,b"), "UTF-8"), mark=(lambda: files.detect_encoding(b"\xef\xbb\xbfa"), "UTF-8"), wide=(lambda: files.detect_encoding(b"\xff\xfea\0"), "UTF-16"), cut=(lambda: files.detect_encoding("aé".encode()[:-1]), "UTF-8"))
 cases("detect_delimiter", comma=(lambda: files.detect_delimiter("a,b\n1,2\n"), ","), semicolon=(lambda: files.detect_delimiter("a;b\n1;2\n"), ";"), tab=(lambda: files.detect_delimiter("a\tb\n1\t2\n"), "\t"), bar=(lambda: files.detect_delimiter("a|b\n1|2\n"), "|"), one=(lambda: files.detect_delimiter("name\nx\n"), ","), empty=(lambda: files.detect_delimiter(" \n"), "csv_empty"))
 cases("xlsx_archive_guard", fine=(lambda: len(files.guard_archive(_zipped("xl/workbook.xml")).namelist()), "1"), out=(lambda: str(files.guard_archive(_zipped("../x"))), "xlsx_unsafe_archive"), broken=(lambda: str(files.guard_archive(b"PK")), "xlsx_invalid"))
@@ -373,3 +426,19 @@ def lineage_validate(spark, d):
 def run_export(spark, d):
     events = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.concat("event_type", F.lit(" hunter2")).alias("details"))
     return lineage.export({"event": events, "order": _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("details"))}, 50, ["hunter2"])
+
+
+@query("eval_percentile", """
+    SELECT o_orderstatus AS status, count(*) AS trials, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS passed, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.95) AS p95
+    FROM orders GROUP BY o_orderstatus""")
+def eval_percentile(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_orderpriority").like("1%"), "passed").otherwise("failed").alias("status"), F.col("o_totalprice").cast("double").alias("latency"), F.lit(1).alias("tokens"))
+    return evaluate.summary(rows, "o_orderstatus").select(F.col("o_orderstatus").alias("status"), "trials", "passed", "p50", "p95")
+
+
+@query("eval_redact", "SELECT c_custkey, 'get https://[redacted]@host/' || c_custkey || ' with Bearer [redacted] as [redacted]' AS text, FALSE AS left_over FROM customer")
+def eval_redact(spark, d):
+    secret = "hunter2"
+    said = F.concat(F.lit("get https://user:"), "c_name", F.lit("@host/"), F.col("c_custkey").cast("string"), F.lit(" with bearer tok."), F.col("c_custkey").cast("string"), F.lit(f" as {secret}"))
+    out = _t(spark, d, "customer").select("c_custkey", x.redact(said, [secret]).alias("text"))
+    return out.withColumn("left_over", x.contains_secret(F.col("text"), [secret]))

@@ -126,15 +126,9 @@ def sink_result_csv(spark, d):
 
 @query("scan_xlsx", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def scan_xlsx(spark, d):
-    import os
-    import tempfile
-
-    # A workbook is made and read on the driver; what comes of it is a DataFrame of bounded size.
-    with tempfile.TemporaryDirectory() as folder:
-        sinks.write_xlsx(_t(spark, d, "nation").select("n_nationkey", "n_name"), os.path.join(folder, "a.xlsx"))
-        with open(os.path.join(folder, "a.xlsx"), "rb") as f:
-            rows = files.xlsx_sheets(f.read())["data"]
-    return spark.createDataFrame(rows[1:], ", ".join(f"{c} string" for c in profile.normalize_headers(rows[0])))
+    path = scratch(spark, "workbook") + ".xlsx"
+    sinks.write_xlsx(_t(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return files.scan_xlsx(spark, path)["data"]
 
 
 # --- tables of documents: the rows of nation as a table a region

@@ -265,6 +265,31 @@ def pptx_blocks(content: bytes) -> list[dict]:
     return out
 
 
+_BLOCKS = pa.schema([("path", pa.string()), ("block", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("heading", pa.string()), ("slide", pa.int32()), ("table", pa.int32()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def scan_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Blocks of the docx or pptx files that path names, a file at a time on the workers.
+
+    A file that its guard rejects, or that has no blocks, is one row with the code as error; an archive's
+    entries are bounded by the guard.
+    """
+    require(kind in ("docx", "pptx"), "file_type_unsupported", FileError)
+    read = docx_blocks if kind == "docx" else pptx_blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                try:
+                    rows = [{"path": name.as_py(), "block": n} | b for n, b in enumerate(read(content.as_py()))]
+                except (FileError, ElementTree.ParseError) as e:
+                    rows = [{"path": name.as_py(), "error": e.code if isinstance(e, FileError) else f"invalid_{kind}"}]
+                yield pa.RecordBatch.from_pylist(rows, _BLOCKS)
+
+    schema = "path string, block int, kind string, text string, heading string, slide int, table int, row int, cells array<string>, error string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
 def page(df: DataFrame, order: list[str], offset: int, limit: int, max_bytes: int = 1 << 20) -> tuple[list[dict], bool]:
     """Rows as text from an offset, within a number and bytes; and whether bytes cut them."""
     rows = df.orderBy(*order).offset(offset).limit(min(limit, 500)).select(*(F.col(f"`{c}`").cast("string") for c in df.columns)).collect()

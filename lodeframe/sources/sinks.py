@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +91,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_xlsx(df: DataFrame, path: str, max_rows: int = 100_000) -> Written:
-    """A workbook of one sheet on the driver, for results of bounded size; integers beyond 15 digits become text."""
+    """A workbook of one sheet, made on the driver for results of bounded size; integers beyond 15 digits become text.
+
+    path is absolute, or a URI that Arrow opens.
+    """
     text = df.select(*(formula_safe(cell(df, c)).alias(c) for c in df.columns))
     rows = text.limit(max_rows + 1).collect()
     numeric = [isinstance(f.dataType, (T.NumericType,)) for f in df.schema]
@@ -105,12 +110,16 @@ def write_xlsx(df: DataFrame, path: str, max_rows: int = 100_000) -> Written:
     body = "".join("<row>" + "".join(written(v, n) for v, n in zip(r, numeric, strict=True)) + "</row>" for r in rows[:max_rows])
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row>{head}</row>{body}</sheetData></worksheet>')
+    at, name = fs.FileSystem.from_uri(str(path))
+    with at.open_output_stream(name) as out:
+        out.write(held.getvalue())
     return Written(path, min(len(rows), max_rows), len(rows) > max_rows)
 
 

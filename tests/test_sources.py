@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import pytest
 
 from lodeframe.errors import FileError
@@ -117,3 +120,20 @@ def test_language(spark):
     df = spark.createDataFrame([("the cat is here",), ("नमस्ते दुनिया",), ("bonjour monde",), ("the и is",), ("",)], "t string")
     assert [r[0] for r in df.select(x.script_language(x.F.col("t"))).collect()] == ["en-IN", "hi-IN", "und", "und", "und"]
     assert [r[0] for r in df.select(x.dominant_script(x.F.col("t"))).collect()] == ["Latin", "Devanagari", "Latin", "Latin", None]
+
+
+def test_documents_that_are_rejected_are_rows(spark, tmp_path):
+    def docx(body: str) -> bytes:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+        return held.getvalue()
+
+    for name, content in {"a": docx("<w:p><w:t>some text</w:t></w:p>"), "b": b"PK", "c": docx(""), "d": docx("<w:p>")}.items():
+        (tmp_path / f"{name}.docx").write_bytes(content)
+    rows = files.scan_documents(spark, str(tmp_path), "docx").collect()
+    found = {r.path[-6]: (r.block, r.kind, r.text, r.error) for r in rows}
+    assert len(rows) == 4 and found["a"] == (0, "paragraph", "some text", None)
+    assert {k: found[k][3] for k in "bcd"} == {"b": "xlsx_invalid", "c": "empty_document", "d": "invalid_docx"}
+    with pytest.raises(FileError):
+        files.scan_documents(spark, str(tmp_path), "pdf")
