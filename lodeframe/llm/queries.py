@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import bpe, decontam, jaccard, lines, lm, secrets, topk, toxicity, urls, warc
+from lodeframe.llm import audit, binary, bpe, decontam, jaccard, lines, lm, phrases, secrets, topk, toxicity, urls, warc
 from lodeframe.llm.shared import table
 
 
@@ -75,6 +75,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return binary.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_bpe": op2_bpe,
@@ -86,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_audit": op11_audit,
+    "op12_binary": op12_binary,
+    "op13_phrases": op13_phrases,
 }
 
 #: Lower-cases A-Z alone.
@@ -168,4 +185,55 @@ ORACLE: dict[str, str] = {
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100""",
+    "op11_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s FROM documents),
+        w AS (SELECT *, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM t),
+        m AS (
+          SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                 100 * len(regexp_replace(s, '[^A-Z]', '', 'g')) > 3 * length(s) AS c, regexp_matches(s, '[#$%&*|]') AS d,
+                 doc_id > min(doc_id) OVER (PARTITION BY s) AS e FROM w
+        ), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        f AS (
+          SELECT part, a::INT + b::INT * 2 + c::INT * 4 + d::INT * 8 + e::INT * 16 AS m, count(*) AS n,
+                 count(*) FILTER (coalesce(good, false)) AS good, count(*) FILTER (coalesce(bad, false)) AS bad
+          FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL
+        ), x(x, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS v FROM x a, x b, x c, x d, x e
+          WHERE a.v | b.v | c.v | d.v | e.v = 31
+        ), s AS (
+          SELECT filter_order, CAST(i AS INT) AS step, v[i] AS bit, CAST(coalesce(list_sum(v[1 : i - 1]), 0) AS BIGINT) AS prior
+          FROM o, unnest(range(1, 6)) AS u(i)
+        ), r AS (
+          SELECT part, filter_order, step, bit,
+                 coalesce(sum(n) FILTER (m & bit = 0 AND m & prior = 0), 0) AS kept, coalesce(sum(n) FILTER (m & bit <> 0 AND m & prior = 0), 0) AS removed,
+                 coalesce(sum(n) FILTER (m & bit <> 0 AND m & prior <> 0), 0) AS redundant, coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (m & bit <> 0 AND m & prior = 0), 0) AS good_lost,
+                 coalesce(sum(bad) FILTER (m & bit <> 0 AND m & prior = 0), 0) AS toxic_lost
+          FROM f, s GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
+    "op13_phrases": rf"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+          SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+          FROM w, (VALUES (1), (2), (3), (4)) AS v(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL
+        ), n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+        s AS (
+          SELECT c.lang, c.phrase, c.a, j, gl.f AS l, gr.f AS r, (2000000::HUGEINT * c.a) // (gl.f + gr.f) AS score
+          FROM c, unnest(range(1, c.k)) AS t(j) JOIN g AS gl ON gl.lang = c.lang AND gl.phrase = array_to_string(c.w[1 : j], ' ')
+          JOIN g AS gr ON gr.lang = c.lang AND gr.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+        ), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (
+          SELECT lang, array_to_string(w[j : j + m - 1], ' ') AS phrase, max(a) AS most
+          FROM c, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(j) GROUP BY ALL
+        ), r AS (
+          SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+          FROM b LEFT JOIN i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
 }
