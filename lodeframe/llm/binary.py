@@ -15,7 +15,10 @@ is never read. Folders are URIs that Arrow opens (a local path, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,23 +36,29 @@ from lodeframe.llm.shared import scratch, written
 LENGTH, FILE_TOKENS, BATCH_TOKENS = 2048, 1 << 27, 1 << 20
 #: Bytes of text that are encoded at a time, and bytes that a range of ids is to have.
 WINDOW, RANGE_BYTES = 1 << 22, 1 << 27
-#: Pieces that a worker remembers, and their longest.
-PIECES, LONGEST = 200_000, 64
+#: Pieces that a worker remembers (twice as many for a while), and their longest.
+PIECES, LONGEST = 150_000, 48
 _MANIFEST = "part int, no int, name string, docs long, tokens long, sequences long"
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Places before a space where byte-level pieces always end, whatever lies around them.
+def cuts(data: np.ndarray, fine: bool = True) -> np.ndarray:
+    """Places where byte-level pieces always end, whatever lies around them: whether each byte begins a piece.
 
     No piece of the pattern has a space after another character that isn't white space. The
     character before is looked at by its last two bytes: ASCII, or two bytes of which the first is C3 or more.
+    With ``fine``, also where an ASCII letter comes before any other ASCII character, as letters end every piece that has them.
     """
+    out = np.zeros(len(data), bool)
     if len(data) < 2:
-        return np.empty(0, np.int64)
-    last = data[:-1]
+        return out
+    last, this = data[:-1], data[1:]
     solid = (last > 0x20) & (last < 0x7F)
     solid[1:] |= (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF) & (last[1:] >= 0x80)
-    return np.flatnonzero(solid & (data[1:] == 0x20)) + 1
+    out[1:] = solid & (this == 0x20)
+    if fine:
+        letter = (data | 0x20) - np.uint8(0x61) < 26
+        out[1:] |= letter[:-1] & ~letter[1:] & (this < 0x80)
+    return out
 
 
 class Encoder:
@@ -66,31 +75,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, made, strict=True)}
-        if len(self.known) + len(out) > PIECES:
-            self.known.clear()
-        self.known |= {p: x for p, x in out.items() if len(p) <= LONGEST}
-        return out
-
-    def window(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the bytes, whose pieces begin at ``starts``, and how many tokens each piece has."""
+        marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(m.split() != [m] for m in marks):
+            raise ValueError("an added token holds white space")
+        self.marks = re.compile(b"|".join(map(re.escape, marks))) if marks else None
+        # What was used since the last turn, and what was used in the turn before: at the next one, the rest is forgotten.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encoded(self, distinct: list[bytes]) -> list[bytes]:
+        """Token ids of pieces, packed; only those not remembered go through the library."""
+        young, old = self.young, self.old
+        found = [young.get(p) for p in distinct]
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            found[i] = x = old.get(distinct[i])
+            if x is None:
+                new.append(i)
+        made = self.tokenizer.encode_batch_fast([distinct[i].decode("utf-8", "replace") for i in new], add_special_tokens=False) if new else ()
+        ids = [e.ids for e in made]
+        flat = memoryview(np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes())
+        at = 0
+        for i, x in zip(new, ids, strict=True):
+            to = at + 4 * len(x)
+            found[i] = bytes(flat[at:to])
+            at = to
+        for i in missing:
+            if len(distinct[i]) <= LONGEST:
+                young[distinct[i]] = found[i]
+        if len(young) >= PIECES:
+            self.young, self.old = {}, young
+        return found
+
+    def window(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token ids of the bytes, begins of pieces, tokens of each piece); a text begins at each of ``begins``."""
+        fine = self.marks is None or not self.marks.search(data)
+        first = cuts(data, fine)
+        first[begins] = True
+        starts = np.flatnonzero(first)
         offsets = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        new = self._learn(missing) if (missing := [p for p in distinct if p not in self.known]) else {}
-        # Learning may have emptied the memory: what it forgot is learnt again.
-        again = self._learn(lost) if (lost := [p for p in distinct if p not in self.known and p not in new]) else {}
-        found = [self.known.get(p) or new.get(p) or again.get(p, b"") for p in distinct]
+        found = self._encoded(pieces.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         which = pieces.indices.to_numpy()
         counts = sizes[which]
-        inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        return flat[np.repeat(at[which], counts) + inner], counts
+        inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - at[which], counts)
+        return flat[inner], starts, counts
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(place of the text, ids, is its last part) over a column of texts, long texts in several parts; null: empty."""
@@ -107,24 +139,28 @@ class Encoder:
                 where = _last_cut(data, begin, end)
                 if where >= end:
                     break
-                part = data[begin:where]
-                yield first, self.window(part, np.append(0, cuts(part)))[0], False
+                yield first, self.window(data[begin:where], np.zeros(1, np.int64))[0], False
                 begin = where
             part, edges = data[begin:end], np.maximum(offsets[first : last + 1] - begin, 0)
             inside = edges[:-1][edges[:-1] < len(part)]
-            starts = np.unique(np.concatenate([inside, cuts(part)])) if len(part) else np.empty(0, np.int64)
-            ids, counts = self.window(part, starts) if len(part) else (np.empty(0, "<u4"), np.empty(0, np.int64))
+            ids, starts, counts = self.window(part, inside)
             upto = np.append(0, np.cumsum(counts))[np.searchsorted(np.append(starts, len(part)), edges)]
             for i in range(first, last):
                 yield i, ids[upto[i - first] : upto[i - first + 1]], True
             first = last
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(content: bytes) -> Encoder:
+    """The encoder of a worker, which keeps what it has learnt from task to task."""
+    return Encoder(content)
+
+
 def _last_cut(data: np.ndarray, begin: int, end: int) -> int:
     """The last place for a cut within a window from ``begin``, or the first after it, or the end."""
     width = WINDOW
     while True:
-        found = cuts(data[begin : min(begin + width, end)])
+        found = np.flatnonzero(cuts(data[begin : min(begin + width, end)], fine=False))
         if len(found):
             return begin + int(found[-1] if width == WINDOW else found[0])
         if begin + width >= end:
@@ -226,11 +262,11 @@ def write(df: DataFrame, tokenizer: str, folder: str, end: int = 0, length: int
     rows = rows.repartitionByRange(_ranges(rows), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, no, part = Encoder(given.value), None, 0, TaskContext.get().partitionId()
+        made, file, no, part = encoder(given.value), None, 0, TaskContext.get().partitionId()
         closing = np.array([end], "<u4")
         for batch in batches:
             keys = batch.column("doc_id")
-            for i, ids, last in encoder.texts(batch.column("text")):
+            for i, ids, last in made.texts(batch.column("text")):
                 file = file or _File(folder, length, kind, keys.type)
                 file.add(ids)
                 if last:
