@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.shared import discard, scratch
 
 #: Bytes of text of a shard, and of all shards that a task has open.
-SHARD_BYTES, OPEN_BYTES = 1 << 23, 1 << 25
+SHARD_BYTES, OPEN_BYTES = 1 << 22, 1 << 24
 #: Rows that a worker hands over at a time.
 ROWS = 1 << 16
 #: Parts into which a language's phrases are dealt before its best are ranked.
