@@ -144,7 +144,7 @@ sql("q_missing_share", f"SELECT count(*) FILTER (WHERE o_orderkey IS NULL) AS mi
 sql("q_top1", f"SELECT n_name, {_S} AS sales FROM {_ALL} WHERE {_OK} GROUP BY n_name ORDER BY sales DESC NULLS LAST, n_name ASC NULLS LAST LIMIT 1")
 sql("q_top5", f"SELECT l_partkey, {_S} AS sales FROM lineitem WHERE {_OK} GROUP BY l_partkey ORDER BY sales DESC NULLS LAST, l_partkey ASC NULLS LAST LIMIT 5")
 sql("q_cancelled_counts", "SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_quantity < 10) AS small FROM lineitem")
-sql("q_weekend_weekday", f"SELECT CASE WHEN dayofweek(o_orderdate) IN (1, 7) THEN 'weekend' ELSE 'weekday' END AS bucket, count(*) AS line_count, {_S} AS sales, count(DISTINCT o_orderkey) AS invoices, round(CAST(sum({_M}) AS DOUBLE) / count(DISTINCT o_orderkey), 4) AS average FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_OK} GROUP BY 1", f"SELECT CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS bucket, count(*) AS line_count, {_S} AS sales, count(DISTINCT o_orderkey) AS invoices, round(CAST(sum({_M}) AS DOUBLE) / count(DISTINCT o_orderkey), 4) AS average FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_OK} GROUP BY 1")
+sql("q_weekend_weekday", f"SELECT CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS bucket, count(*) AS line_count, {_S} AS sales, count(DISTINCT o_orderkey) AS invoices, round(CAST(sum({_M}) AS DOUBLE) / count(DISTINCT o_orderkey), 4) AS average FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_OK} GROUP BY 1")
 sql("q_calendar_bands", f"SELECT CASE WHEN day(l_shipdate) BETWEEN 1 AND 10 THEN 'early' WHEN day(l_shipdate) BETWEEN 11 AND 20 THEN 'middle' ELSE 'late' END AS band, count(*) AS line_count, {_S} AS sales FROM lineitem WHERE {_OK} GROUP BY 1")
 _DAYS = f"SELECT CAST(l_shipdate AS DATE) AS d, {_S} AS sales, count(*) AS line_count FROM lineitem WHERE {_OK} GROUP BY CAST(l_shipdate AS DATE)"
 sql("q_date_endpoints", f"WITH days AS ({_DAYS}) SELECT d, sales, line_count FROM days WHERE d = (SELECT min(d) FROM days) OR d = (SELECT max(d) FROM days)")

@@ -128,8 +128,36 @@ def _index(spark, d) -> DataFrame:
     return retrieval.inverted_index(_t(spark, d, "documents"), "doc_id")
 
 
-for _name, _any in (("retr_lexical", False), ("retr_lexical_any", True)):
-    query(_name)(lambda spark, d, a=_any: retrieval.lexical(_index(spark, d), "the and", 50, a, "doc_id"))
+# Of English words, the stems "de" and "la" stand for these alone.
+_MATCHED = r"""
+    SELECT doc_id, lang LIKE 'en%' AS english, i AS pos,
+           CASE WHEN regexp_full_match(w[i], CASE WHEN lang LIKE 'en%' THEN 'de(ing|ingly)?' ELSE 'de' END) THEN 0
+                WHEN regexp_full_match(w[i], CASE WHEN lang LIKE 'en%' THEN 'la(ed|edly|ing|ingly)?' ELSE 'la' END) THEN 1 END AS t
+    FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(i)"""
+_BEST = "r AS (SELECT *, row_number() OVER (PARTITION BY english ORDER BY score DESC, doc_id) AS own FROM s QUALIFY own <= 50) SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 50"
+
+
+def _lexemes(spark, d) -> DataFrame:
+    return retrieval.lexeme_index(_t(spark, d, "documents"), "doc_id", lang_col="lang")
+
+
+@query("retr_lexical", f"""
+    WITH e AS ({_MATCHED}), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM e WHERE t IS NOT NULL),
+    l AS (
+      SELECT *, max(pos) FILTER (t = 0) OVER w AS a, max(pos) FILTER (t = 1) OVER w AS b, max(n) FILTER (t = 0) OVER w AS na, max(n) FILTER (t = 1) OVER w AS nb
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+    ), c AS (
+      SELECT doc_id, english, pos, n, least(a, b) AS p, least(na, nb) AS np,
+             max(least(a, b)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM l WHERE a IS NOT NULL AND b IS NOT NULL
+    ), s AS (SELECT doc_id, any_value(english) AS english, round(sum(0.1::DOUBLE / (1 + (pos - p) - (n - np))), 9) AS score FROM c WHERE before IS NULL OR p > before GROUP BY doc_id), {_BEST}""")
+def retr_lexical(spark, d):
+    return retrieval.lexical(_lexemes(spark, d), "de la", 50, False, "doc_id")
+
+
+@query("retr_lexical_any", f"WITH e AS ({_MATCHED}), s AS (SELECT doc_id, any_value(english) AS english, round(count(*) * 0.1::DOUBLE, 9) AS score FROM e WHERE t IS NOT NULL GROUP BY doc_id), {_BEST}")
+def retr_lexical_any(spark, d):
+    return retrieval.lexical(_lexemes(spark, d), "de la", 50, True, "doc_id")
 
 
 @query("inverted_index", r"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) GROUP BY term, doc_id")

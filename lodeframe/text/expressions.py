@@ -156,7 +156,7 @@ def currency(v: Column) -> Column:
 
 # What a translation must leave as it is, its placeholders, and fonts with encodings of their own.
 _PROTECTED = r"```[\s\S]*?```|`[^`\n]+`|https?://[^\s)>]+|\b[A-Z][A-Z0-9_]{1,}\b|\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b|\b\d[\d,._:/%-]*(?:\s?(?:INR|USD|Rs\.?|₹|%|kg|km|years?))?\b|\[\^?[\w.-]+\]|\b(?:[A-Z]{2,}[0-9]+|[A-Za-z]+_[A-Za-z0-9_]+)\b"
-PLACEHOLDER = "⟦ILUP%04d⟧"
+PLACEHOLDER = "⟦kept%04d⟧"
 LEGACY_FONTS = r"(?i)(?:chanakya|kruti\s*dev|devlys|shusha|aps\s*dv|krutidev)"
 
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.errors import RetrievalError, require
-from lodeframe.text.expressions import STOP
+from lodeframe.text.expressions import STOP, ascii_digits
+from lodeframe.text.stem import STOP_WORDS, stem
 
 #: Constant of reciprocal-rank fusion, and how many candidates a request may have.
 FUSION, CANDIDATES = 60, 80
+#: Candidates that all queries of an advanced search share, and how many results each of them gives.
+BUDGET, FOUND = 60, 20
+_WORD = r"[\p{L}\p{M}\p{N}]+"
 # Words that point back at an earlier question, and what each rewriting must keep.
-_BACK = re.compile(r"\b(it|that|those|same|they|its)\b|उस|वही|इसके", re.I)
-_KEPT = re.compile(r'\b\w*\d\w*\b|"[^"]+"|\b[A-Z][\w-]*\b')
+_BACK = r"\b(it|that|those|same|they|its)\b|उस|वही|इसके"
+_KEPT = r'\b\w*\d\w*\b|"[^"]+"|\b[A-Z][\w-]*\b'
 VARIANTS, QUERY_CHARS = 3, 2000
 
 
@@ -26,30 +29,85 @@ def clean_query(query: str) -> str:
     return text
 
 
-def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", clean_query(query).casefold())))
-
-
 def inverted_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, positions): words of letters and digits in lower case. Write it bucketed by term to reuse it."""
-    words = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(_WORD), F.lit(0))
     each = chunks.select(F.col(f"`{id_col}`"), F.posexplode(words).alias("pos", "term"))
     return each.groupBy("term", F.col(f"`{id_col}`")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def lexical(index: DataFrame, query: str, k: int, any_term: bool = False, id_col: str = "chunk_id") -> DataFrame:
-    """(id, score, rank): chunks with all terms, or any; nearer and more frequent terms score higher.
+def lexeme_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str | None = None, heading_col: str | None = None) -> DataFrame:
+    """(config, lexeme, id, positions) for ranking by cover density; write it bucketed by lexeme to reuse it.
+
+    Chunks of a language that begins with ``en`` are ``english``: their words are stemmed, and stop words left out,
+    though they keep their places. All others, those without a language too, are ``simple``: words in lower case. A heading
+    comes before the text. Nulls are empty. A lexeme has a row a word that it stands for.
+    """
+    text = F.concat_ws(" ", *([F.col(f"`{heading_col}`")] if heading_col else []), F.col(f"`{text_col}`"))
+    english = F.coalesce(F.lower(F.col(f"`{lang_col}`")).startswith("en"), F.lit(False)) if lang_col else F.lit(False)
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    each = chunks.select(F.col(f"`{id_col}`"), F.when(english, "english").otherwise("simple").alias("config"), F.posexplode(words).alias("pos", "term"))
+    terms = each.where((F.col("config") == "simple") | ~F.col("term").isin(*STOP_WORDS)).groupBy("config", "term", F.col(f"`{id_col}`")).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return terms.select("config", F.when(F.col("config") == "english", stem(F.col("term"))).otherwise(F.col("term")).alias("lexeme"), F.col(f"`{id_col}`"), "positions")
+
+
+def query_lexemes(queries: DataFrame) -> DataFrame:
+    """(query_no, any, config, lexeme, t, n) of rows (query_no, query, any): the n lexemes that a query has under each configuration, numbered from 0."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(_WORD), F.lit(0)))
+    told = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    ways = F.array(F.struct(F.lit("english").alias("config"), F.array_distinct(F.transform(told, stem)).alias("lexemes")), F.struct(F.lit("simple").alias("config"), words.alias("lexemes")))
+    each = queries.select("query_no", "any", F.explode(ways).alias("way"))
+    return each.select("query_no", "any", "way.config", F.size("way.lexemes").alias("n"), F.posexplode("way.lexemes").alias("t", "lexeme"))
+
+
+def cover_density(entries: Column, n: Column) -> Column:
+    """The sum of a tenth over one plus the other words within, over all minimal covers of the n lexemes.
+
+    ``entries`` are (pos, t), the places of lexeme t, in order of place. One sweep: each entry ends the cover
+    that begins at the earliest of the lexemes' last places, which is minimal if no cover before began there.
+    """
+    place = lambda pos, i: F.struct(pos.cast("int").alias("pos"), i.cast("int").alias("i"))
+    none = F.lit(-1)
+
+    def step(acc: Column, e: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, j: F.when(j == e["t"], place(e["pos"], acc["i"])).otherwise(x))
+
+        def ended(last: Column) -> Column:
+            low = F.array_min(last)
+            new = low["pos"] > acc["began"]
+            others = (e["pos"] - low["pos"]) - (acc["i"] - low["i"])
+            return F.struct(last.alias("last"), F.when(new, low["pos"]).otherwise(acc["began"]).alias("began"), (acc["i"] + 1).alias("i"), (acc["score"] + F.when(new, 0.1 / (1 + others)).otherwise(0.0)).alias("score"))
 
-    The score is the terms' share by frequency over one plus the least distance between
-    the first and the last of them.
+        return F.get(F.transform(F.array(last), ended), F.lit(0))
+
+    start = F.struct(F.array_repeat(place(none, none), n).alias("last"), none.alias("began"), F.lit(0).alias("i"), F.lit(0.0).alias("score"))
+    return F.aggregate(entries, start, step, lambda acc: acc["score"])
+
+
+def lexical_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", strict: bool = False) -> DataFrame:
+    """(query_no, id, score, rank): for each of rows (query_no, query, any) the k best chunks that have all its lexemes, or any.
+
+    Chunks are ranked within their configuration, and both lists merged: k of each, or with ``strict`` half of k each, the
+    odd one English. With ``any`` every place of a lexeme is a cover of its own. Scores have nine digits; ties go by id.
     """
-    wanted = query_terms(query)
-    hits = index.where(F.col("term").isin(*wanted))
-    found = hits.groupBy(F.col(f"`{id_col}`")).agg(F.count("*").alias("n"), F.sum(F.log1p("tf")).alias("f"), F.max(F.element_at("positions", 1)).alias("hi"), F.min(F.element_at("positions", 1)).alias("lo"))
-    found = found if any_term else found.where(F.col("n") == len(wanted))
-    scored = found.select(F.col(f"`{id_col}`"), (F.col("n") * F.col("f") / (1 + F.log1p(F.col("hi") - F.col("lo")))).alias("score"))
-    best = scored.orderBy(F.desc("score"), id_col).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+    if "config" not in index.columns:
+        index = index.select(F.lit("simple").alias("config"), F.col("term").alias("lexeme"), F.col(f"`{id_col}`"), "positions")
+    hits = index.join(query_lexemes(queries), ["config", "lexeme"])
+    found = hits.groupBy("query_no", "any", "config", "n", F.col(f"`{id_col}`")).agg(F.collect_list(F.struct("positions", "t")).alias("lists"))
+    found = found.where(F.col("any") | (F.size(F.array_distinct("lists.t")) == F.col("n")))
+    entries = F.array_sort(F.flatten(F.transform("lists", lambda w: F.transform(w["positions"], lambda p: F.struct(p.cast("int").alias("pos"), w["t"].alias("t"))))))
+    score = F.when(F.col("any"), F.size(entries) * 0.1).otherwise(cover_density(entries, F.col("n")))
+    scored = found.select("query_no", "config", F.col(f"`{id_col}`"), F.round(score, 9).alias("score"))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), id_col))
+    most = F.when(F.col("config") == "english", (k + 1) // 2 if strict else k).otherwise(k // 2 if strict else k)
+    own = scored.withColumn("rank", best("query_no", "config")).where((F.col("rank") <= k) & (F.col("rank") <= most))
+    return own.drop("config").withColumn("rank", best("query_no")).where(F.col("rank") <= k)
+
+
+def lexical(index: DataFrame, query: str, k: int, any_term: bool = False, id_col: str = "chunk_id") -> DataFrame:
+    """(id, score, rank) of one query: see ``lexical_many``."""
+    asked = index.sparkSession.createDataFrame([(0, clean_query(query), any_term)], "query_no int, query string, any boolean")
+    return lexical_many(index, asked, k, id_col).drop("query_no")
 
 
 def dense(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -203,23 +261,42 @@ def dense_coverage(documents: DataFrame, generations: DataFrame, selected: DataF
     return ready.join(own, ["generation", "document", "version"], "left").agg(F.count_distinct("document").alias("selected"), F.count_distinct(F.when(F.col("__fits") == 1, F.col("document"))).alias("matching"))
 
 
-def variants(query: str, previous: str | None = None, aliases: dict[str, list[str]] | None = None, offered: list[str] = (), most: int = VARIANTS) -> list[str]:  # type: ignore[assignment]
-    """The query and rewritings of it that only add, or leave out common words; the latest offered first.
+def rewritings(queries: DataFrame, most: int = VARIANTS) -> DataFrame:
+    """(query_no, place, variant): each query, then its distinct rewritings by the order of the rules below.
 
-    A rewriting that is offered must hold every name, number and quotation of the query; nothing is longer than QUERY_CHARS.
+    queries: (query_no, query, previous string, offered array<string>, aliases array<struct<key, words array<string>>>); all but the
+    number and the query may be null. No rewriting drops a name, a number or a quotation that it isn't free to drop,
+    and none is longer than QUERY_CHARS; a query without words has itself alone.
     """
-    original = query.strip()
-    must = set(_KEPT.findall(original))
-    telling = [w for w in original.split() if w.casefold().strip("?,।.") not in STOP]
-    made = [v.strip() for v in reversed(offered) if all(m in v for m in must)]
-    if previous and _BACK.search(original):
-        made.append(f"{original} {previous.strip()}")
-    made.append(" ".join(telling))
-    made += [" ".join([original, *words]) for key, words in (aliases or {}).items() if key.casefold() in original.casefold()]
-    if len(telling) > 4:
-        held = [any(m in w for m in must) for w in telling]
-        made += [" ".join(w for i, w in enumerate(telling) if held[i] or i % 2 == side) for side in (0, 1)]
-    return list(dict.fromkeys([original, *(m for m in made if m and len(m) <= QUERY_CHARS)]))[:most]
+    query = F.trim("query")
+    words = F.split(query, r"\s+")
+    kept = F.array_distinct(F.regexp_extract_all(query, F.lit("(?U)" + _KEPT), F.lit(0)))
+    holds = lambda text: F.forall(kept, lambda k: F.contains(text, k))
+    telling = F.filter(words, lambda w: ~F.lower(F.regexp_replace(w, "^[?,।.]+|[?,।.]+$", "")).isin(*STOP))
+    some = lambda condition, value: F.when(condition, F.array(value)).otherwise(F.array().cast("array<string>"))
+    every = lambda side: F.array_join(F.filter(telling, lambda w, i: (i % 2 == side) | F.exists(kept, lambda k: F.contains(w, k))), " ")
+    none = F.array().cast("array<string>")
+    rules = {
+        "itself": F.array(query),
+        "offered": F.coalesce(F.filter(F.reverse("offered"), holds), none),
+        "reference": some(F.col("previous").isNotNull() & query.rlike("(?iU)" + _BACK), F.concat_ws(" ", query, F.trim("previous"))),
+        "telling": F.array(F.array_join(telling, " ")),
+        "aliases": F.coalesce(F.transform(F.filter("aliases", lambda a: F.contains(F.lower(query), F.lower(a["key"]))), lambda a: F.concat_ws(" ", query, F.array_join(a["words"], " "))), none),
+        "digits": some(ascii_digits(query) != query, ascii_digits(query)),
+        "halves": F.when(F.size(telling) > 4, F.array(every(0), every(1))).otherwise(none),
+    }
+    made = F.filter(F.transform(F.flatten(F.array(*rules.values())), lambda v: F.trim(v)), lambda v: F.length(v).between(1, QUERY_CHARS))
+    return queries.select("query_no", F.posexplode(F.slice(F.array_distinct(made), 1, most)).alias("place", "variant"))
+
+
+_ASKED = "query_no int, query string, previous string, offered array<string>, aliases array<struct<key: string, words: array<string>>>"
+
+
+def variants(query: str, previous: str | None = None, aliases: dict[str, list[str]] | None = None, offered: list[str] = (), most: int = VARIANTS) -> list[str]:  # type: ignore[assignment]
+    """The rewritings of one query, itself first."""
+    spark = SparkSession.active()
+    row = (0, query, previous, list(offered), list((aliases or {}).items()))
+    return [r["variant"] for r in sorted(rewritings(spark.createDataFrame([row], _ASKED), most).collect(), key=lambda r: r["place"])]
 
 
 def hop(query: str, terms: list[str], excerpts: list[str]) -> str:
@@ -229,13 +306,21 @@ def hop(query: str, terms: list[str], excerpts: list[str]) -> str:
     return clean_query(" ".join([query, *terms]))
 
 
-def advanced(index: DataFrame, chunks: DataFrame, queries: list[str], limit: int, document_col: str, id_col: str = "chunk_id") -> DataFrame:
-    """(id, document, score, variants, rank, place): the queries' lexical ranks fused, with consensus, and spread over documents."""
+def advanced(index: DataFrame, chunks: DataFrame, queries: list[str], limit: int, document_col: str, id_col: str = "chunk_id", vectors: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
+    """(id, document, score, variants, rank, place): what several queries find, fused with consensus and spread over documents.
+
+    The first query asks for all its lexemes, the others for any. All queries together have BUDGET candidates, an equal
+    share each, half of it a configuration; each gives its first FOUND. With vectors, a query's words and the
+    vector are fused by their ranks before. One scan of the index serves all queries.
+    """
     require(1 <= len(queries) <= VARIANTS and 1 <= limit <= 50, "invalid_limit", RetrievalError)
-    lists = None
-    for i, q in enumerate(queries):
-        one = lexical(index, q, CANDIDATES, True, id_col).select(id_col, F.lit(i).alias("variant"), "rank")
-        lists = one if lists is None else lists.unionByName(one)
-    # At most VARIANTS * CANDIDATES rows meet the chunks.
-    found = fuse_variants(lists, id_col, consensus=True)
+    share = BUDGET // len(queries)
+    asked = index.sparkSession.createDataFrame([(i, clean_query(q), i > 0) for i, q in enumerate(queries)], "query_no int, query string, any boolean")
+    lists = lexical_many(index, asked, share, id_col, strict=True).select(id_col, F.col("query_no").alias("variant"), "rank")
+    if vectors is not None and vector is not None:
+        near = dense(vectors, vector, share, id_col).select(id_col, F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("variant"), "rank")
+        both = lists.unionByName(near).groupBy("variant", id_col).agg(F.sum(1 / (FUSION + F.col("rank"))).alias("score"))
+        lists = both.withColumn("rank", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("score"), id_col))).drop("score")
+    # At most BUDGET rows, twice as many with vectors, meet the chunks.
+    found = fuse_variants(lists.where(F.col("rank") <= min(FOUND, share)), id_col, consensus=True)
     return diversify(chunks.select(id_col, document_col).join(F.broadcast(found), id_col), document_col, limit).drop("turn")
