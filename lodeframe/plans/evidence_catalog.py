@@ -18,7 +18,7 @@ from lodeframe.operators.asof import asof_join
 from lodeframe.plans import policy, text_catalog
 from lodeframe.plans.run import file_query, run_sql
 from lodeframe.scratch import scratch
-from lodeframe.sources import files, sinks
+from lodeframe.sources import files, quoted, sinks
 from lodeframe.text import blocks, retrieval, summarize
 from lodeframe.text import expressions as x
 
@@ -466,3 +466,34 @@ def eval_redact(spark, d):
     said = F.concat(F.lit("get https://user:"), "c_name", F.lit("@host/"), F.col("c_custkey").cast("string"), F.lit(" with bearer tok."), F.col("c_custkey").cast("string"), F.lit(f" as {secret}"))
     out = _t(spark, d, "customer").select("c_custkey", x.redact(said, [secret]).alias("text"))
     return out.withColumn("left_over", x.contains_secret(F.col("text"), [secret]))
+
+
+# --- quoted CSV in parallel: texts with line ends and quotes, through files and back
+def _as_csv(df: DataFrame, path: str) -> None:
+    df.write.option("escape", '"').csv(path, quoteAll=True, nullValue="", emptyValue="")
+
+
+@query("canonical_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(coalesce(text, '')) AS text_sha256, lang FROM documents")
+def canonical_csv(spark, d):
+    path, copy, names = scratch(spark, "csv"), scratch(spark, "canonical"), ["doc_id", "text", "lang"]
+    _as_csv(_t(spark, d, "documents").select(*names), path)
+    quoted.write_canonical(quoted.table(spark, path, names, ","), copy)
+    again = quoted.table(spark, copy, names, ",").where("doc_id <> 'doc_id'")
+    return again.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang")
+
+
+@query("sink_csv_export", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN chr(39) || '=' || c_name ELSE c_name END AS c_name, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) AS c_acctbal FROM customer")
+def sink_csv_export(spark, d):
+    path, out, names = scratch(spark, "csv"), scratch(spark, "export"), ["c_custkey", "c_name", "c_acctbal"]
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("="), "c_name")).otherwise(F.col("c_name"))
+    _as_csv(_t(spark, d, "customer").select("c_custkey", name.alias("c_name"), F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal")), path)
+    where, _ = quoted.export(path, quoted.table(spark, path, names, ","), out)
+    return quoted.table(spark, where, names, ",").where("c_custkey <> 'c_custkey'").drop(quoted.ORDINAL)
+
+
+@query("ingest_file", "SELECT 'ready' AS state, CAST(NULL AS VARCHAR) AS code, count(*) AS rows, 'doc_id,lang,text' AS columns, '0,0,' || count(*) FILTER (coalesce(text, '') = '') AS missing FROM documents")
+def ingest_file(spark, d):
+    path, catalog = scratch(spark, "csv"), scratch(spark, "catalog")
+    quoted.write_canonical(_t(spark, d, "documents").select(F.monotonically_increasing_id().alias(quoted.ORDINAL), "doc_id", "lang", "text"), path)
+    quoted.ingest(spark, path, catalog, scratch(spark, "copies"), ["doc_id", "lang", "text"])
+    return quoted.latest(spark, catalog).select("state", "code", "rows", F.concat_ws(",", "columns").alias("columns"), F.array_join(F.transform("missing", lambda m: m.cast("string")), ",").alias("missing"))

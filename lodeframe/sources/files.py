@@ -27,7 +27,7 @@ PEEK = 1 << 20
 COLUMNS, CELLS, RATIO, ENTRY = 1_000, 1_000_000, 100, 32 << 20
 
 
-def _peek(spark: SparkSession, path: str, n: int = PEEK) -> bytes:
+def peek(spark: SparkSession, path: str, n: int = PEEK) -> bytes:
     """The first bytes of a file on whatever file system holds it."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -70,7 +70,7 @@ def detect_delimiter(text: str) -> str:
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, headers trimmed and made unlike; a malformed row fails the read."""
-    head = _peek(spark, path)
+    head = peek(spark, path)
     encoding = detect_encoding(head)
     text = head.decode(encoding if encoding != "UTF-8" else "utf-8-sig", "ignore")
     sep = detect_delimiter(text)
