@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators import evaluate, lineage
+from lodeframe.scratch import scratch
 from lodeframe.streaming import events as ev
 from lodeframe.text import blocks, context, retrieval, summarize, web
 from lodeframe.text import expressions as x
@@ -332,6 +333,23 @@ def stream_append_event(spark, d):
     return ev.sequence(_t(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "seq")
 
 
+@query("stream_follow", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+def stream_follow(spark, d):
+    e, source, log = _t(spark, d, "events"), scratch(spark, "events"), scratch(spark, "log")
+    e.write.parquet(source)
+    ev.follow(ev.stream_of(spark, source, e), log, scratch(spark, "events-checkpoint")).awaitTermination()
+    return spark.read.parquet(log).select("event_id", "seq")
+
+
+@query("stream_ingest", "SELECT DISTINCT sha256(coalesce(text, '')) AS fingerprint FROM documents")
+def stream_ingest(spark, d):
+    docs, source, out = _t(spark, d, "documents"), scratch(spark, "documents"), scratch(spark, "ingested")
+    docs.write.parquet(source)
+    built = lambda batch: batch.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
+    ev.ingest(ev.stream_of(spark, source, docs), built, out, scratch(spark, "ingest-checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("stream_tail", "SELECT event_id, CAST(seq AS INTEGER) AS seq FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE user_id = (SELECT min(user_id) FROM events) AND seq > 2 ORDER BY seq LIMIT 100")
 def stream_tail(spark, d):
     e = _t(spark, d, "events")

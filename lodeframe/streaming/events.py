@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def sequence(events: DataFrame, run_col: str, ts_col: str, id_col: str) -> DataFrame:
@@ -25,31 +29,70 @@ def _written(spark: SparkSession, path: str) -> bool:
     return bool(store.exists(at) and store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "*.parquet")))
 
 
-def append_batch(path: str, run_col: str, ts_col: str, id_col: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: numbers a batch after what the log at path has, and appends what is new.
+class Numbering(StatefulProcessor):
+    """Numbers the events of a run on from its counter, and leaves out those it has numbered before.
 
-    An event that the log already has, as after a restart, isn't added again.
+    Counter and numbered ids are kept by run in the state store, so a batch costs what it brings, not what there
+    already is. A run's events of one batch are ordered in memory: the trigger's size bounds them.
     """
 
-    def publish(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates([id_col])
-        if _written(spark, path):
-            log = spark.read.parquet(path)
-            batch = batch.join(log.select(id_col), id_col, "left_anti")
-            last = log.groupBy(run_col).agg(F.max("seq").alias("__last"))
-            numbered = sequence(batch, run_col, ts_col, id_col).join(last, run_col, "left")
-            numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce("__last", F.lit(0))).drop("__last")
-        else:
-            numbered = sequence(batch, run_col, ts_col, id_col)
-        numbered.withColumn("seq", F.col("seq").cast("long")).write.mode("append").parquet(path)
+    def __init__(self, ts_col: str, id_col: str, id_type: str):
+        self.ts_col, self.id_col, self.id_type = ts_col, id_col, id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq long")
+        self.numbered = handle.getMapState("numbered", f"id {self.id_type}", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        given = pd.concat(list(rows), ignore_index=True).drop_duplicates(self.id_col)
+        given = given[[not self.numbered.containsKey((i,)) for i in given[self.id_col].tolist()]]
+        if given.empty:
+            return
+        given = given.sort_values([self.ts_col, self.id_col], kind="stable").reset_index(drop=True)
+        first = self.last.get()[0] if self.last.exists() else 0
+        given["seq"] = range(first + 1, first + 1 + len(given))
+        for i, seq in zip(given[self.id_col].tolist(), given["seq"].tolist(), strict=True):
+            self.numbered.updateValue((i,), (seq,))
+        self.last.update((first + len(given),))
+        yield given
+
+    def close(self) -> None:
+        pass
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    return publish
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which holds more than memory does."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def numbered(source: DataFrame, run_col: str, ts_col: str, id_col: str) -> DataFrame:
+    """A stream of events with seq, 1, 2, ... in each run by batch, then time, then id; an event delivered again has none.
+
+    Events without an id are one event; a null run is a run of its own.
+    """
+    kind = source.schema[id_col].dataType.simpleString()
+    schema = T.StructType([*source.schema.fields, T.StructField("seq", T.LongType())])
+    return source.groupBy(run_col).transformWithStateInPandas(Numbering(ts_col, id_col, kind), schema, "Append", "None")
 
 
 def follow(source: DataFrame, path: str, checkpoint: str, run_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id"):
-    """Drains a streaming source into the log at path and stops."""
-    return source.writeStream.foreachBatch(append_batch(path, run_col, ts_col, id_col)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drains a streaming source into the log at path and stops.
+
+    State and log go by batch number: a batch that is run again, as after a restart, starts from the counters before it
+    and isn't added to the log twice.
+    """
+    with _rocksdb(source.sparkSession):
+        return numbered(source, run_col, ts_col, id_col).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def ingest(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "fingerprint"):
