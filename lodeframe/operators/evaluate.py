@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.functions.quantiles import quantiles
+
 CELLS = 4_000_000
 
 
@@ -57,8 +59,13 @@ def table_accuracy(expected: DataFrame, actual: DataFrame, row_col: str) -> Data
 def summary(results: DataFrame, *cohort: str) -> DataFrame:
     """Counts by status, latency percentiles and summed usage for each cohort."""
     status = [F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "needs_review")]
-    p = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95)))
-    return results.groupBy(*cohort).agg(F.count("*").alias("trials"), *status, p[0].alias("p50"), p[1].alias("p95"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("measured"), F.count_if(F.col("tokens").isNull()).alias("unavailable"))
+    if not cohort:
+        return summary(results.withColumn("__all", F.lit(0)), "__all").drop("__all")
+    q = quantiles(results, {"latency": F.col("latency")}, [0.5, 0.95], list(cohort))
+    cuts = q.groupBy(*cohort).agg(*(F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))))
+    counts = results.groupBy(*cohort).agg(F.count("*").alias("trials"), *status, F.sum("tokens").alias("tokens"), F.count("tokens").alias("measured"), F.count_if(F.col("tokens").isNull()).alias("unavailable"))
+    on = [counts[c].eqNullSafe(cuts[c]) for c in cohort]
+    return counts.join(cuts, on, "left").select(*(counts[c] for c in cohort), "trials", "passed", "failed", "needs_review", "p50", "p95", "tokens", "measured", "unavailable")
 
 
 def schema_matches(value, wanted) -> bool:
@@ -88,7 +95,9 @@ def usage(results: DataFrame, field: str, *cohort: str) -> DataFrame:
 
 def reviewed(answers: DataFrame, reviews: DataFrame, case_col: str) -> DataFrame:
     """answers with verdict: the review's label where it was given for this very answer (its SHA-256), stale for another, else null."""
-    r = reviews.groupBy(case_col).agg(F.max_by("label", "at").alias("__label"), F.max_by("answer_sha256", "at").alias("__hash"))
+    # Label and hash are those of one review, whatever others are of the same time.
+    last = F.max(F.struct("at", "answer_sha256", "label")).alias("__review")
+    r = reviews.groupBy(case_col).agg(last).select(case_col, F.col("__review.label").alias("__label"), F.col("__review.answer_sha256").alias("__hash"))
     held = answers.join(r, case_col, "left")
     verdict = F.when(F.col("__hash") == F.sha2("answer", 256), F.col("__label")).when(F.col("__hash").isNotNull(), "stale")
     return held.withColumn("verdict", verdict).drop("__label", "__hash")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from lodeframe.errors import require
 from lodeframe.frame import ORDER, Frame, missing
 from lodeframe.functions import exact
+from lodeframe.functions.quantiles import quantiles
 
 _NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _PATTERN = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%f": "SSSSSS"}
@@ -273,6 +274,9 @@ def pivot(f: Frame, columns: list[str], names: str, values: str) -> Frame:
     return f.became(df, (*columns, *labels), units, operation="pivot", labels=labels)
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def statistics(f: Frame, columns: list[str], function: str = "describe") -> dict:
     """describe, correlation, regression (first column on the others) or outliers, in floating point."""
     f.need(*columns)
@@ -284,8 +288,9 @@ def statistics(f: Frame, columns: list[str], function: str = "describe") -> dict
     xs = data.columns
     require(not any(data.agg(*(F.count_if(F.isnan(x) | F.col(x).isNull() | (F.abs(x) == float("inf"))) for x in xs)).first()), "statistics_nonfinite_conversion")
     if function == "describe":
-        row = data.agg(*(a for x in xs for a in (F.avg(x), F.min(x), F.max(x), F.stddev_samp(x), F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))))).first()
-        return {c: {"count": n, "mean": row[5 * i], "min": row[5 * i + 1], "max": row[5 * i + 2], "std_sample": row[5 * i + 3] if n > 1 else None, "quartiles": list(row[5 * i + 4])} for i, c in enumerate(columns)}
+        row = data.agg(*(a for x in xs for a in (F.avg(x), F.min(x), F.max(x), F.stddev_samp(x)))).first()
+        cuts = {(r["name"], r["p"]): r["quantile"] for r in quantiles(data, {x: F.col(x) for x in xs}, QUARTILES).collect()}
+        return {c: {"count": n, "mean": row[4 * i], "min": row[4 * i + 1], "max": row[4 * i + 2], "std_sample": row[4 * i + 3] if n > 1 else None, "quartiles": [cuts[xs[i], p] for p in QUARTILES]} for i, c in enumerate(columns)}
     if function == "correlation":
         require(n >= 3, "statistics_insufficient_sample")
         k = len(xs)
@@ -306,7 +311,8 @@ def statistics(f: Frame, columns: list[str], function: str = "describe") -> dict
         r2 = float(slopes @ s[1:, 0] / s[0, 0]) if s[0, 0] else None
         return {"intercept": float(means[0] - slopes @ means[1:]), "coefficients": slopes.tolist(), "r_squared": r2}
     require(function == "outliers", "unknown_statistic")
-    low, high = data.agg(F.percentile(xs[0], F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    cuts = {r["p"]: r["quantile"] for r in quantiles(data, {"x": F.col(xs[0])}, QUARTILES).collect()}
+    low, high = cuts[0.25], cuts[0.75]
     spread = 1.5 * (high - low)
     lower, upper = low - spread, high + spread
     count = data.where((F.col(xs[0]) < lower) | (F.col(xs[0]) > upper)).count()

@@ -17,3 +17,16 @@ def test_against_all_pairs(spark):
         assert got.columns == ["id", "k", "t", "v"] and {r.id: r.v for r in got.collect()} == want
     assert asof_join(a, b.limit(0), ["k"], "t", ["v"]).where("v IS NOT NULL").isEmpty()
     assert asof_join(a.limit(0), b, ["k"], "t", ["v"]).isEmpty()
+
+
+def test_keys_beyond_doubles_and_one_row_a_key(spark):
+    big = 2**53
+    a = spark.createDataFrame([(1, "x", big + 1), (2, "x", big + 2), (3, "y", big)], "id int, k string, t long")
+    b = spark.createDataFrame([("x", big, "zero"), ("x", big + 2, "two"), ("y", big + 1, "late")], "k string, t long, v string")
+    assert {r.id: r.v for r in asof_join(a, b, ["k"], "t", ["v"]).collect()} == {1: "zero", 2: "two", 3: None}
+    n = 2000
+    left = spark.range(n).selectExpr("id", "id AS k", "id * 10 + 5 AS t")
+    right = spark.range(n).selectExpr("id AS k", "id * 10 AS t", "id AS v")
+    out = asof_join(left, right, ["k"], "t", ["v"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and out.where("v = k").count() == n
