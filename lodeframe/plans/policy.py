@@ -140,7 +140,9 @@ class _Walk:
             literal = len(args) > 1 and _kind(args[1]) == "Literal" and args[1].dataType().typeName() in ("integer", "long")
             require(literal and 0 <= int(args[1].value()) <= REPEATS, "function_argument_limit", SqlPolicyError)
         if name in dialect.REWRITTEN:
-            self.calls.append((name, [_span(a) for a in _each(e.arguments())], *_span(e)))
+            # The words of EXTRACT aren't arguments with places of their own.
+            places = [] if name == "EXTRACT" else [_span(a) for a in _each(e.arguments())]
+            self.calls.append((name, places, *_span(e)))
 
 
 def admit(spark: SparkSession, sql: str, tables: Iterable[str] | None = None, dialect: str = "spark") -> str:
