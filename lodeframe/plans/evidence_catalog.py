@@ -49,10 +49,12 @@ def _said(call) -> str:
     return got if isinstance(got, str) else json.dumps(got, ensure_ascii=False)
 
 
+#: (name, case): what a rule of a few values gives as text, and what it must give. Rules read no table, so they aren't queries.
+RULES: dict[tuple[str, str], tuple[Callable, str]] = {}
+
+
 def cases(name: str, **each: tuple[Callable, str]) -> None:
-    """A query of (case, result) for rules of a few values, held against what each must give."""
-    rows = ", ".join("('{}', '{}')".format(case, want.replace("'", "''")) for case, (_, want) in each.items())
-    query(name, f'SELECT * FROM (VALUES {rows}) t("case", result)')(lambda spark, d: spark.createDataFrame([(case, _said(call)) for case, (call, _) in each.items()], "case string, result string"))
+    RULES.update({(name, case): (lambda call=call: _said(call), want) for case, (call, want) in each.items()})
 
 
 # --- SQL over files
@@ -78,16 +80,6 @@ def sql_table_alias(spark, d):
     return spark.createDataFrame([(alias, name, other) for alias, name in evidence["aliases"].items()], "alias string, name string, other string")
 
 
-query("sql_single_stmt", 'SELECT * FROM (VALUES (\'two\', \'multiple_statements\'), (\'quoted\', \'admitted\'), (\'comment\', \'admitted\'), (\'closed\', \'admitted\')) t("case", result)')(lambda spark, d: spark.createDataFrame([(c, _said(lambda q=q: policy.admit(spark, q) and "admitted")) for c, q in (("two", "SELECT 1; SELECT 2"), ("quoted", "SELECT ';'"), ("comment", "SELECT 1 -- a; b"), ("closed", "SELECT 1;"))], "case string, result string"))
-query("sql_error_hygiene", "SELECT 'sql_parse_error' AS message")(lambda spark, d: spark.createDataFrame([(_message(spark, "SELECT (secret_column FROM hidden"),)], "message string"))
-
-
-def _message(spark, text: str) -> str:
-    try:
-        policy.admit(spark, text)
-    except EngineError as e:
-        return str(e)
-    return "admitted"
 
 
 _decide = lambda name, **args: "/".join(policy.tool_decision(name, args, ["run_sql", "inspect"], ["s1"], ["d1"], ["hunter2"]))

@@ -45,8 +45,15 @@ def code_of(call) -> str:
     return "admitted"
 
 
+#: Rules of statements and columns alone, by name and case: (call, code). They read no table, so they aren't queries.
+RULES: dict[str, dict[str, tuple[Callable, str]]] = dict.fromkeys(("sql_policy", "sql_single_stmt", "sql_readonly", "sql_functions", "sql_tables", "sql_bounds", "sql_exec_comment", "op_input_contract"), {})
+
+
 def codes(name: str, cases: dict[str, tuple[Callable, str]]) -> None:
     """A query of (case, code): what each call is rejected with."""
+    if name in RULES:
+        RULES[name] = cases
+        return
     rows = ", ".join(f"('{case}', '{code}')" for case, (_, code) in cases.items())
     query(name, f'SELECT * FROM (VALUES {rows}) t("case", code)')(lambda spark, d: spark.createDataFrame([(case, code_of(lambda c=call: c(spark, d))) for case, (call, _) in cases.items()], "case string, code string"))
 
@@ -58,6 +65,7 @@ def _admits(text: str) -> Callable:
 codes("sql_policy", {c: (_admits(s), want) for c, s, want in (
     ("select", "SELECT o_orderkey FROM orders", "admitted"), ("empty", " ; ", "empty_sql"), ("two", "SELECT 1; SELECT 2", "multiple_statements"), ("broken", "SELECT (", "sql_parse_error"), ("large", "SELECT " + "1 + " * 6000 + "1", "sql_too_large"),
 )})
+codes("sql_single_stmt", {c: (_admits(s), want) for c, s, want in (("two", "SELECT 1; SELECT 2", "multiple_statements"), ("quoted", "SELECT ';'", "admitted"), ("comment", "SELECT 1 -- a; b", "admitted"), ("closed", "SELECT 1;", "admitted"))})
 codes("sql_readonly", {c: (_admits(s), want) for c, s, want in (("insert", "INSERT INTO orders SELECT 1", "forbidden_statement"), ("drop", "DROP TABLE orders", "forbidden_statement"), ("show", "SHOW TABLES", "not_readonly"), ("values", "SELECT * FROM VALUES (1)", "forbidden_statement"))})
 codes("sql_functions", {c: (_admits(s), want) for c, s, want in (("random", "SELECT rand()", "function_not_allowed"), ("qualified", "SELECT a.count(1)", "qualified_function_forbidden"), ("repeat", "SELECT repeat('x', 200000)", "function_argument_limit"), ("known", "SELECT upper('x')", "admitted"), ("identifier", "SELECT IDENTIFIER('re' || 'flect')('java.lang.Math', 'abs', 1)", "function_not_allowed"), ("bare", "SELECT CURRENT_USER", "function_not_allowed"), ("any", "SELECT any_value(o_orderkey) FROM orders", "function_not_allowed"))})
 codes("sql_tables", {c: (_admits(s), want) for c, s, want in (("other", "SELECT * FROM lineitem", "table_not_selected"), ("system", "SELECT * FROM information_schema.tables", "system_schema_forbidden"), ("cte", "WITH lineitem AS (SELECT 1 AS a) SELECT a FROM lineitem", "admitted"))})
@@ -206,11 +214,15 @@ def chart_summary(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
 
 
-@query("formula_safe_text", "SELECT * FROM (VALUES ('=1+1', '''=1+1'), ('-5', '-5'), ('-a', '''-a'), ('x', 'x'), (' @y', ''' @y')) t(v, safe)")
+_FORMULAS = "CASE c_custkey % 5 WHEN 0 THEN '=' || c_name WHEN 1 THEN '-' || c_custkey WHEN 2 THEN '-' || c_name WHEN 3 THEN ' @' || c_name ELSE c_name END"
+
+
+@query("formula_safe_text", f"SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 2, 3) THEN chr(39) || {_FORMULAS} ELSE {_FORMULAS} END AS safe FROM customer")
 def formula_safe_text(spark, d):
-    return spark.createDataFrame([("=1+1",), ("-5",), ("-a",), ("x",), (" @y",)], "v string").select("v", sinks.formula_safe(F.col("v")).alias("safe"))
+    return _t(spark, d, "customer").select("c_custkey", sinks.formula_safe(F.expr(_FORMULAS)).alias("safe"))
 
 
-@query("legacy_digits", "SELECT '0123456789' AS v")
+@query("legacy_digits", "SELECT p_partkey, p_partkey || ' ' || p_name AS v FROM part")
 def legacy_digits(spark, d):
-    return spark.createDataFrame([(x.DEVANAGARI_DIGITS,)], "v string").select(x.ascii_digits(F.col("v")).alias("v"))
+    text = F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name")
+    return _t(spark, d, "part").select("p_partkey", x.ascii_digits(F.translate(text, "0123456789", x.DEVANAGARI_DIGITS)).alias("v"))

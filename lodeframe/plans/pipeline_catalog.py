@@ -167,11 +167,6 @@ for _name, _sql in (("year", "year(d)"), ("month", "month(d)"), ("fiscal_year",
     query(f"op_derive_{_name}", f"SELECT o_orderkey, CAST({_sql} AS BIGINT) AS v FROM {_T}")(_derive_date)
 
 
-@query("op_units_derive", "SELECT 'USD*kg' AS product, 'USD/kg' AS quotient, '1' AS same")
-def units_derive(spark, d):
-    return spark.createDataFrame([(p.derived_unit("multiply", "USD", "kg"), p.derived_unit("divide", "USD", "kg"), p.derived_unit("divide", "kg", "kg"))], "product string, quotient string, same string")
-
-
 @query("op_melt", "SELECT p_partkey, unnest(['p_brand', 'p_type']) AS variable, unnest([p_brand, p_type]) AS value FROM part")
 def melt(spark, d):
     return p.melt(Frame.of(_read(spark, d, "part").select("p_partkey", "p_brand", "p_type")), ["p_partkey"], ["p_brand", "p_type"]).result()
@@ -215,12 +210,14 @@ def profile_column(spark, d):
     return prof.column_stats(_read(spark, d, "customer").select("c_name", "c_mktsegment")).select("name", "rows", "missing")
 
 
-_VALUES = "VALUES ('1'), ('01'), ('-2.50'), ('1e5'), ('TRUE'), ('2026-04-01'), ('2026-04-01T10:00:00'), ('31/12/2025'), ('x'), ('2026-13-01')"
 
 
-@query("infer_type", "SELECT * FROM (VALUES ('1', 'integer'), ('01', 'string'), ('-2.50', 'decimal'), ('1e5', 'decimal'), ('TRUE', 'boolean'), ('2026-04-01', 'date'), ('2026-04-01T10:00:00', 'timestamp'), ('31/12/2025', 'date'), ('x', 'string'), ('2026-13-01', 'string')) t(v, kind)")
+_FORMS = "CASE o_orderkey % 7 WHEN 0 THEN '' || o_orderkey WHEN 1 THEN '0' || o_orderkey WHEN 2 THEN '-' || o_orderkey || '.50' WHEN 3 THEN 'TRUE' WHEN 4 THEN substr(CAST(o_orderdate AS {text}), 1, 10) WHEN 5 THEN o_orderstatus ELSE '2026-13-01' END"
+
+
+@query("infer_type", f"SELECT o_orderkey, {_FORMS.format(text='VARCHAR')} AS v, CASE o_orderkey % 7 WHEN 0 THEN 'integer' WHEN 2 THEN 'decimal' WHEN 3 THEN 'boolean' WHEN 4 THEN 'date' ELSE 'string' END AS kind FROM orders")
 def infer_type(spark, d):
-    return spark.sql(f"SELECT * FROM {_VALUES} AS t(v)").select("v", prof.infer_type(F.col("v")).alias("kind"))
+    return _read(spark, d, "orders").select("o_orderkey", F.expr(_FORMS.format(text="STRING")).alias("v")).withColumn("kind", prof.infer_type(F.col("v")))
 
 
 @query("parse_date", f"SELECT o_orderkey, d FROM {_T}")
@@ -242,7 +239,3 @@ def cell_serialize(spark, d):
     df = _read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + 9007199254740000).alias("big"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(1.5).alias("x"))
     return df.select("o_orderkey", *(sinks.cell(df, c).alias(c) for c in ("big", "price", "at", "x")))
 
-
-@query("dedupe_columns", "SELECT 'a' AS c0, 'a__2' AS c1, 'b' AS c2, 'a__3' AS c3")
-def dedupe_columns(spark, d):
-    return spark.createDataFrame([tuple(sinks.unique_names(["a", "a", "b", "a"]))], "c0 string, c1 string, c2 string, c3 string")

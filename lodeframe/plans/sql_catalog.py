@@ -52,7 +52,7 @@ sql("sql_subquery_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SEL
 sql("sql_subquery_derived", "SELECT max(c) AS most FROM (SELECT o_custkey, count(*) AS c FROM orders GROUP BY o_custkey) t")
 sql("sql_subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 sql("sql_cte", "WITH x AS (SELECT n_regionkey AS r FROM nation), y AS (SELECT r, count(*) AS c FROM x GROUP BY r), x2 AS (WITH y AS (SELECT 1 AS one) SELECT one FROM y) SELECT r, c, one FROM y CROSS JOIN x2")
-sql("sql_cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
+sql("sql_cte_recursive", "WITH RECURSIVE t(k, root, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, root, depth + 1 FROM t JOIN customer ON c_custkey = 2 * k) SELECT k, root, depth FROM t")
 sql("sql_group_by", "SELECT l_returnflag, l_linestatus, count(*) AS c, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(28,2)) AS s, CAST(max(l_quantity) AS DOUBLE) AS m FROM lineitem GROUP BY l_returnflag, l_linestatus")
 sql("sql_having", "SELECT o_custkey, count(*) AS c FROM orders GROUP BY o_custkey HAVING count(*) > 12")
 sql("sql_count_distinct", "SELECT count(DISTINCT l_suppkey) AS s, count(DISTINCT l_partkey) AS p FROM lineitem")

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.errors import FileError
-from lodeframe.operators import lineage, profile
+from lodeframe.operators import lineage, pipeline, profile
 from lodeframe.plans import evidence_catalog as e
-from lodeframe.sources import files
+from lodeframe.plans import more_catalog
+from lodeframe.sources import files, sinks
 from lodeframe.text import blocks, retrieval, summarize
 from lodeframe.text import expressions as x
 
@@ -71,10 +72,27 @@ def test_a_rewriting_keeps_names_and_numbers(spark):
     assert retrieval.variants("rate of Acme in 2025", offered=["rate of acme 2025", "Acme 2025 rate"])[1] == "Acme 2025 rate"
 
 
-@pytest.mark.parametrize("name", ["tool_decision", "retr_hop", "validate_upload", "xlsx_archive_guard", "detect_delimiter", "normalize_header"])
-def test_rules(spark, name):
-    got = {(r["case"], r["result"]) for r in e.QUERIES[name](spark, "").collect()}
-    assert all(f"('{case}', '{result.replace(chr(39), chr(39) * 2)}')" in e.ORACLE[name] for case, result in got)
+@pytest.mark.parametrize("rule", e.RULES, ids="-".join)
+def test_rules(spark, rule):
+    call, want = e.RULES[rule]
+    assert call() == want
+
+
+@pytest.mark.parametrize("name", more_catalog.RULES)
+def test_codes(spark, name):
+    got = {case: more_catalog.code_of(lambda call=call: call(spark, "")) for case, (call, _) in more_catalog.RULES[name].items()}
+    assert got and got == {case: code for case, (_, code) in more_catalog.RULES[name].items()}
+
+
+def test_types_of_values(spark):
+    want = {"1": "integer", "01": "string", "-2.50": "decimal", "1e5": "decimal", "TRUE": "boolean", "2026-04-01": "date", "2026-04-01T10:00:00": "timestamp", "31/12/2025": "date", "x": "string", "2026-13-01": "string"}
+    rows = spark.createDataFrame([(v,) for v in want], "v string").select("v", profile.infer_type(F.col("v")).alias("kind")).collect()
+    assert {r.v: r.kind for r in rows} == want
+
+
+def test_units_and_names():
+    assert [pipeline.derived_unit("multiply", "USD", "kg"), pipeline.derived_unit("divide", "USD", "kg"), pipeline.derived_unit("divide", "kg", "kg")] == ["USD*kg", "USD/kg", "1"]
+    assert sinks.unique_names(["a", "a", "b", "a"]) == ["a", "a__2", "b", "a__3"]
 
 
 def test_text_blocks_know_their_places(spark):

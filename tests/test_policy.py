@@ -64,3 +64,9 @@ def test_calls_are_rewritten_where_they_stand(spark):
     t = {"t": spark.createDataFrame([("x", None, 100.0)], "a string, b string, n double")}
     row = run_sql(spark, "SELECT concat(a, b, concat(`a`, '(log(1)')) AS c, LOG (n) AS l, log(10, n) AS m, trunc(-n / 3) AS z, json_array(1, json_object('k', concat(a, 'y')), NULL) AS j, json_array() AS e FROM t -- log(n)", t).df.first()
     assert tuple(row) == ("xx(log(1)", 2.0, 2.0, -33.0, '[1,{"k":"xy"},null]', "[]")
+
+
+def test_messages_say_nothing_of_the_query(spark):
+    with pytest.raises(SqlPolicyError) as found:
+        admit(spark, "SELECT (secret_column FROM hidden")
+    assert str(found.value) == "sql_parse_error"
