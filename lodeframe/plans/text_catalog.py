@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeframe.operators import evaluate, lineage
 from lodeframe.scratch import scratch
 from lodeframe.streaming import events as ev
+from lodeframe.streaming import feed
 from lodeframe.text import blocks, context, retrieval, summarize, web
 from lodeframe.text import expressions as x
 
@@ -341,6 +342,28 @@ def stream_follow(spark, d):
     return spark.read.parquet(log).select("event_id", "seq")
 
 
+_RUNS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type, props FROM events"
+
+
+def _runs(spark, d) -> DataFrame:
+    numbered = ev.sequence(_t(spark, d, "events"), "user_id", "ts", "event_id")
+    return numbered.select(F.col("user_id").cast("string").alias("run"), F.col("seq").cast("long").alias("seq"), F.col("event_type").alias("kind"), F.col("props").alias("body"))
+
+
+@query("stream_sse", f"WITH r AS ({_RUNS}), u AS (SELECT * FROM r WHERE user_id = (SELECT min(user_id) FROM events)) SELECT seq, 'id: ' || seq || chr(10) || 'data: ' || coalesce(props, '') || chr(10) || chr(10) AS message FROM u WHERE seq > 1 AND seq <= (SELECT coalesce(min(seq) FILTER (event_type = 'error'), max(seq)) FROM u WHERE seq > 1)")
+def stream_sse(spark, d):
+    path, out = scratch(spark, "runs"), scratch(spark, "messages")
+    _runs(spark, d).write.parquet(path)
+    run = str(_t(spark, d, "events").agg(F.min("user_id")).first()[0])
+    feed.deliver(feed.feed(spark, path, run, ["error"], after=1), out, scratch(spark, "messages-checkpoint")).awaitTermination()
+    return spark.read.schema("seq long, message string").parquet(out)
+
+
+@query("stream_progress", f"WITH r AS ({_RUNS}), p AS (SELECT user_id, min(seq) FILTER (event_type = 'error') AS e, max(seq) AS m FROM r GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS run, seq, event_type AS kind, e IS NOT NULL AS ended, seq AS events FROM r JOIN p USING (user_id) WHERE seq = coalesce(e, m)")
+def stream_progress(spark, d):
+    return feed.progress(_runs(spark, d), ["error"])
+
+
 @query("stream_ingest", "SELECT DISTINCT sha256(coalesce(text, '')) AS fingerprint FROM documents")
 def stream_ingest(spark, d):
     docs, source, out = _t(spark, d, "documents"), scratch(spark, "documents"), scratch(spark, "ingested")
