@@ -18,7 +18,7 @@ from lodeframe.operators.asof import asof_join
 from lodeframe.plans import policy, text_catalog
 from lodeframe.plans.run import file_query, run_sql
 from lodeframe.scratch import scratch
-from lodeframe.sources import files, quoted, sinks
+from lodeframe.sources import database, files, quoted, sinks
 from lodeframe.text import blocks, retrieval, summarize
 from lodeframe.text import expressions as x
 
@@ -489,3 +489,26 @@ def ingest_file(spark, d):
     quoted.write_canonical(_t(spark, d, "documents").select(F.monotonically_increasing_id().alias(quoted.ORDINAL), "doc_id", "lang", "text"), path)
     quoted.ingest(spark, path, catalog, scratch(spark, "copies"), ["doc_id", "lang", "text"])
     return quoted.latest(spark, catalog).select("state", "code", "rows", F.concat_ws(",", "columns").alias("columns"), F.array_join(F.transform("missing", lambda m: m.cast("string")), ",").alias("missing"))
+
+
+# --- a database that comes with Spark, in this process: so these two are for local sessions
+_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _loaded(spark, d) -> str:
+    url = f"jdbc:derby:memory:{scratch(spark, 'db').rsplit('/', 1)[1]};create=true"
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    orders = orders.toDF(*(c.upper() for c in orders.columns))  # names without quotes are in upper case there
+    orders.write.option("createTableColumnTypes", "O_ORDERSTATUS VARCHAR(8)").jdbc(url, "orders", "overwrite", _DERBY)
+    return url
+
+
+@query("scan_jdbc", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def scan_jdbc(spark, d):
+    return database.scan(spark, _loaded(spark, d), "orders", "o_orderkey", 8, _DERBY).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+
+
+@query("sql_db_query", "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DECIMAL(28, 2)) AS total, FALSE AS truncated FROM orders GROUP BY o_orderstatus")
+def sql_db_query(spark, d):
+    rows, cut = database.query(spark, _loaded(spark, d), "SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus", ["orders"], 100, 300, _DERBY)
+    return spark.createDataFrame([(*r, cut) for r in rows], "o_orderstatus string, n long, total decimal(31,2), truncated boolean").withColumn("total", F.col("total").cast("decimal(28,2)"))
