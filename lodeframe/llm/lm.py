@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -107,10 +108,11 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[
     """Parts of sorted keys by shard, each sorted."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            yield k, keys[order[a:b]], counts[order[a:b]]
+    ranked = shard[order]
+    # Only shards that have a key are looked at, however many there are.
+    begins = np.flatnonzero(np.diff(ranked, prepend=-1))
+    for a, b in zip(begins, np.append(begins[1:], len(order)), strict=True):
+        yield int(ranked[a]), keys[order[a:b]], counts[order[a:b]]
 
 
 def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,10 +197,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     def answered(keys: np.ndarray, right: pa.Table, kind: int, of: type) -> np.ndarray:
         out, shard = np.zeros(len(keys), of), (keys % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for k, s, c in zip(*(right[name].to_pylist() for name in ("kind", "shard", "counts")), strict=True):
-            if k == kind:
-                out[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(c, of)
+        given = right.filter(pc.equal(right["kind"], kind))
+        place = given["shard"].to_numpy()
+        begins, ends = (np.searchsorted(shard[order], place, side) for side in ("left", "right"))
+        for a, b, c in zip(begins, ends, given["counts"].to_pylist(), strict=True):
+            out[order[a:b]] = np.frombuffer(c, of)
         return out
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
