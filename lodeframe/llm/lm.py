@@ -111,7 +111,7 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[
     ranked = shard[order]
     # Only shards that have a key are looked at, however many there are.
     begins = np.flatnonzero(np.diff(ranked, prepend=-1))
-    for a, b in zip(begins, np.append(begins[1:], len(order)), strict=True):
+    for a, b in zip(begins, np.append(begins[1:], len(order))[: len(begins)], strict=True):
         yield int(ranked[a]), keys[order[a:b]], counts[order[a:b]]
 
 
