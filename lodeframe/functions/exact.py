@@ -67,12 +67,34 @@ def combined(action: str, a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def summed(values: Column) -> Column:
-    """Aggregate: the exact sum of decimal text, null for no values."""
+#: A number's digits from 10^-240 up, in limbs of 18 digits: all that RESULT_DIGITS allows on either side of the point.
+LOWEST, LIMBS, WIDTH = -2 * RESULT_DIGITS, 21, 18
+
+
+def limbs(text: Column) -> Column:
+    """Decimal text as an array of whole numbers, the highest first: value = sum of limb * 10^(18 * place - 240). Nulls for null; other text fails."""
+    plain = F.trim(text)
+    part = lambda i: F.regexp_extract(plain, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,6}))?$", i)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+", "")
+    last = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3))
+    above = last + F.greatest(F.length(digits), F.lit(1)) - 1
+    fails = F.when(~plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,6})?$"), F.raise_error(F.lit("invalid_number")).cast("string"))
+    fails = fails.when((F.length(digits) > RESULT_DIGITS) | (F.abs(above) > RESULT_DIGITS), F.raise_error(F.lit("numeric_precision_limit")).cast("string"))
+    aligned = fails.otherwise(F.lpad(F.concat(digits, F.repeat(F.lit("0"), last - LOWEST)), LIMBS * WIDTH, "0"))
+    sign = F.when(part(1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    pieces = F.regexp_extract_all(aligned, F.lit(f"[0-9]{{{WIDTH}}}"), F.lit(0))
+    return F.transform(pieces, lambda p: p.cast("long") * sign)
+
+
+def summed(parts: Column) -> Column:
+    """Aggregate: the exact sum of numbers in limbs as decimal text, null for no values.
+
+    Each limb is a sum of its own, combined before the shuffle; carries are settled once a group.
+    """
 
     @F.pandas_udf("string")
-    def run(x: pd.Series) -> str:
-        x = x.dropna()
-        return text_of(sum((Fraction(parse(v, RESULT_DIGITS)) for v in x), Fraction(0))) if len(x) else None
+    def settled(sums: pd.Series) -> pd.Series:
+        whole = lambda s: sum(int(v) * 10 ** (WIDTH * (LIMBS - 1 - i)) for i, v in enumerate(s))
+        return pd.Series([None if s is None or s[0] is None else text_of(Fraction(whole(s), 10**-LOWEST)) for s in sums], dtype=object)
 
-    return run(values)
+    return settled(F.array(*(F.sum(parts[i].cast("decimal(38,0)")) for i in range(LIMBS))))

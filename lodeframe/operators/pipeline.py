@@ -178,10 +178,12 @@ def aggregate(f: Frame, columns: list[str], metrics: list[Metric]) -> Frame:
     df, wide = f.df, {m.column for m in asked if isinstance(f.df.schema[m.column].dataType, T.StringType)}
     for c in wide:  # as the values come: converted here, exactly, where they weren't before
         df = convert(Frame(df, f.columns), [c], "number").df
+    text = {m.column for m in asked if m.function in ("sum", "mean") and isinstance(df.schema[m.column].dataType, T.StringType)}
+    df = df.withColumns({f"__limbs_{c}": exact.limbs(_c(c)) for c in text})
     out = [F.min(ORDER).alias(ORDER)]
     for m in metrics:
-        c, text = _c(m.column), isinstance(df.schema[m.column].dataType, T.StringType)
-        total = exact.summed(c) if text else _as_text(F.sum(c))
+        c = _c(m.column)
+        total = exact.summed(_c(f"__limbs_{m.column}")) if m.column in text else _as_text(F.sum(c))
         value = {
             "count": lambda: F.count(F.lit(1)),
             "sum": lambda t=total: F.coalesce(t, F.lit("0")),
