@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.sanitize import sanitized
-from lodeframe.operators import snapshots
+from lodeframe.operators import scoring, snapshots
 from lodeframe.scratch import scratch
 from lodeframe.text.library import Library
 
@@ -100,3 +100,35 @@ def process_document(spark, d):
         library.process(changed, gone)
     there = library.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
     return library.manifest().join(there, "doc_id", "left").select("doc_id", "state", "fingerprint", "blocks", F.col("number").cast("int").alias("number"), (F.col("chunks") == F.coalesce("n", F.lit(0))).alias("whole"))
+
+
+@query("eval_score_case", """
+    WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c, o_orderpriority AS p FROM orders), live AS (SELECT * FROM o WHERE s <> 'P'),
+        l AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS DECIMAL(20, 2))) AS q FROM lineitem GROUP BY 1), n AS (SELECT * FROM live JOIN l USING (k))
+    SELECT k AS case_id, 'run_completion' AS name, CASE WHEN s = 'P' THEN 'needs_review' WHEN s = 'O' AND k % 2 = 1 THEN 'needs_review' ELSE 'pass' END AS status FROM o
+    UNION ALL SELECT k, 'unsupported_handling', CASE WHEN k % 2 = 0 THEN 'pass' ELSE 'needs_review' END FROM live WHERE s = 'O'
+    UNION ALL SELECT k, 'calculation:quantity', CASE WHEN k % 3 = 0 AND q > 0.5 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT k, 'calculation_unit:quantity', CASE k % 4 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT k, 'answer_unit:quantity', CASE WHEN k % 5 = 0 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT k, 'passage:1', CASE WHEN c % 2 = 0 THEN 'pass' WHEN k % 2 = 0 THEN 'needs_review' ELSE 'fail' END FROM live WHERE c IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT k, 'artifact:1', CASE WHEN k % 6 = 0 THEN 'pass' ELSE 'fail' END FROM live
+    UNION ALL SELECT k, 'action_allowlist', CASE WHEN p LIKE '1%' THEN 'fail' ELSE 'pass' END FROM live
+    UNION ALL SELECT k, 'source_immutable:c', CASE WHEN k % 7 = 0 THEN 'fail' ELSE 'pass' END FROM live
+    UNION ALL SELECT k, 'label_provenance', 'needs_review' FROM live WHERE k % 9 = 0""")
+def eval_score_case(spark, d):
+    """Orders as cases: their lines' quantities calculated, their customers cited, with faults by the order's number."""
+    o, k = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "case_id"), F.col("case_id")
+    total = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sum(F.col("l_quantity").cast("decimal(20,2)")).alias("q"))
+    none = F.lit(None).cast("string")
+    bench = scoring.Bench(
+        cases=o.select("case_id", F.when(F.col("o_orderstatus") == "O", "unsupported").otherwise("answerable").alias("answerability"), F.when(k % 9 > 0, "human_reviewed").alias("provenance"), none.alias("manual"), F.array(F.lit("read")).alias("allowed")),
+        outcomes=o.select("case_id", F.when(F.col("o_orderstatus") == "P", "timeout").when(F.col("o_orderstatus") == "O", "awaiting_clarification").otherwise("completed").alias("run_state"), (k % 2 == 0).alias("clarified"), F.when(k % 5 == 0, "some kgs").otherwise("12 KG in all").alias("answer"), F.array(F.when(F.col("o_orderpriority").like("1%"), "write").otherwise("read")).alias("called"), F.lit(None).cast("boolean").alias("refused")),
+        calculations=total.select("case_id", F.lit("quantity").alias("key"), F.col("q").alias("value"), F.lit(0.5).cast("decimal(5,2)").alias("tolerance"), F.lit("kg").alias("unit"), F.lit("l_quantity").alias("column")),
+        observed=total.select("case_id", F.lit("quantity").alias("key"), F.when(k % 3 == 0, F.lit(0).cast("decimal(20,2)")).otherwise(F.col("q")).alias("value"), F.when(k % 4 == 1, "g").when(k % 4 > 0, " KG").alias("unit"), F.lit("L_Quantity").alias("column")),
+        passages=o.join(_t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("case_id", F.lit(1).alias("n"), F.lit("c").alias("alias"), F.array("c_name").alias("phrases"), F.when(k % 2 == 0, "diagnostic").otherwise("strict").alias("policy"), F.lit(2).alias("version")),
+        evidence=o.join(_t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("case_id", F.lit("c").alias("alias"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("It is  "), F.upper("c_name"))).otherwise("it is another").alias("text"), F.lit(True).alias("declared"), F.lit(2).alias("version")),
+        artifacts=o.select("case_id", F.lit(1).alias("n"), F.lit("text/csv").alias("media_type"), F.lit('{"columns": ["a"]}').alias("schema")),
+        made=o.select("case_id", F.when(k % 2 == 0, "text/csv").otherwise("text/html").alias("media_type"), F.when(k % 3 == 0, '{"columns": ["a", "b"]}').otherwise('{"columns": []}').alias("schema"), F.lit(True).alias("available")),
+        sources=o.select("case_id", F.lit("c").alias("alias"), F.lit("h").alias("before"), F.when(k % 7 > 0, "h").alias("after")),
+    )
+    return scoring.score_cases(bench)
