@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.sanitize import sanitized
 from lodeframe.operators import scoring, snapshots
 from lodeframe.scratch import scratch
+from lodeframe.sources import portable
 from lodeframe.text.library import Library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,58 @@ def eval_score_case(spark, d):
         sources=o.select("case_id", F.lit("c").alias("alias"), F.lit("h").alias("before"), F.when(k % 7 > 0, "h").alias("after")),
     )
     return scoring.score_cases(bench)
+
+
+def _bundle(spark, d) -> tuple[str, portable.Links]:
+    """Customers, their orders and documents as a workspace; orders refer to customers by id, and to the order before by reference."""
+    path, o = scratch(spark, "bundle"), _t(spark, d, "orders")
+    before = F.expr("lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)")
+    docs = _t(spark, d, "documents")
+    portable.export_workspace(
+        {
+            "sources": _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"),
+            "runs": o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("source"), F.when(before.isNull(), F.array(F.lit("note:1"))).otherwise(F.array(F.concat(F.lit("run:"), before, F.lit("@2")))).alias("lineage")),
+            "documents": docs.select(F.col("doc_id").alias("id"), "lang"),
+        },
+        docs.where("text IS NOT NULL").select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), F.lit("text").alias("role"), F.encode("text", "UTF-8").alias("content")),
+        path,
+    )
+    return path, portable.Links({("runs", "source"): "sources"}, [("runs", "lineage")], {"run": "runs"})
+
+
+@query("export_workspace", """
+    SELECT 'sources' AS part, count(*) AS rows, '' AS sha256 FROM customer UNION ALL SELECT 'runs', count(*), '' FROM orders UNION ALL SELECT 'documents', count(*), '' FROM documents
+    UNION ALL SELECT 'asset', count(*), sha256(text) FROM documents WHERE text IS NOT NULL GROUP BY 3""")
+def export_workspace(spark, d):
+    path, _ = _bundle(spark, d)
+    owned, kept = spark.read.parquet(f"{path}/owned"), spark.read.parquet(f"{path}/assets").select("sha256")
+    assets = owned.join(kept, "sha256").groupBy("sha256").agg(F.count("*").alias("rows"))
+    return spark.read.parquet(f"{path}/manifest").select("part", "rows", F.lit("").alias("sha256")).unionByName(assets.select(F.lit("asset").alias("part"), "rows", "sha256"))
+
+
+@query("import_workspace", """
+    SELECT o_orderkey, o_custkey, CASE WHEN b IS NULL THEN 'note:1' ELSE 'run:' || b || '@2' END AS lineage, TRUE AS fresh FROM
+        (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) JOIN customer ON o_custkey = c_custkey""")
+def import_workspace(spark, d):
+    """What was taken in under new ids, with its ids led back by the map that the import gives."""
+    (path, links), out = _bundle(spark, d), scratch(spark, "workspace")
+    ids = portable.import_workspace(spark, path, "copy", ["sources", "runs", "documents"], links, out)
+    of = lambda part, a, b: ids.where(F.col("part") == part).select(F.col("old").cast("long").alias(a), F.col("new").alias(b))
+    rows = spark.read.parquet(f"{out}/entities/runs").join(of("runs", "o_orderkey", "id"), "id").join(of("sources", "o_custkey", "source"), "source")
+    rows = rows.withColumn("ref", F.regexp_extract(F.col("lineage")[0], "^run:(.*)@2$", 1)).join(of("runs", "before", "ref"), "ref", "left")
+    return rows.select("o_orderkey", "o_custkey", F.coalesce(F.concat(F.lit("run:"), F.col("before").cast("string"), F.lit("@2")), F.col("lineage")[0]).alias("lineage"), (F.length("id") == 36).alias("fresh"))
+
+
+@query("storage_get", """
+    WITH n AS (SELECT c_nationkey AS n, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY 1)
+    SELECT CAST(n AS VARCHAR) AS nation, CASE WHEN n % 5 = 0 THEN 'differs' ELSE 'ready' END AS state, CASE WHEN n % 5 > 0 THEN t END AS content FROM n UNION ALL SELECT 'none', 'missing', NULL""")
+def storage_get(spark, d):
+    """The customers of each nation as an object."""
+    folder, c = scratch(spark, "objects"), _t(spark, d, "customer")
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(folder)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(x["c_name"], F.lit("\n")))
+    held = c.groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.sha2(F.array_join(names, ""), 256).alias("sha256"))
+    keys = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", r"c_nationkey=([^/]*)/", 1).alias("nation"), F.regexp_extract("path", r"(c_nationkey=[^/]*/[^/]*)$", 1).alias("key"))
+    wanted = held.join(keys, "nation").select("key", F.when(F.col("nation") % 5 == 0, "0").otherwise(F.col("sha256")).alias("sha256"))
+    got = portable.stored(spark, folder, wanted.unionByName(spark.createDataFrame([("none", "0")], "key string, sha256 string")))
+    return got.select(F.coalesce(F.nullif(F.regexp_extract("key", "=([^/]*)/", 1), F.lit("")), "key").alias("nation"), "state", F.decode("content", "UTF-8").alias("content"))
