@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     counts = counts.select(F.explode(F.concat(F.array("word"), begun)).alias("word"), "t", "c").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # Terms that toxic texts hold more often, and often enough for the evidence, are looked at in their contexts.
     enough = F.col("t") >= EVIDENCE / (4 * math.log((toxic + clean) / toxic))
-    likely = counts.where(enough & (F.col("t") * clean > F.col("c") * toxic) & F.length("word").between(3, 60)).select("word")
+    likely = counts.where(enough & (F.col("t") * clean > F.col("c") * toxic)).select("word")
     given = docs.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in likely.collect()))
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
     evidence = part(F.col("t"), n * share) + part(F.col("c"), n * (1 - share)) + part(toxic - F.col("t"), (toxic + clean - n) * share) + part(clean - F.col("c"), (toxic + clean - n) * (1 - share))
-    telling = counts.where(F.length("word").between(3, 60)).select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") >= math.log(TIMES)) & (F.col("g") >= EVIDENCE))
+    telling = counts.select("word", odds.alias("odds"), evidence.alias("g")).where((F.col("odds") >= math.log(TIMES)) & (F.col("g") >= EVIDENCE))
     best = {r["word"]: r for r in telling.collect()}
     terms = tuple(lexicon([(w, r["g"]) for w, r in best.items()]))
     strengths = tuple(min(6.0, best[w]["odds"]) * min(1.0, math.sqrt(best[w]["g"]) / 10) for w in terms)

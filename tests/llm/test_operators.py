@@ -341,6 +341,24 @@ def test_toxicity_learns_and_forgives(spark):
     assert {r.doc_id: r.score for r in quoted}[1] < {r.doc_id: r.score for r in quoted}[2]
 
 
+def test_terms_may_be_of_any_length(spark):
+    rng = random.Random(16)
+    plain, long = [f"p{chr(97 + i)}{chr(97 + j)}o" for i in range(20) for j in range(6)], "ab" * 45
+    rows, labels = [], []
+    for i in range(300):
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 4 == 0:
+            words.insert(rng.randrange(30), ("坏", "zq", long)[i // 4 % 3])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # A long term may stand as its stem, which catches more than it.
+    assert {"坏", "zq"} <= set(model.terms) and toxicity.Trie(list(model.terms)).near(long)
+    new = [(1, "you 坏 there"), (2, f"you {long} there"), (3, "you zq there"), (4, " ".join(plain[:20]))]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, new), model).collect()}
+    assert min(got[1], got[2], got[3]) > 0.5 > got[4]
+
+
 def test_scores_against_brute_force(spark):
     rng = random.Random(14)
     terms = ("scoundrel", "villain", "vile", "dast*", "incomprehensibly")
