@@ -101,3 +101,25 @@ def test_scores_beyond_64_bits(spark):
     big = 10**15
     grams = spark.createDataFrame([("en", "a b", big, 2), ("en", "a", 3 * big, 1), ("en", "b", big, 1)], "lang string, gram string, f long, size int")
     assert [tuple(r) for r in phrases.scored(grams).collect()] == [("en", "a b", big, 3 * big, big, 500000)]
+
+
+def test_a_worker_is_handed_a_shard_at_a_time(spark, monkeypatch):
+    def alone(run):
+        def checked(batches):
+            def one(b):
+                assert b.num_rows == 1, f"{b.num_rows} shards in a batch"
+                return b
+
+            return run(map(one, batches))
+
+        return checked
+
+    pairs, longer = phrases._ask_pairs, phrases._count_longer
+    monkeypatch.setattr(phrases, "_ask_pairs", alone(pairs))
+    monkeypatch.setattr(phrases, "_count_longer", lambda longest: alone(longer(longest)))
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 600)
+    rows, key = corpus(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = phrases.mine(given(spark, rows).coalesce(1), least=5, most=40)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 5, 4, 40)
+    assert spark.conf.get(key) == before
