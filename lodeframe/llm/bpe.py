@@ -22,11 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodeframe.llm.shared import rows_of
+from lodeframe.llm.shared import released, rows_of
 
 _NONE = 1 << 62
 #: Words of more parts are merged by way of a heap.
 LONG_WORD = 64
+#: Rows whose results a worker holds at a time.
+ROWS = 256
 #: Unicode White_Space, which \s means in the tokenizer files.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -212,6 +214,15 @@ def encode_checked(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return _mapped(df, vocabulary, id_col, text_col, "n_tokens long, ids array<int>, decoded_sha256 string", one)
 
 
+def _results(batches: Iterator[pa.RecordBatch], encoder: Encoder, id_col: str, in_col: str, names: list[str], types: list[pa.DataType], one) -> Iterator[pa.RecordBatch]:
+    """The batches' rows with their results, ROWS at a time."""
+    for batch in batches:
+        for part in (batch.slice(i, ROWS) for i in range(0, len(batch), ROWS)):
+            made = [one(encoder, x) for (x,) in rows_of(part, in_col)]
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([part.column(id_col), *columns], [id_col, *names])
+
+
 def _mapped(df: DataFrame, vocabulary: str, id_col: str, in_col: str, outputs: str, one) -> DataFrame:
     with open(vocabulary, "rb") as f:
         content = f.read()
@@ -223,10 +234,6 @@ def _mapped(df: DataFrame, vocabulary: str, id_col: str, in_col: str, outputs: s
     types = [kinds[x.split()[1]] for x in outputs.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(given.value))
-        for batch in batches:
-            made = [one(encoder, x) for (x,) in rows_of(batch, in_col)]
-            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], [id_col, *names])
+        yield from _results(batches, Encoder(load(given.value)), id_col, in_col, names, types, one)
 
-    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {outputs}")
+    return rows.mapInArrow(released(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {outputs}")

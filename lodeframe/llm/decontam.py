@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import rows_of, written
+from lodeframe.llm.shared import released, rows_of, written
 from lodeframe.llm.words import WordHashes, alnum_words, gram_hashes
 
 WINDOW = 13
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], [id_col, "n_words", "n_hit", "n_items", "items"])
 
-    return rows.mapInArrow(run, f"{kind}, {_OUT}")
+    return rows.mapInArrow(released(run), f"{kind}, {_OUT}")
 
 
 def _joined(rows: DataFrame, texts: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.components import components
-from lodeframe.llm.shared import passing, rows_of, slices, written
+from lodeframe.llm.shared import passing, released, rows_of, slices, written
 from lodeframe.llm.words import gram_hashes, space_hashes
 
 #: Frequent grams whose order is known (16 bytes each). They only order the prefixes; no order loses a link.
@@ -216,7 +216,7 @@ class Join:
                     keep = counts > 1
                     yield out(1, grams[keep].view(np.int64), counts[keep], *(np.zeros(int(keep.sum()), np.int64),) * 2)
 
-        return written(self.docs.mapInArrow(run, "kind int, id long, size long, class long, other long"), "jaccard-sketches")
+        return written(self.docs.mapInArrow(released(run), "kind int, id long, size long, class long, other long"), "jaccard-sketches")
 
     def classes(self, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(id, size, class) of the documents, and (class, rep) of the classes.
@@ -287,7 +287,7 @@ class Join:
             keep = same[1:] | same[:-1] | np.isin(grams, wide)
             return pa.table({"gram": grams[keep].view(np.int64), "class": classes[keep], "size": sizes[keep].astype(np.int64)})
 
-        dealt = self.docs.mapInArrow(deal, "shard int, grams binary, classes binary, sizes binary")
+        dealt = self.docs.mapInArrow(released(deal), "shard int, grams binary, classes binary, sizes binary")
         met = written(dealt.groupBy("shard").applyInArrow(meet, "gram long, class long, size long"), "jaccard-buckets")
         total = lambda seed: F.sum(F.xxhash64("class", F.lit(seed)).cast("decimal(20,0)"))
         kinds = met.groupBy("gram").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y")).where("n > 1")
@@ -309,7 +309,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([bitmap(shingles(t, n)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["class", "bits"])
 
         # Texts that share the id, if ids repeat, are of other classes.
-        return written(self.of_class(self.texts(classes.select("id", "class"))).mapInArrow(run, "class long, bits binary").dropDuplicates(["class"]), "jaccard-bitmaps")
+        return written(self.of_class(self.texts(classes.select("id", "class"))).mapInArrow(released(run), "class long, bits binary").dropDuplicates(["class"]), "jaccard-bitmaps")
 
     def of_class(self, texts: DataFrame) -> DataFrame:
         """(class, ..., text): the rows whose text is of the class that they name, where ids aren't unique."""
@@ -350,7 +350,7 @@ class Join:
                         out.append((c, key))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-        return written(met.mapInArrow(run, "a long, b long"), "jaccard-links")
+        return written(met.mapInArrow(released(run), "a long, b long"), "jaccard-links")
 
     def led(self, buckets: DataFrame, turn: int) -> DataFrame:
         """For each class, its most frequent leader of another component: (a, b).

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.shared import rows_of, slices, written
+from lodeframe.llm.shared import released, rows_of, slices, written
 from lodeframe.llm.words import alnum_words
 
 #: Labelled rows that the model is fitted on, at the most: those with the least hash of their id.
@@ -353,4 +353,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = 1 / (1 + np.exp(-np.clip(((x - means) / scales) @ w[:-1] + w[-1], -60, 60)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, name])
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(released(run), kind)

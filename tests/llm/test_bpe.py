@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -51,3 +52,12 @@ def test_rows(spark, encoder):
 def test_other_files_are_refused():
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f, pytest.raises((ValueError, TypeError)):
         bpe.load(f.read())
+
+
+def test_results_leave_a_worker_in_small_batches():
+    rows = [(i, None if i % 7 == 0 else "x" * (i % 50)) for i in range(3 * bpe.ROWS + 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])
+    empty = batch.slice(0, 0)
+    out = list(bpe._results(iter([batch, empty]), None, "doc_id", "text", ["n"], [pa.int64()], lambda _, text: [len(text or "")]))
+    assert [len(b) for b in out] == [bpe.ROWS] * 3 + [1]
+    assert [(r["doc_id"], r["n"]) for b in out for r in b.to_pylist()] == [(i, len(t or "")) for i, t in rows]
