@@ -1,6 +1,9 @@
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.errors import AnalysisError
 from lodeframe.frame import ORDER, Frame
@@ -72,6 +75,21 @@ def test_filter_goes_by_type(spark):
     assert rows(p.filter_rows(p.convert(f, ["n"], "number"), "n", "ge", "9.5")) == [(Decimal(10),)]
 
 
+def test_filter_rounds_neither_side(spark):
+    """A cell within half a unit of the number's last digit is on its own side, whatever the digits of both."""
+    f = p.convert(frame(spark, [("200000.00",), ("200000.30",), ("199999.99",)], "n string"), ["n"], "number")
+    assert rows(p.filter_rows(f, "n", "le", "200000")) == [(Decimal("200000.00"),), (Decimal("199999.99"),)]
+    compare = {"eq": "__eq__", "ne": "__ne__", "gt": "__gt__", "ge": "__ge__", "lt": "__lt__", "le": "__le__"}
+    numbers = ["200000", "2e5", "199999.995", "-0.01", "-0.005", "1e-40", "1" + "0" * 45, "-1e45", "9" * 38, "1.5"]
+    cells = {T.DecimalType(8, 2): ["200000.00", "200000.49", "199999.99", "-0.01"], T.DecimalType(38, 0): ["9" * 38, "-" + "9" * 38, "1"], T.LongType(): ["1", "2", str(-(2**63))]}
+    asked = [(c, n) for c in compare for n in numbers]
+    for kind, texts in cells.items():
+        tests = [p._against(F.col("c"), kind, c, Fraction(n)).alias(str(i)) for i, (c, n) in enumerate(asked)]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").cast(kind).alias("c")).select("t", *tests)
+        for r in df.collect():
+            assert list(r[1:]) == [getattr(Decimal(r.t), compare[c])(Decimal(n)) for c, n in asked], r.t
+
+
 def test_join_contracts(spark):
     left = frame(spark, [("a", "1"), ("a", "2"), ("c", "3")], "id string, amount string", {"amount": "INR"})
     right = frame(spark, [("a", "x"), ("b", "y")], "id string, label string")
