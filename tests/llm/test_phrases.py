@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -123,3 +124,15 @@ def test_a_worker_is_handed_a_shard_at_a_time(spark, monkeypatch):
     got = phrases.mine(given(spark, rows).coalesce(1), least=5, most=40)
     assert {tuple(r) for r in got.collect()} == brute(rows, 5, 4, 40)
     assert spark.conf.get(key) == before
+
+
+def test_sorting_suffixes_takes_few_bytes_a_word():
+    """What a worker holds beside a shard's own arrays; with 64-bit places, and keys beside ranks, it was 73."""
+    names = np.random.default_rng(5).integers(-1, 5000, 200_000).astype(np.int32)
+    links = np.append((names[:-1] >= 0) & (names[1:] >= 0), False)
+    tracemalloc.start()
+    order, lcp, reach = phrases.suffixes(names, links, 4, len(names))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(names)
+    assert reach.max() == 4 and lcp.max() >= 1 and sorted(order) == list(np.flatnonzero(reach))
